@@ -139,10 +139,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     slim = docs.select(*keep, F.col(text).alias("__text"))
     schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     names = [*keep, "lang_pred", "score"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
             texts = utf8(batch.column(batch.num_columns - 1))
             lettered = [bool(t) and LETTER.search(t.decode()) is not None for t in texts]

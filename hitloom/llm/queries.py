@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import decontaminate, language_id, mixing, sharding, simhash, topk, url_filter
+from hitloom.llm import decontaminate, language_id, mixing, pii, quality_lm, sharding, simhash, topk, toxicity, url_filter
 
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -28,6 +28,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_lm.classify(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,23 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score_documents(_table(spark, sf_dir, "documents"), labels)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -65,8 +87,11 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_exact_top_k": op2_exact_top_k,
+        "op3_quality_lm": op3_quality_lm,
         "op4_source_mix": op4_source_mix,
         "op5_url_filter": op5_url_filter,
+        "op6_toxicity": op6_toxicity,
+        "op7_disclosure": op7_disclosure,
         "op8_decontaminate": op8_decontaminate,
         "op9_shard_slots": op9_shard_slots,
         "op10_language_id": op10_language_id,
