@@ -50,7 +50,8 @@ def days_to_build(built: DataFrame, today: str, lookback: int) -> DataFrame:
     """
     yesterday = F.date_sub(F.lit(today).cast("date"), 1)
     last = built.agg(F.max("datum").alias("last"))
-    start = F.coalesce(F.least(F.date_add("last", 1), yesterday), F.date_sub(yesterday, lookback - 1))
+    first_run = F.date_sub(yesterday, lookback - 1)
+    start = F.when(F.col("last").isNull(), first_run).otherwise(F.least(F.date_add("last", 1), yesterday))
     spine = last.select(F.explode(F.sequence(start, yesterday)).alias("datum"))
     return spine.join(built.where(F.col("datum") != yesterday).select("datum").distinct(), "datum", "left_anti")
 
