@@ -121,6 +121,10 @@ def plan_mix(slim: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
+#: Names of the cut beside the columns of documents.
+CUT = {"epochs": "__epochs", "cut_key": "__cut_key", "cut_tie": "__cut_tie"}
+
+
 def _drawn(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     words = n_words(F.col(text))
     return docs.withColumns({
@@ -132,8 +136,8 @@ def _drawn(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
 
 
 def _taken() -> Column:
-    chosen = (F.col("__key") < F.col("cut_key")) | ((F.col("__key") == F.col("cut_key")) & (F.col("__tie") <= F.col("cut_tie")))
-    return F.col("epochs") + F.when(chosen, 1).otherwise(0)
+    chosen = (F.col("__key") < F.col("__cut_key")) | ((F.col("__key") == F.col("__cut_key")) & (F.col("__tie") <= F.col("__cut_tie")))
+    return F.col("__epochs") + F.when(chosen, 1).otherwise(0)
 
 
 def mix_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -146,6 +150,7 @@ def mix_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     slim = materialize(drawn.select(F.col(doc_id).alias("id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__tie").alias("tie")), "drawn")
     plan = materialize(plan_mix(slim), "cuts")
     rows = slim.withColumnsRenamed({"key": "__key", "tie": "__tie"})
+    plan = plan.withColumnsRenamed(CUT)
     rows = _join_sources(rows, plan, plan.count() <= BROADCAST_SOURCES)
     return rows.select(F.col("id").alias(doc_id), "size", "source_size", "target", (F.col("size") * _taken()).alias("taken"))
 
@@ -155,9 +160,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     drawn = _drawn(docs, doc_id, text, source)
     slim = drawn.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key"), F.col("__tie").alias("tie"))
     plan = materialize(plan_mix(materialize(slim, "drawn")), "cuts")
-    side = plan.select(F.col("source").alias("__name"), "epochs", "cut_key", "cut_tie")
+    side = plan.select(F.col("source").alias("__name"), *[F.col(c).alias(n) for c, n in CUT.items()])
     side = F.broadcast(side) if plan.count() <= BROADCAST_SOURCES else side
     rows = drawn.join(side, F.col("__source").eqNullSafe(F.col("__name")))
     times = F.sequence(F.lit(1).cast("long"), F.col("__times"))
     copies = rows.withColumn("__times", _taken()).where("__times > 0").withColumn("__nth", F.explode(times))
-    return copies.select(*[F.col(c) for c in docs.columns])
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,6 +14,7 @@ Entities leave the pass only as hashes.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -88,14 +89,21 @@ def _hash(text: str) -> int:
 
 def context(text: str, spans: list[tuple[int, int, int, str]], reach: int = REACH) -> list[tuple[int, int, int, int]]:
     """(term, entity, start, end) of the words within ``reach`` words of each span, outside all spans."""
-    out = []
+    out, starts, ends = [], [], []
+    for _, start, end, _ in spans:  # ordered by start: merge what overlaps
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for kind, start, end, entity in spans:
         left, right = max(0, start - 40 * reach), end + 40 * reach
         near = [m for m in WORDS.finditer(text, left, start) if m.start() > left or left == 0][-reach:]
         after = [m for m in WORDS.finditer(text, end, right) if m.end() < right or right >= len(text)][:reach]
         name = _hash(f"{kind}:{entity}")
         for m in near + after:
-            if not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
+            i = bisect_left(starts, m.end()) - 1  # the last stretch that begins before the word ends
+            if i < 0 or ends[i] <= m.start():
                 out.append((_hash(m[0].lower()), name, *m.span()))
     return out
 

@@ -74,10 +74,16 @@ class BKTree:
     """BK-tree over distinct fingerprints, searched by many queries at once."""
 
     def __init__(self, members: np.ndarray):
-        self.root = members[0]
-        rest = members[1:]
-        gaps = np.bitwise_count(rest ^ self.root)
-        self.children = {int(k): BKTree(rest[gaps == k]) for k in np.unique(gaps)} if len(rest) else {}
+        self.children: dict[int, BKTree] = {}
+        todo = [(self, members)]
+        while todo:
+            node, own = todo.pop()
+            node.root, rest = own[0], own[1:]
+            gaps = np.bitwise_count(rest ^ node.root)
+            for edge in np.unique(gaps).tolist():
+                node.children[edge] = child = BKTree.__new__(BKTree)
+                child.children = {}
+                todo.append((child, rest[gaps == edge]))
 
     def links(self, queries: np.ndarray, radius: int = RADIUS):
         """Yields (member, its linked queries) for every node that some query reaches."""
