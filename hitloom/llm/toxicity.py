@@ -93,7 +93,7 @@ class Model:
 
     def build(self, documents: int, frequency: np.ndarray) -> None:
         self.idf = np.log((1 + documents) / (1 + frequency)) + 1
-        rows = sorted((e for e in self.examples if e[3]), key=lambda e: e[0])
+        rows = sorted((e for e in self.examples if e[3]), key=self.place)
         self.ids = [e[0] for e in rows]
         self.y = np.array([e[1] for e in rows], dtype=float)
         self.weight = np.array([e[2] for e in rows], dtype=float)
@@ -111,6 +111,13 @@ class Model:
                 self.lists[term, block] = (at[inside] - block * BLOCK, value[inside])
                 self.peak[term, block] = value[inside].max()
 
+    def place(self, example: tuple) -> tuple:
+        """Order of the examples: by their heaviest terms, so that the examples of a block are alike
+        and its largest weights bound it closely."""
+        ids, value = self.vector(example[3])
+        heavy = np.argsort(-value, kind="stable")[:3]
+        return (*[ids[i] for i in heavy], -1, -1, -1)[:3], example[0]
+
     def vector(self, terms: dict[int, int]) -> tuple[list[int], np.ndarray]:
         """Terms and their TF-IDF weights at unit length."""
         ids = sorted(terms)
@@ -267,7 +274,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
             struct = pa.struct([("doc_id", batch.column(0).type), ("label", pa.int32()), ("similarity", pa.float64())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array(near, pa.list_(struct))], names=schema.names)
 
-    return table.mapInArrow(run, schema)
+    # The stored table is small, so its files would make few tasks; searches are what costs.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(tasks).mapInArrow(run, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
