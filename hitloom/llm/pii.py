@@ -23,6 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from hitloom.llm.common import bounded_batches, materialize, utf8
 
@@ -120,6 +121,8 @@ def scan(docs: DataFrame, text: str, keep: tuple[str, ...], reach: int = REACH)
     slim = docs.select(*keep, F.col(text).alias("__text"))
     new = [f.split(" ", 1) for f in NEW.split(", ")]
     schema = docs.select(*keep, *[F.lit(None).cast(t).alias(n) for n, t in new]).schema
+    # Counting rows have nulls everywhere, so no column may claim to have none.
+    schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
     names = schema.names
 
     def counted(words: Counter, kinds: list[pa.DataType]):
@@ -214,15 +217,16 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Of overlapping spans the first one covers the stretch that both share.
     """
-    columns = tuple(c for c in docs.columns)
-    found = find_spans(docs.withColumn("__null", F.col(text).isNull()), text, (*columns, "__null"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    found = find_spans(packed, keep=("row",)).withColumn("text", F.col("row").getField(text))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):
         label = F.concat(F.lit("["), F.get(F.array(*[F.lit(k) for k in KINDS]), s["kind"]), F.lit("]"))
-        before = F.substr(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        before = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         fresh = s["start"] >= acc["at"]
         return F.struct(F.concat(acc["out"], before, F.when(fresh, label).otherwise("")).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.reduce("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
-    return found.withColumn(text, F.when(~F.col("__null"), done)).select(*columns)
+    done = F.reduce("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
+    new = F.when(F.col("text").isNotNull(), done)
+    return found.select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

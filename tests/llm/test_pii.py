@@ -82,7 +82,8 @@ def test_edges(spark, documents, hard):
     assert sorted((str(r.doc_id), len(r.base)) for r in pii.find_spans(same).collect()) == [("1", 1), ("1", 1), ("None", 1)]
 
 
-def test_redact(spark, documents):
+def test_redact(spark, documents, hard):
     docs = documents("to jo@x.org or 1.2.3.4!", None, "", "x +4111111111111111 y")
     assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["to [email] or [ip]!", None, "", "x +[card] y"]
     assert pii.redact(docs).columns == docs.columns
+    assert pii.redact(hard).columns == hard.columns and sorted(map(str, pii.redact(hard).collect())) == sorted(map(str, hard.collect()))
