@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("ip", "tsraw", "method", "url", "status", "size", "referrer", "ua")
@@ -14,6 +14,7 @@ COMBINED = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) [^"]*" (\d+) (\d+) "([^"]*
 COMBINED_VHOST = r'^\S+:\d+ (\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) [^"]*" (\d+) (\d+) "([^"]*)" "([^"]*)"'
 COMMON = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) [^"]*" (\d+) (\d+)'
 LOG_TIME = "%d/%b/%Y:%H:%M:%S %z"
+SEPARATOR = "\x01"
 JSON_TIME = "%Y-%m-%dT%H:%M:%S%z"
 JSON_PATHS = (
     "$.client.ip",
@@ -96,12 +97,25 @@ def parse_lines(lines: DataFrame, fmt: str = "combined", regex: str | None = Non
         lines = lines.where(F.try_parse_json(text).isNotNull())
         fields = [F.get_json_object(text, path) for path in JSON_PATHS]
     else:
-        groups = count_groups(chosen.pattern)
-        fields = [F.regexp_extract(text, chosen.pattern, i + 1) if i < groups else F.lit("") for i in range(len(FIELDS))]
+        fields = _groups(text, chosen.pattern)
     rest = [c for c in lines.columns if c != line]
     return lines.select(*rest, *[f.alias(n) for f, n in zip(fields, FIELDS, strict=True)])
 
 
+def _groups(text: Column, pattern: str) -> list[Column]:
+    """The groups of the first match, '' where there is none.
+
+    One match per line writes all groups with a separator between them.  Only a line that has the
+    separator itself, or no match, is left to one extraction per group.
+    """
+    n = count_groups(pattern)
+    joined = F.regexp_replace(text, f"^(?s:.*?)(?:{pattern})(?s:.*)$", SEPARATOR.join(f"${i + 1}" for i in range(n)))
+    parts = F.split(joined, SEPARATOR, -1)
+    whole = F.size(parts) == n
+    found = [F.when(whole, F.get(parts, F.lit(i))).otherwise(F.regexp_extract(text, pattern, i + 1)) for i in range(n)]
+    return found + [F.lit("")] * (len(FIELDS) - n)
+
+
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """(site_id, logfile, name) of a tab-separated site list; ``#`` lines and blank ones are skipped."""
     rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
