@@ -22,6 +22,8 @@ from hitloom.llm.common import bounded_batches, utf8
 
 #: Bytes of text that train each language: a bounded sample of whole documents, by hash.
 TRAIN_BYTES = 2_000_000
+#: Languages that labels may name.
+LANGUAGES = 1000
 CHUNK = 1 << 22
 LETTER = regex.compile(r"\p{L}")
 UND = "und"
@@ -32,10 +34,16 @@ def sample(labelled: DataFrame, text: str, lang: str, most: int = TRAIN_BYTES) -
 
     Languages with less are taken whole.
     """
-    sizes = labelled.groupBy(lang).agg(F.sum(F.octet_length(text)).alias("bytes"))
-    share = sizes.select(F.col(lang).alias("__lang"), F.least(F.lit(1.0), F.lit(float(most)) / F.greatest("bytes", F.lit(1))).alias("share"))
+    sizes = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.sum(F.octet_length(text)).alias("bytes"))
+    found = sizes.limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    share = {r.lang: min(1.0, most / max(1, r.bytes)) for r in found}
+    if not share:
+        return labelled.select(text, lang)
+    known = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])
     spread = F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(share, F.col(lang) == F.col("__lang")).where(spread < F.col("share")).select(text, lang)
+    return labelled.where(spread < F.try_element_at(known, F.col(lang).cast("string"))).select(text, lang)
 
 
 def count_contexts(texts: DataFrame, text: str, lang: str) -> DataFrame:
