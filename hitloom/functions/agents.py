@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +49,9 @@ WINDOWS_RELEASES = (
     ("5.2", "XP"),
 )
 BOTS = (
-    r"(?i)bot|crawl|spider|slurp|curl|wget|python-requests|python/|go-http-client|okhttp|java/|libwww"
-    r"|httpclient|headless|phantomjs|lighthouse|pingdom|uptimerobot|statuscake|monitor|nagios|zabbix"
-    r"|masscan|nmap|zgrab|facebookexternalhit|feedfetcher|archive\.org"
+    "bot", "crawl", "spider", "slurp", "curl", "wget", "python-requests", "python/", "go-http-client", "okhttp", "java/", "libwww",
+    "httpclient", "headless", "phantomjs", "lighthouse", "pingdom", "uptimerobot", "statuscake", "monitor", "nagios", "zabbix",
+    "masscan", "nmap", "zgrab", "facebookexternalhit", "feedfetcher", "archive.org",
 )
 
 
@@ -102,6 +105,12 @@ def windows_version(version: Column) -> Column:
     return first_rule([(version.startswith(number), name) for number, name in WINDOWS_RELEASES], version)
 
 
-def is_bot(ua: Column, pattern: str = BOTS, enabled: bool = True) -> Column:
-    """Null for a null user agent, unless the filter is off."""
-    return F.lit(enabled) & ua.rlike(pattern)
+def is_bot(ua: Column, pattern: str | None = None, enabled: bool = True) -> Column:
+    """Whether the agent matches the pattern, or without one has a mark of ``BOTS`` in any case.
+
+    Null for a null user agent, unless the filter is off.
+    """
+    if pattern is not None:
+        return F.lit(enabled) & ua.rlike(pattern)
+    low = F.lower(ua)
+    return F.lit(enabled) & reduce(or_, [low.contains(mark) for mark in BOTS])

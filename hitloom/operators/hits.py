@@ -28,7 +28,7 @@ def classify(rows: DataFrame, salt: str | Column, bot_pattern: str | None = None
     return rows.withColumns({
         "ipint": requests.ip_to_int(ip),
         "vkey": requests.visitor_key(ip, ua, salt),
-        "is_bot": agents.is_bot(ua, bot_pattern or agents.BOTS, bot_filter),
+        "is_bot": agents.is_bot(ua, bot_pattern, bot_filter),
         "is_download": requests.is_download(url, download_pattern or requests.DOWNLOADS),
         "browser": agents.browser(ua),
         "browser_ver": agents.browser_version(ua),

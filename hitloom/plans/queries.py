@@ -25,7 +25,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.derived_log(_events(spark, sf_dir))
+    # The events are one small file, hence one split; real logs come in many.
+    return derived.derived_log(_events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
 
 
 def _geo(spark: SparkSession) -> DataFrame:
@@ -41,7 +42,8 @@ def _config(spark: SparkSession, **more) -> ImportConfig:
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    return import_sites(_log(spark, sf_dir), _config(spark))
+    """The relations of the import, kept as in any import, since several results read them."""
+    return import_sites(_log(spark, sf_dir), _config(spark)).persist()
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +51,11 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analysis(spark, sf_dir).cube()
+    return _analysis(spark, sf_dir).cube().persist()
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analysis(spark, sf_dir).daily()
+    return _analysis(spark, sf_dir).daily().persist()
 
 
 def _sites(spark: SparkSession) -> DataFrame:

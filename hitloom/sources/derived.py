@@ -48,7 +48,10 @@ def derived_log(events: DataFrame) -> DataFrame:
     agent = F.get(F.array(*[F.lit(a) for a in AGENTS]), (v % 6).cast("int"))
     time = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
     method = F.when(kind == "purchase", F.lit("POST")).otherwise(F.lit("GET"))
-    line = F.format_string('%s - - [%s +0000] "%s %s HTTP/1.1" %d %d "%s" "%s"', ip, time, method, url, status, F.floor(F.col("value") * 100).cast("long"), referrer, agent)
+    size = text(F.floor(F.col("value") * 100).cast("long"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    request = quoted(F.concat_ws(" ", method, url, F.lit("HTTP/1.1")))
+    line = F.concat_ws(" ", ip, F.lit("- -"), F.concat(F.lit("["), time, F.lit(" +0000]")), request, text(status), size, quoted(referrer), quoted(agent))
     rows = events.withColumn("v", F.expr("user_id div 20"))
     return rows.select((v % 2).cast("int").alias("site_id"), e.alias("rid"), line.alias("line"))
 

@@ -92,28 +92,27 @@ def parse_lines(lines: DataFrame, fmt: str = "combined", regex: str | None = Non
     time.  Lines that are no JSON are skipped at once; JSON of another shape gives nulls.
     """
     chosen = log_format(fmt, regex, ts_format)
-    text = F.col(line)
+    text, rest = F.col(line), [c for c in lines.columns if c != line]
     if chosen.pattern is None:
         lines = lines.where(F.try_parse_json(text).isNotNull())
         fields = [F.get_json_object(text, path) for path in JSON_PATHS]
     else:
-        fields = _groups(text, chosen.pattern)
-    rest = [c for c in lines.columns if c != line]
-    return lines.select(*rest, *[f.alias(n) for f, n in zip(fields, FIELDS, strict=True)])
+        n = count_groups(chosen.pattern)
+        # A generator of one row: filters on a field stay above it, so no match is repeated for them.
+        lines = lines.select(*rest, line, F.explode(F.array(_matched(text, chosen.pattern, n))).alias("matched"))
+        whole = F.size("matched") == n
+        fields = [F.when(whole, F.get("matched", F.lit(i))).otherwise(F.regexp_extract(text, chosen.pattern, i + 1)) for i in range(n)]
+        fields += [F.lit("")] * (len(FIELDS) - n)
+    return lines.select(*rest, *[f.alias(name) for f, name in zip(fields, FIELDS, strict=True)])
 
 
-def _groups(text: Column, pattern: str) -> list[Column]:
-    """The groups of the first match, '' where there is none.
+def _matched(text: Column, pattern: str, n: int) -> Column:
+    """The groups of the first match, found by one match that writes them with a separator between.
 
-    One match per line writes all groups with a separator between them.  Only a line that has the
-    separator itself, or no match, is left to one extraction per group.
+    A line without a match, or with the separator in it, gives another number of parts.
     """
-    n = count_groups(pattern)
     joined = F.regexp_replace(text, f"^(?s:.*?)(?:{pattern})(?s:.*)$", SEPARATOR.join(f"${i + 1}" for i in range(n)))
-    parts = F.split(joined, SEPARATOR, -1)
-    whole = F.size(parts) == n
-    found = [F.when(whole, F.get(parts, F.lit(i))).otherwise(F.regexp_extract(text, pattern, i + 1)) for i in range(n)]
-    return found + [F.lit("")] * (len(FIELDS) - n)
+    return F.split(joined, SEPARATOR, -1)
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
