@@ -193,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """Terms, document frequencies over all ``docs``, and the index of the sampled examples."""
     bounded_batches(docs.sparkSession)
     picked = F.broadcast(sample(labels, doc_id, label, most))  # at most about 2 * most narrow rows
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id").select("id", "y", "weight", "text")
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id")
+    # One text of each id, so that an id of very many rows is no more than one example.
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("weight").alias("weight"), F.min("text").alias("text"))
     rows = materialize(rows, "sampled")
     rows = materialize(rows.join(F.broadcast(_families(rows)), "id").where("id = first").drop("first"), "examples")
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
