@@ -1,17 +1,21 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
-
-The model is a byte trigram model.  Trigrams are counted over all trusted text, pre-aggregated
-by the tasks that read it; everything else is joins and sums of count tables that Spark shards
-by n-gram: continuation counts, counts of counts, discounts, context totals, back-off weights.
-Bytes bound the finished model (2^24 trigrams at most, far fewer in practice), so it goes to
-every task, and each document is scored over all its bytes.  The perplexities of the trusted
-documents of a language set its threshold.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney models of trusted text.
+
+Word bigrams carry the model.  Those of all trusted text are counted and sharded by n-gram, as are
+their continuation counts and back-off weights; each document's distinct n-grams meet these tables
+by shuffle, so what is gathered grows with the input and only counts of counts are collected.
+A word that was never seen falls to a byte trigram model of the same text, bounded by 2^24
+trigrams, which spells it and goes to every task.
+
+A trusted document is scored without its own counts, or it would find all its word pairs known.
+The perplexities of the trusted documents of a language set its thresholds: one for the word
+model, and one for the byte model alone, which knows bad spelling best.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ QUANTILE = 0.995
 #: Trusted ids that are broadcast, of eight bytes each; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 CHUNK = 1 << 22
+#: Bytes of text whose n-grams are looked up together, and rows of n-grams in an Arrow batch.
+BUCKET = 4_000_000
+GRAM_ROWS = 50_000
 #: Byte that stands twice before each text.
 START = 0
 
@@ -139,12 +146,187 @@ def perplexity(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...])
     return slim.mapInArrow(run, schema)
 
 
+def words(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text, of which white space is no part."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w) for w in text.split()], dtype=np.uint64)
+
+
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each word with the one before it; before the first stands nothing, as 0."""
+    before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+    x = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (h + np.uint64(0x632BE59BD9B4E019))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def count_pairs(texts: DataFrame, text: str) -> DataFrame:
+    """(key, before, word, n) of the word pairs of all texts, sharded by pair."""
+
+    def run(batches):
+        for batch in batches:
+            found = [h for t in utf8(batch.column(0)) if t and len(h := words(t))]
+            if not found:
+                continue
+            key = np.concatenate([pair_keys(h) for h in found])
+            word = np.concatenate(found)
+            before = np.concatenate([np.concatenate((np.zeros(1, np.uint64), h[:-1])) for h in found])
+            key, first, n = np.unique(key, return_index=True, return_counts=True)
+            longs = [pa.array(x.view(np.int64)) for x in (key, before[first], word[first])]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(n.astype(np.int64))], names=["key", "before", "word", "n"])
+
+    counted = texts.select(text).mapInArrow(run, "key long, before long, word long, n long")
+    return counted.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("n").alias("n"))
+
+
+def _cut(n, d: list[float]):
+    return F.when(n <= 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def _discounts(counts: DataFrame) -> list[float]:
+    seen = {r.n: r.k for r in counts.where("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    return discounts([seen.get(i, 0) for i in (1, 2, 3, 4)])
+
+
+class WordModel:
+    """Sharded ``stats`` (key, n, total, cuts) of the word pairs and words of trusted text, and the
+    discounts and totals of both orders.  ``n`` of a word counts the words that precede it;
+    ``total`` and ``cuts`` are those of the pairs that it begins."""
+
+    def __init__(self, trusted: DataFrame, text: str):
+        bounded_batches(trusted.sparkSession)
+        pairs = materialize(count_pairs(trusted, text), "word_pairs")
+        self.d2 = _discounts(pairs)
+        contexts = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n").alias("total"), F.sum(_cut(F.col("n"), self.d2)).alias("cuts"))
+        lasts = pairs.groupBy(F.col("word").alias("key")).agg(F.count("*").alias("n"))
+        single = materialize(lasts.join(contexts, "key", "full").select("key", F.coalesce("n", F.lit(0)).alias("n"), "total", "cuts"), "words")
+        self.d1 = _discounts(single.where("n > 0"))
+        sums = single.agg(F.sum("n"), F.sum(_cut(F.col("n"), self.d1))).first()
+        self.total, self.cuts = float(sums[0] or 0), float(sums[1] or 0)
+        self.stats = pairs.select("key", "n", F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("cuts")).unionByName(single)
+
+
+def _look(key: np.ndarray, table: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Columns of a table, whose first one is sorted keys, at ``key``; 0 where it has none."""
+    if not len(table[0]):
+        return [np.zeros(len(key)) for _ in table[1:]]
+    at = np.minimum(np.searchsorted(table[0], key), len(table[0]) - 1)
+    hit = table[0][at] == key
+    return [np.where(hit, c[at], 0.0) for c in table[1:]]
+
+
+def word_bits(text: bytes, byte_bits: np.ndarray, table: tuple[np.ndarray, ...], own: bool, d1: list[float], d2: list[float], total: float, cuts: float) -> float:
+    """Bits of a text, of whose bytes ``byte_bits`` are the bits in the byte model.
+
+    ``table`` has keys, n, total and cuts.  With ``own`` the counts of the text itself are taken out.
+    """
+    h = words(text)
+    if not len(h) or not total:
+        return float(byte_bits.sum(dtype=np.float64))
+    raw = np.frombuffer(text, np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    spelt = np.add.reduceat(np.where(space, 0.0, byte_bits), starts, dtype=np.float64)
+    d1, d2 = np.array([0.0, *d1]), np.array([0.0, *d2])
+    cut = lambda n, d: d[np.minimum(n, 3).astype(int)]
+
+    keys, first, back, c = np.unique(pair_keys(h), return_index=True, return_inverse=True, return_counts=True)
+    kinds, place = np.unique(np.concatenate((np.zeros(1, np.uint64), h)), return_inverse=True)
+    before, last = place[:-1][first], place[1:][first]
+    n2 = _look(keys, table)[0]
+    n1, sums, weights = _look(kinds, table)
+    if own:
+        left = np.maximum(n2 - c, 0)
+        lost = (n2 > 0) & (left == 0)
+        sums = sums - np.bincount(before, c, len(kinds))
+        weights = weights - np.bincount(before, cut(n2, d2) - cut(left, d2), len(kinds))
+        rest = np.maximum(n1 - np.bincount(last, lost, len(kinds)), 0)
+        cuts -= float((cut(n1, d1) - cut(rest, d1)).sum())
+        total -= float(lost.sum())
+        n2, n1 = left, rest
+    base = np.exp2(-np.minimum(spelt, 1000))
+    p = base
+    if total > 0.5:
+        p = (np.maximum(n1 - cut(n1, d1), 0) / total)[place[1:]] + max(cuts, 0.0) / total * base
+    known = sums > 0.5
+    share = np.where(known, np.maximum(weights, 0) / np.maximum(sums, 1), 1.0)
+    pair = np.where(known[before], (n2 - cut(n2, d2)) / np.maximum(sums, 1)[before], 0.0)
+    p = pair[back] + share[place[:-1]] * p
+    bits = np.where(p > 0, -np.log2(np.maximum(p, 1e-300)), spelt)
+    return float(bits.sum() + byte_bits[space].sum(dtype=np.float64))
+
+
+def word_perplexity(docs: DataFrame, model: Model, bigrams: WordModel, text: str, keep: tuple[str, ...], own: str) -> DataFrame:
+    """``keep``, n_bytes, perplexity and spelling (that of the byte model alone), both per byte, of
+    every row; null and empty texts have null ones.  Rows that are true in column ``own`` are scored without their own counts.
+
+    Rows are dealt into buckets by a hash.  The distinct n-grams of each document are joined to the
+    sharded counts, and what is found goes to the bucket's task ahead of its texts.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    dealt = docs.select(F.pmod(F.xxhash64(*keep, text), F.lit(1 + size // BUCKET)).alias("__bucket"), *keep, F.col(own).alias("__own"), F.col(text).alias("__text"))
+    bounded_batches(spark)
+
+    def ask(batches):
+        for batch in batches:
+            bucket = batch.column(0).to_pylist()
+            for at, t in zip(bucket, utf8(batch.column(1)), strict=True):
+                h = words(t)
+                keys = np.unique(np.concatenate((np.zeros(1, np.uint64), h, pair_keys(h))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), at)), pa.array(keys.view(np.int64))], names=["__bucket", "key"])
+
+    asked = dealt.where(F.octet_length("__text") > 0).select("__bucket", "__text").mapInArrow(ask, "__bucket long, key long").distinct()
+    found = materialize(asked.join(bigrams.stats, "key"), "found")
+    nulls = lambda names, like: [F.lit(None).cast(like.schema[n].dataType).alias(n) for n in names]
+    stats, cols = ("key", "n", "total", "cuts"), (*keep, "__own", "__text")
+    both = found.select("__bucket", F.lit(0).alias("__kind"), *stats, *nulls(cols, dealt)).unionByName(
+        dealt.select("__bucket", F.lit(1).alias("__kind"), *nulls(stats, found), *cols)
+    )
+    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "spelling")]).schema
+    d1, d2, total, cuts = bigrams.d1, bigrams.d2, bigrams.total, bigrams.cuts
+
+    def run(batches):
+        dense, parts, table, bucket = None, [], None, None
+        for batch in batches:
+            dense = model.table() if dense is None else dense
+            at, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
+                piece = batch.slice(a, b - a)
+                if at[a] != bucket:
+                    bucket, parts, table = at[a], [], None
+                if kind[a] == 0:
+                    parts.append([piece.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(2, 6)])
+                    continue
+                if table is None:
+                    cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
+                    order = np.argsort(cols[0].view(np.uint64))
+                    table, parts = (cols[0].view(np.uint64)[order], *[c[order].astype(np.float64) for c in cols[1:]]), []
+                own, texts = piece.column(piece.num_columns - 2).to_pylist(), utf8(piece.column(piece.num_columns - 1))
+                scores = []
+                for t, o in zip(texts, own, strict=True):
+                    spelt = dense[trigrams(t)] if t else None
+                    both = (word_bits(t, spelt, table, o, d1, d2, total, cuts), float(spelt.sum(dtype=np.float64))) if t else ()
+                    scores.append([2 ** (x / len(t)) for x in both] or [None, None])
+                arrays = [*piece.columns[6:-2], pa.array([len(t or b"") for t in texts], pa.int64()), *[pa.array([x[i] for x in scores], pa.float64()) for i in (0, 1)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", GRAM_ROWS)
+    rows = both.repartition("__bucket").sortWithinPartitions("__bucket", "__kind").mapInArrow(run, schema)
+    scored = materialize(rows, "perplexities")
+    bounded_batches(spark)
+    return scored
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """One row per document: its id, language, n_bytes, perplexity, threshold and keep.
 
     ``trusted_ids`` has one column of ids.  The threshold is the ``quantile`` of the perplexities
     of the trusted documents of the language (null is a language of its own), or of all trusted
     ones where the language has none; with no trusted text it is null and everything is kept.
+    A document is kept if its perplexity, and that of its bytes alone, pass their thresholds.
     Texts without bytes have no perplexity and are not kept.
     """
     ids = trusted_ids.toDF("__id").dropna().distinct()
@@ -153,12 +335,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id
     flagged = docs.select(F.col(doc_id), F.col(lang), F.col(text).alias("__body")).join(side, F.col(doc_id) == F.col("__id"), "left")
     flagged = flagged.withColumn("trusted", F.col("__id").isNotNull()).drop("__id")
     model = train(flagged.where("trusted"), "__body")
-    scored = materialize(perplexity(flagged, model, "__body", (doc_id, lang, "trusted")), "perplexities")
+    bigrams = WordModel(flagged.where("trusted"), "__body")
+    scored = word_perplexity(flagged, model, bigrams, "__body", (doc_id, lang, "trusted"), "trusted")
     sure = scored.where("trusted AND perplexity IS NOT NULL")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    by_lang = sure.groupBy(F.col(lang).alias("__lang")).agg(at.alias("__own"))
-    overall = sure.agg(at).first()[0]
+    at = [F.percentile_approx(c, F.lit(quantile), F.lit(10_000)) for c in ("perplexity", "spelling")]
+    by_lang = sure.groupBy(F.col(lang).alias("__lang")).agg(at[0].alias("__own"), at[1].alias("__own_spelling"))
+    overall = sure.agg(*at).first()
     rows = scored.join(by_lang, F.col(lang).eqNullSafe(F.col("__lang")), "left")
-    rows = rows.withColumn("threshold", F.coalesce("__own", F.lit(overall).cast("double")))
-    keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    rows = rows.withColumn("threshold", F.coalesce("__own", F.lit(overall[0]).cast("double")))
+    spelling = F.coalesce("__own_spelling", F.lit(overall[1]).cast("double"))
+    within = F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("spelling") <= spelling), F.lit(True))
+    keep = F.col("perplexity").isNotNull() & within
     return rows.select(doc_id, lang, "n_bytes", "perplexity", "threshold", keep.alias("keep"))
