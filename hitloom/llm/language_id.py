@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from hitloom.llm.common import bounded_batches, utf8
 
-#: Bytes of text that train each language: a bounded sample of whole documents, by hash.
-TRAIN_BYTES = 2_000_000
 #: Languages that labels may name.
 LANGUAGES = 1000
 CHUNK = 1 << 22
@@ -29,37 +27,51 @@ LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 
-def sample(labelled: DataFrame, text: str, lang: str, most: int = TRAIN_BYTES) -> DataFrame:
-    """About ``most`` bytes of whole texts of each language, picked by a hash of the text.
+def sample(labelled: DataFrame, text: str, lang: str, most: int) -> DataFrame:
+    """About ``most`` bytes of different whole texts of each language, picked by a hash of the text.
 
-    Languages with less are taken whole.
+    Copies count once.  Languages with less are taken whole, and each keeps at least one text.
     """
-    sizes = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.sum(F.octet_length(text)).alias("bytes"))
-    found = sizes.limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    share = {r.lang: min(1.0, most / max(1, r.bytes)) for r in found}
-    if not share:
+    named = labelled.select(F.col(text), F.col(lang).cast("string").alias(lang), F.xxhash64(F.lit("sample"), text).alias("__digest"))
+    once = named.groupBy(F.col(lang).alias("lang"), "__digest").agg(F.max(F.octet_length(text)).alias("bytes"))
+    found = once.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.min("__digest").alias("first")).collect()
+    if not found:
         return labelled.select(text, lang)
-    known = F.create_map(*[F.lit(x) for pair in sorted(share.items()) for x in pair])
-    spread = F.pmod(F.xxhash64(F.lit("sample"), text), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(spread < F.try_element_at(known, F.col(lang).cast("string"))).select(text, lang)
+    known = lambda pairs: F.try_element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.col(lang))
+    spread = F.pmod(F.col("__digest"), F.lit(1 << 30)) / float(1 << 30)
+    share = known(sorted((r.lang, min(1.0, most / max(1, r.bytes))) for r in found))
+    first = known(sorted((r.lang, r["first"]) for r in found))
+    kept = named.where((spread < share) | (F.col("__digest") == first))
+    return kept.dropDuplicates([lang, "__digest"]).select(text, lang)
 
 
 def count_contexts(texts: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n): occurrences of each byte with the two before it; 256 marks the start."""
     bounded_batches(texts.sparkSession)
 
+    def counted(one: str, part: list[np.ndarray]):
+        grams, n = np.unique(np.concatenate(part), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([one] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
     def run(batches):
         for batch in batches:
             langs = batch.column(1).to_pylist()
+            held = utf8(batch.column(0))
             for one in sorted(set(langs)):
-                joined = [t for t, x in zip(utf8(batch.column(0)), langs, strict=True) if x == one and t]
-                grams, n = np.unique(np.concatenate([np.zeros(0, np.int64), *[_grams(t) for t in joined]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([one] * len(grams)), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-    counted = texts.select(text, F.col(lang).cast("string")).mapInArrow(run, "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                size, part = 0, []
+                for t in (t for t, x in zip(held, langs, strict=True) if x == one and t):
+                    for at in range(0, len(t), CHUNK):
+                        grams = _grams(t[max(0, at - 2) : at + CHUNK])
+                        part.append(grams if at == 0 else grams[2:])
+                        size += len(part[-1])
+                        if size > CHUNK:
+                            yield counted(one, part)
+                            size, part = 0, []
+                if part:
+                    yield counted(one, part)
+
+    found = texts.select(text, F.col(lang).cast("string")).mapInArrow(run, "lang string, gram long, n long")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -128,13 +140,17 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most: int = TRAIN_BYTES) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", most: int | None = None) -> Model:
     """Trees of every language that a labelled text has.  Null labels and texts teach nothing.
 
-    The counts that reach the driver are those of the bounded sample.
+    All labelled text is counted, or with ``most`` a sample of about so many bytes a language.
+    The counts that reach the driver are bounded by the contexts of each language.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return Model([tuple(r) for r in count_contexts(sample(labelled, text, lang, most), text, lang).collect()])
+    if len(labelled.select(F.col(lang).cast("string")).distinct().limit(LANGUAGES + 1).collect()) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    texts = labelled if most is None else sample(labelled, text, lang, most)
+    return Model([tuple(r) for r in count_contexts(texts, text, lang).collect()])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
