@@ -4,11 +4,13 @@ Patterns find the entities: mail and IP addresses, card and phone numbers.  A te
 entity may reveal it although it is no personal data itself.  How strongly it does is
 estimated from the corpus: the pointwise mutual information of term and entity over the
 information of the entity is 1 if the term never stands elsewhere.  Terms at or above the
-disclosure threshold become spans of kind ``term`` and are generalised by ``redact``.
+disclosure threshold become spans of kind ``term`` wherever they stand, and are generalised by
+``redact``.
 
-One pass over the texts stores, for each document, its entities and the words around them,
-and the number of times each word occurs at all.  The rest are joins of these small tables.
-Entities leave the pass only as hashes.
+One pass over the texts stores the words around each entity and the number of times each word
+occurs at all; joins of these tables give the terms.  A second pass finds the places of the
+terms: a bitmap of bounded size drops most other words, a join by term the rest.
+Entities leave the passes only as hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from hitloom.llm.common import bounded_batches, materialize, utf8
 
@@ -34,6 +35,8 @@ REACH = 8
 DISCLOSURE, SUPPORT = 0.95, 3
 #: Different words that a task counts before it passes its counts on.
 COUNTED = 300_000
+#: Bits of the map that the second pass looks words up in; only speed depends on it.
+BITS = 1 << 23
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,7 +44,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-WORDS = re.compile(r"[^\W\d_]{4,}")
+WORDS = re.compile(r"[^\W_]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -110,56 +113,82 @@ def context(text: str, spans: list[tuple[int, int, int, str]], reach: int = REAC
 
 
 SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-NEAR = pa.struct([("term", pa.int64()), ("entity", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-NEW = "rid long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:long,entity:long,start:int,end:int>>, term long, n long"
-
-
-def scan(docs: DataFrame, text: str, keep: tuple[str, ...], reach: int = REACH) -> DataFrame:
-    """Stores one row per document (``rid``, ``base``, ``near``) and rows (``term``, ``n``) that
-    count words; the rows of a kind have nulls in the columns of the other."""
+NEAR = pa.struct([("term", pa.int64()), ("entity", pa.int64())])
+PLACE = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+def scan(docs: DataFrame, text: str, reach: int = REACH) -> DataFrame:
+    """Stores a row for each document with entities (``near``) and rows (``term``, ``n``) that count
+    words; the rows of a kind have nulls in the columns of the other."""
     bounded_batches(docs.sparkSession)
-    slim = docs.select(*keep, F.col(text).alias("__text"))
-    new = [f.split(" ", 1) for f in NEW.split(", ")]
-    schema = docs.select(*keep, *[F.lit(None).cast(t).alias(n) for n, t in new]).schema
-    # Counting rows have nulls everywhere, so no column may claim to have none.
-    schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
-    names = schema.names
+    names = ["near", "term", "n"]
 
-    def counted(words: Counter, kinds: list[pa.DataType]):
+    def counted(words: Counter):
         terms = pa.array(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64).view(np.int64))
-        n = len(terms)
-        empty = [pa.nulls(n, t) for t in kinds] + [pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(SPAN)), pa.nulls(n, pa.list_(NEAR))]
-        return pa.RecordBatch.from_arrays([*empty, terms, pa.array(list(words.values()), pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(terms), pa.list_(NEAR)), terms, pa.array(list(words.values()), pa.int64())], names=names)
 
     def run(batches):
-        rid, words, kinds = TaskContext.get().partitionId() << 33, Counter(), []
+        words = Counter()
         for batch in batches:
-            texts = [t.decode() if t else "" for t in utf8(batch.column(batch.num_columns - 1))]
-            kinds = [c.type for c in batch.columns[:-1]]
-            base = [base_spans(t) for t in texts]
-            near = [context(t, s, reach) if s else [] for t, s in zip(texts, base, strict=True)]
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:-1],
-                    pa.array(np.arange(rid, rid + n)),
-                    pa.array([[{"start": a, "kind": k, "end": b} for k, a, b, _ in s] for s in base], pa.list_(SPAN)),
-                    pa.array([[dict(zip(("term", "entity", "start", "end"), x, strict=True)) for x in s] for s in near], pa.list_(NEAR)),
-                    pa.nulls(n, pa.int64()),
-                    pa.nulls(n, pa.int64()),
-                ],
-                names=names,
-            )
-            rid += n
+            texts = [t.decode() for t in utf8(batch.column(0)) if t]
+            near = [context(t, s, reach) for t in texts if (s := base_spans(t))]
+            near = pa.array([[{"term": x[0], "entity": x[1]} for x in s] for s in near], pa.list_(NEAR))
+            yield pa.RecordBatch.from_arrays([near, pa.nulls(len(near), pa.int64()), pa.nulls(len(near), pa.int64())], names=names)
             for t in texts:
                 words.update(WORDS.findall(t.lower()))
                 if len(words) > COUNTED:
-                    yield counted(words, kinds)
+                    yield counted(words)
                     words = Counter()
         if words:
-            yield counted(words, kinds)
+            yield counted(words)
+
+    return materialize(docs.select(text).mapInArrow(run, "near array<struct<term:long,entity:long>>, term long, n long"), "entities")
+
+
+def places(text: str, spans: list[tuple[int, int, int, str]], known) -> list[tuple[int, int, int]]:
+    """(term, start, end) of all words outside the spans whose hash ``known`` lets through."""
+    terms = {w: h for w in set(WORDS.findall(text)) if known(h := _hash(w.lower()))}
+    if not terms:
+        return []
+    out, i, end = [], 0, 0
+    for m in WORDS.finditer(text):
+        if m[0] in terms:
+            while i < len(spans) and spans[i][1] < m.end():
+                end = max(end, spans[i][2])
+                i += 1
+            if end <= m.start():
+                out.append((terms[m[0]], *m.span()))
+    return out
+
+
+def locate(docs: DataFrame, text: str, keep: tuple[str, ...], terms: DataFrame) -> DataFrame:
+    """Stores ``keep``, ``rid``, ``base`` and ``places`` of every row.  The places are those of
+    ``terms``, and of other words that share a bit with one."""
+    bounded_batches(docs.sparkSession)
+    bits = np.zeros(BITS, dtype=bool)
+    bits[terms.select(F.pmod("term", F.lit(BITS)).alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    slim = docs.select(*keep, F.col(text).alias("__text"))
+    new = {"rid": "long", "base": "array<struct<start:int,kind:int,end:int>>", "places": "array<struct<term:long,start:int,end:int>>"}
+    schema = docs.select(*keep, *[F.lit(None).cast(t).alias(n) for n, t in new.items()]).schema
+
+    def known(h: int) -> int:
+        bit = h % BITS
+        return packed[bit >> 3] >> (bit & 7) & 1
+
+    def run(batches):
+        rid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = [t.decode() if t else "" for t in utf8(batch.column(batch.num_columns - 1))]
+            base = [base_spans(t) for t in texts]
+            found = [places(t, s, known) for t, s in zip(texts, base, strict=True)]
+            arrays = [
+                pa.array(np.arange(rid, rid + len(texts))),
+                pa.array([[{"start": a, "kind": k, "end": b} for k, a, b, _ in s] for s in base], pa.list_(SPAN)),
+                pa.array([[dict(zip(("term", "start", "end"), x, strict=True)) for x in s] for s in found], pa.list_(PLACE)),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
+            rid += len(texts)
 
-    return materialize(slim.mapInArrow(run, schema), "entities")
+    return materialize(slim.mapInArrow(run, schema), "places")
 
 
 def disclosing(near: DataFrame, counts: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -190,14 +219,16 @@ def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
     Null and empty texts have empty arrays.  Repeated rows stay apart and each counts in the corpus.
     """
-    table = scan(docs, text, keep)
-    rows = table.where("rid IS NOT NULL").select(*keep, "rid", "base", "near")
-    near = rows.select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    pairs = materialize(disclosing(near, table.where("term IS NOT NULL").select("term", "n"), disclosure, support), "disclosing")
-    told = near.join(pairs, ["term", "entity"]).groupBy("rid").agg(
-        F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms")
+    table = scan(docs, text)
+    near = table.where("near IS NOT NULL").select(F.explode("near").alias("x")).select("x.*")
+    pairs = disclosing(near, table.where("term IS NOT NULL").select("term", "n"), disclosure, support)
+    terms = materialize(pairs.select("term").distinct(), "disclosing")
+    rows = locate(docs, text, keep, terms)
+    found = rows.select("rid", F.explode("places").alias("x")).select("rid", "x.*")
+    told = found.join(terms, "term").groupBy("rid").agg(
+        F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("terms")
     )
-    out = rows.drop("near").join(told, "rid", "left")
+    out = rows.drop("places").join(told, "rid", "left")
     both = F.array_sort(F.concat("base", F.coalesce("terms", F.lit(None).cast("array<struct<start:int,kind:int,end:int>>"), F.filter("base", lambda _: F.lit(False)))))
     return out.select(*keep, "base", both.alias("spans"))
 
