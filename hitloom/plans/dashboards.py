@@ -62,8 +62,8 @@ def _line(*cells: Column | str) -> Column:
 
 
 def csv_report(cube: DataFrame, daily: DataFrame, meta: DataFrame, site: int, day_from: str, day_to: str) -> DataFrame:
-    """(part, nth, line): head, days, and a block for each dimension that has values, best first
-    and 100 at most.  ``part`` and ``nth`` order the lines."""
+    """(part, nth, line): head, days, and a block for each dimension that has values, best first;
+    100 at most of the dimensions that have a list of best values, all of the others.  ``part`` and ``nth`` order the lines."""
     spark = cube.sparkSession
 
     def fixed(part: int, *lines: Column, over: DataFrame | None = None) -> DataFrame:
@@ -78,11 +78,14 @@ def csv_report(cube: DataFrame, daily: DataFrame, meta: DataFrame, site: int, da
     days = panels.days(daily, site, day_from, day_to).select(F.lit(2).alias("part"), nth.alias("nth"), _line(F.col("datum"), *[F.col(c) for c in panels.NUMBERS]).alias("line"))
     parts = [head, titles, days]
     for i, (dim, title, metric) in enumerate(SECTIONS):
-        rows = panels.top_n_live(cube, site, day_from, day_to, dim, metric, panels.MOST_ROWS)
+        if dim in panels.ROOT_METRIC:
+            rows = panels.top_n_live(cube, site, day_from, day_to, dim, metric, panels.MOST_ROWS)
+        else:
+            rows = panels.dim_totals(cube, site, day_from, day_to, dim)
         name = "Visits" if metric == "v" else "Page views"
         any_row = rows.limit(1).select(F.lit(1))
         parts.append(fixed(10 + 2 * i, F.lit(""), _line(f"{title} ({name})"), _line("Value", name, "Page views", "Visits"), over=any_row))
-        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), "dimkey")) - 1  # 100 rows
+        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), "dimkey")) - 1  # 100 rows, countries or hours
         parts.append(rows.select(F.lit(11 + 2 * i).alias("part"), order.alias("nth"), _line(F.col("dimkey"), F.col(metric), F.col("pv"), F.col("v")).alias("line")))
     return reduce(DataFrame.unionByName, parts)
 
