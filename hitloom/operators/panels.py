@@ -247,24 +247,32 @@ def url_tree_children(cube: DataFrame, site: int, day_from: str, day_to: str, pa
     return page.select("segment", F.concat(F.lit(path + "/"), "segment").alias("path"), "pv", "v", "has_children", F.lit(n).cast("bigint").alias("n"))
 
 
-def url_tree(cube: DataFrame, site: int, day_from: str, day_to: str, path: str = "", metric: str = "pv", limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """(level, path, parent_path, pv, v, has_children, rnk): two levels below ``path`` at once.
+def url_tree(cube: DataFrame, site: int, day_from: str, day_to: str, path: str = "", metric: str = "pv", limit: int = DEFAULT_LIMIT, offset: int = 0, depth: int = 2) -> DataFrame:
+    """(level, path, parent_path, pv, v, has_children, rnk, n): one or two levels below ``path`` at once.
 
-    One aggregation by both segments gives both levels; the best ``limit`` of the first, and of
-    each of these its best ``limit``, are kept.
+    One aggregation by both segments gives both levels; of the first level ``limit`` subtrees from
+    ``offset`` on are kept, and of each of these its best ``limit``.  ``n`` is the number of subtrees
+    that the parent has in all, so that what is not shown can be told.
     """
-    limit, _ = check_page(metric, limit, 0)
+    limit, offset = check_page(metric, limit, offset)
     rows = _segments(cube, site, day_from, day_to, path, 2)
     cells = rows.groupBy("s0", "s1").agg(
         F.sum("pv").alias("pv"), F.sum("v").alias("v"), F.max(F.col("r0") != "").alias("more"), F.max(F.col("r1") != "").alias("deep")
     )
-    first = cells.groupBy("s0").agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"), F.max("more").alias("has_children"))
-    first = first.orderBy(F.desc(metric), "s0").limit(limit)
-    first = first.withColumn("rnk", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), "s0")))  # ``limit`` rows
+    first = cells.groupBy("s0").agg(
+        F.sum("pv").alias("pv"), F.sum("v").alias("v"), F.max("more").alias("has_children"), F.count_if(F.col("s1") != "").alias("below")
+    )
+    n = first.agg(F.count("*").alias("n"))
+    first = first.orderBy(F.desc(metric), "s0").offset(offset).limit(limit).join(F.broadcast(n))
+    first = first.withColumn("rnk", offset + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), "s0")))  # ``limit`` rows
+    top = F.concat(F.lit(path + "/"), "s0")
+    one = first.select(F.lit(1).alias("level"), top.alias("path"), F.lit(path).alias("parent_path"), "pv", "v", "has_children", "rnk", "n")
+    if depth < 2:
+        return one
     best = Window.partitionBy("s0").orderBy(F.desc(metric), "s1")
-    second = cells.where("s1 <> ''").join(F.broadcast(first.select("s0")), "s0", "left_semi")
+    second = cells.where("s1 <> ''").join(F.broadcast(first.select("s0", "below")), "s0")
     second = second.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= limit)
-    top = F.concat(F.lit(path + "/"), "s0")
-    one = first.select(F.lit(1).alias("level"), top.alias("path"), F.lit(path).alias("parent_path"), "pv", "v", "has_children", "rnk")
-    two = second.select(F.lit(2).alias("level"), F.concat(top, F.lit("/"), "s1").alias("path"), top.alias("parent_path"), "pv", "v", F.col("deep").alias("has_children"), "rnk")
+    two = second.select(
+        F.lit(2).alias("level"), F.concat(top, F.lit("/"), "s1").alias("path"), top.alias("parent_path"), "pv", "v", F.col("deep").alias("has_children"), "rnk", F.col("below").alias("n")
+    )
     return one.unionByName(two)

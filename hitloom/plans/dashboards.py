@@ -12,22 +12,26 @@ from hitloom.operators.windows import resolve_window
 
 #: Dimensions that a dashboard asks for page by page instead of whole.
 PAGED = tuple(dict.fromkeys([*panels.ROOT_METRIC, *panels.CHILD_METRIC, panels.TREE_DIM]))
-#: Sections of the report: dimension, title, measure.
+# Texts of the report, and its sections with dimension, title and measure.
 SECTIONS = (
     ("country", "Countries", "v"),
     ("browser", "Browsers", "v"),
-    ("os", "Systems", "v"),
-    ("device", "Devices", "v"),
-    ("referrer_type", "Referrer kinds", "v"),
-    ("referrer_url", "Referrers", "v"),
-    ("keyword", "Search words", "v"),
+    ("os", "Operating systems", "v"),
+    ("device", "Device types", "v"),
+    ("referrer_type", "Referrer types", "v"),
+    ("referrer_url", "Referrer URLs", "v"),
+    ("keyword", "Search keywords", "v"),
     ("entry", "Entry pages", "v"),
     ("exit", "Exit pages", "v"),
     ("download", "Downloads", "pv"),
     ("status", "Status codes", "pv"),
-    ("method", "Methods", "pv"),
-    ("hour", "Hours", "pv"),
+    ("method", "HTTP methods", "pv"),
+    ("hour", "Visiting hours (hour of day)", "pv"),
 )
+DAY_TITLES = ("Date", "Visits", "Page views", "Unique visitors", "Bounces", "Bytes")
+MEASURES = {"v": "Visits", "pv": "Page views"}
+PARTIAL = '– loaded subset only, see "+ N more" in the dashboard'
+TREE_TITLE = "Pages (subtree totals) – loaded subset only, see page tree in the dashboard"
 BOM = "﻿"
 
 
@@ -62,31 +66,47 @@ def _line(*cells: Column | str) -> Column:
 
 
 def csv_report(cube: DataFrame, daily: DataFrame, meta: DataFrame, site: int, day_from: str, day_to: str) -> DataFrame:
-    """(part, nth, line): head, days, and a block for each dimension that has values, best first;
-    100 at most of the dimensions that have a list of best values, all of the others.  ``part`` and ``nth`` order the lines."""
+    """(part, nth, line): head, days, a block for each dimension that has values, best first, and two
+    levels of the page tree.  Of the dimensions that have a list of best values and of the tree the
+    best 100 are listed, of the others all.  ``part`` and ``nth`` order the lines.
+
+    One aggregation gives the values of all sections.
+    """
     spark = cube.sparkSession
 
-    def fixed(part: int, *lines: Column, over: DataFrame | None = None) -> DataFrame:
-        base = spark.range(1) if over is None else over
-        rows = F.array(*[F.struct(F.lit(i).alias("nth"), x.alias("line")) for i, x in enumerate(lines)])
-        return base.select(F.lit(part).alias("part"), F.explode(rows).alias("r")).select("part", "r.nth", "r.line")
+    def lines(part: Column, texts: list[Column], over: DataFrame) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(i).alias("nth"), x.alias("line")) for i, x in enumerate(texts)])
+        return over.select(part.cast("int").alias("part"), F.explode(rows).alias("r")).select("part", "r.nth", "r.line")
 
     mine = meta.where(F.col("site_id") == site)
-    head = fixed(0, _line("Web statistics export"), _line("Website", F.col("site")), _line("Period", day_from, "to", day_to), _line("As of", F.col("erzeugt")), F.lit(""), over=mine)
-    titles = fixed(1, _line("Days"), _line("Date", *[c.capitalize() for c in panels.NUMBERS]))
+    head = [_line("Web statistics export"), _line("Website", F.col("site")), _line("Period", day_from, "to", day_to), _line("As of", F.col("erzeugt")), F.lit("")]
+    parts = [lines(F.lit(0), head, mine), lines(F.lit(1), [_line("Trend (daily)"), _line(*DAY_TITLES)], spark.range(1))]
     nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("datum")) - 1  # the days of one site
-    days = panels.days(daily, site, day_from, day_to).select(F.lit(2).alias("part"), nth.alias("nth"), _line(F.col("datum"), *[F.col(c) for c in panels.NUMBERS]).alias("line"))
-    parts = [head, titles, days]
-    for i, (dim, title, metric) in enumerate(SECTIONS):
-        if dim in panels.ROOT_METRIC:
-            rows = panels.top_n_live(cube, site, day_from, day_to, dim, metric, panels.MOST_ROWS)
-        else:
-            rows = panels.dim_totals(cube, site, day_from, day_to, dim)
-        name = "Visits" if metric == "v" else "Page views"
-        any_row = rows.limit(1).select(F.lit(1))
-        parts.append(fixed(10 + 2 * i, F.lit(""), _line(f"{title} ({name})"), _line("Value", name, "Page views", "Visits"), over=any_row))
-        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), "dimkey")) - 1  # 100 rows, countries or hours
-        parts.append(rows.select(F.lit(11 + 2 * i).alias("part"), order.alias("nth"), _line(F.col("dimkey"), F.col(metric), F.col("pv"), F.col("v")).alias("line")))
+    parts.append(panels.days(daily, site, day_from, day_to).select(F.lit(2).alias("part"), nth.alias("nth"), _line(F.col("datum"), *[F.col(c) for c in panels.NUMBERS]).alias("line")))
+
+    told = [(i, d, t, m, panels.MOST_ROWS if d in panels.ROOT_METRIC else None) for i, (d, t, m) in enumerate(SECTIONS)]
+    sections = spark.createDataFrame(told, "i int, dim string, title string, metric string, most int")
+    cells = panels.cube_slice(cube, site, day_from, day_to).where(F.col("dim").isin([d for d, _, _ in SECTIONS]) & (F.col("dimkey") != ""))
+    sums = cells.groupBy("dim", "dimkey").agg(F.sum("pv").alias("pv"), F.sum("v").alias("v")).join(F.broadcast(sections), "dim")
+    measure = F.when(F.col("metric") == "v", F.col("v")).otherwise(F.col("pv"))
+    best = Window.partitionBy("dim").orderBy(F.desc("measure"), "dimkey")
+    ranked = sums.withColumn("measure", measure).withColumn("nth", F.row_number().over(best) - 1).where("most IS NULL OR nth < most")
+    name = F.when(F.col("metric") == "v", MEASURES["v"]).otherwise(MEASURES["pv"])
+    title = F.concat(F.col("title"), F.lit(" ("), name, F.lit(")"), F.when(F.col("most").isNotNull(), F.lit(f" {PARTIAL}")).otherwise(""))
+    titles = F.array(*[F.struct((10 + 2 * F.col("i")).alias("part"), F.lit(n).alias("nth"), x.alias("line")) for n, x in enumerate((F.lit(""), _line(title), _line("Value", name, MEASURES["pv"], MEASURES["v"])))])
+    row = F.array(F.struct((11 + 2 * F.col("i")).alias("part"), F.col("nth"), _line(F.col("dimkey"), F.col("measure"), F.col("pv"), F.col("v")).alias("line")))
+    every = F.when(F.col("nth") == 0, F.concat(titles, row)).otherwise(row)
+    parts.append(ranked.select(F.explode(every).alias("r")).select("r.part", "r.nth", "r.line"))
+
+    tree = panels.url_tree(cube, site, day_from, day_to, limit=panels.MOST_ROWS)
+    up = F.when(F.col("level") == 1, F.col("path")).otherwise(F.col("parent_path"))
+    place = F.max(F.when(F.col("level") == 1, F.col("rnk"))).over(Window.partitionBy("up"))
+    down = F.when(F.col("level") == 1, 0).otherwise(F.col("rnk"))
+    order = Window.partitionBy(F.lit(0)).orderBy("place", "down")  # 100 subtrees of 100 pages at most
+    rows = tree.withColumn("up", up).withColumn("place", place).withColumn("down", down).withColumn("nth", F.row_number().over(order) - 1)
+    first = F.array(*[F.struct(F.lit(40).alias("part"), F.lit(n).alias("nth"), x.alias("line")) for n, x in enumerate((F.lit(""), _line(TREE_TITLE), _line("Path", MEASURES["pv"], MEASURES["v"])))])
+    row = F.array(F.struct(F.lit(41).alias("part"), F.col("nth"), _line(F.col("path"), F.col("pv"), F.col("v")).alias("line")))
+    parts.append(rows.select(F.explode(F.when(F.col("nth") == 0, F.concat(first, row)).otherwise(row)).alias("r")).select("r.part", "r.nth", "r.line"))
     return reduce(DataFrame.unionByName, parts)
 
 

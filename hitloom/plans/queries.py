@@ -15,7 +15,7 @@ from hitloom.streaming.streams import days_to_build
 
 TZ, SALT = "Europe/Berlin", "s"
 SITE, FROM, TO = 1, "2024-01-11", "2024-01-20"
-BOT_LIST = r"(?i)(Googlebot)|(AcmeHarvester/[0-9.]+)"
+BOT_LIST = r"(?i)(OtherBot)|(AcmeHarvester/[0-9.]+)"
 BROWSERS = [(1, r"Edg[ea]?/(\d+)", "TestEdge", "$1"), (2, r"Firefox/(\d+)\.(\d+)", "TestFox", "$1.$2."), (3, r"Chrome/(\d+)", "TestChrome", "v$1")]
 OSES = [(1, r"Windows NT (\d+\.\d+)", "Windows", "$1"), (2, r"Android (\d+)", "TestDroid", "$1"), (3, r"X11", "TestUnix", None)]
 
@@ -265,7 +265,7 @@ def tk_top_n_page(spark, sf_dir):
 
 
 def tk_children(spark, sf_dir):
-    return panels.top_n_live(_cube(spark, sf_dir), SITE, FROM, TO, "referrer_url", "v", 10, 0, "Google")
+    return panels.top_n_live(_cube(spark, sf_dir), SITE, FROM, TO, "referrer_url", "v", 10, 0, "DuckDuckGo")
 
 
 def tk_topn_table(spark, sf_dir):
@@ -275,7 +275,7 @@ def tk_topn_table(spark, sf_dir):
 def tk_precomputed(spark, sf_dir):
     meta, rows = _meta(spark, sf_dir), _cube(spark, sf_dir)
     ends = meta.where(F.col("site_id") == SITE).select("von", "bis").first()
-    bounds = windows.window_bounds("last30", ends.von, ends.bis)
+    bounds = windows.window_bounds("last30", ends.von, ends.bis) if ends else (FROM, TO)
     return panels.top_n(rows, SITE, *bounds, "browser", window="last30", topn=panels.topn_table(rows, meta), meta=meta)
 
 
@@ -290,7 +290,7 @@ def hr_tree_children(spark, sf_dir):
 
 
 def hr_url_tree(spark, sf_dir):
-    return panels.url_tree(_cube(spark, sf_dir), SITE, FROM, TO, limit=3)
+    return panels.url_tree(_cube(spark, sf_dir), SITE, FROM, TO, limit=3, offset=1)
 
 
 def tw_preset_windows(spark, sf_dir):
@@ -329,7 +329,7 @@ def dsh_cube(spark, sf_dir):
 
 def snk_csv_report(spark, sf_dir):
     rows = _analysis(spark, sf_dir)
-    return dashboards.csv_report(rows.cube(), rows.daily(), _meta(spark, sf_dir), SITE, FROM, TO).where("part BETWEEN 2 AND 11")
+    return dashboards.csv_report(rows.cube(), rows.daily(), _meta(spark, sf_dir), SITE, FROM, TO)
 
 
 def snk_migration(spark, sf_dir):
