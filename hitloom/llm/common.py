@@ -53,6 +53,12 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def readable(text: bytes | None) -> str:
+    """A text as characters: null is empty, and each ill-formed stretch is one U+FFFD, as
+    ``make_valid_utf8`` has it.  Operators that read characters all read texts like this."""
+    return text.decode("utf-8", "replace") if text else ""
+
+
 def bucket(column: Column, modulus: int) -> Column:
     """crc32 of the column as text, modulo ``modulus``: the folds of the labelled queries."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

@@ -51,6 +51,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         toxicity.held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["doc_id"], e["label"], F.round(e["similarity"], 4))), ",").alias("evidence"),
     )
 
 

@@ -1,8 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings.  A bounded sample of labelled documents picks the terms
-that tell the classes apart (log-likelihood ratio) and serves as the examples; document frequencies are
-counted over all documents.  The examples stand in an inverted index whose lists are cut into
+Terms are words and word beginnings.  A bounded sample of labelled documents serves as the
+examples, and all their terms span the space; document frequencies are counted over all documents.
+A weight is (1 + ln tf) * idf * relevance.  Relevance, from the log-likelihood ratio of a term
+between the classes, raises what tells them apart above the words that every text has; it is
+nowhere 0, so no term is left out.  The examples stand in an inverted index whose lists are cut into
 blocks, each with its largest weight.  A search sums those maxima to a bound per block, visits
 blocks by falling bound, and stops when no block can beat its kth neighbour, so the k nearest
 are exact.  Their similarity-weighted votes, with the base rate as one weak vote, give the score
@@ -21,25 +23,31 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import bounded_batches, bucket, materialize, utf8
+from hitloom.llm.common import bounded_batches, bucket, materialize, readable, utf8
 
 #: Labelled documents that each class gives to the sample, picked by a hash.
 PER_CLASS = 1500
-#: Terms kept at most, and the log-likelihood ratio (G squared) that a kept term reaches: it
-#: leaves about one term in 100,000 to chance, also among rare terms.
-TERMS, RATIO = 4096, 20.0
+#: Log-likelihood ratio (G squared) of full relevance, which leaves about one term in 100,000 to
+#: chance, and the least relevance of a term.
+RATIO, LEAST = 20.0, 0.03
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that the first round of a search visits; each round doubles the number.
+FIRST_BLOCKS = 6
+#: Similarity of five-word shingles from which examples of one label count as one.
+SAME = 0.8
 #: Weight of the base rate among the votes.
 BASE_VOTE = 0.25
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
+#: Multipliers of the four MinHash values that bring like examples together.
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
 def term_counts(text: bytes | None) -> Counter:
     """Occurrences of each word and, marked by ``*``, of each word beginning."""
-    words = Counter(WORDS.findall(text.decode().lower())) if text else Counter()
+    words = Counter(WORDS.findall(readable(text).lower()))
     out = Counter(words)
     for word, n in words.items():
         for length in BEGINNINGS:
@@ -64,26 +72,33 @@ def sample(labels: DataFrame, doc_id: str, label: str, most: int = PER_CLASS) ->
     return known.where(spread < share).withColumn("weight", 1 / share)
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + count), one range after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Model:
-    """Selected terms and, once built, the block-max index over the examples."""
+    """Terms with their relevance and, once built, the block-max index over the examples."""
 
     vocabulary: dict[str, int]
+    relevance: np.ndarray
     base: float
-    examples: list[tuple] = field(default_factory=list)  # (id, y, weight, {term: tf})
+    examples: list[tuple] = field(default_factory=list)  # (id, y, weight, terms, tf)
 
     def __post_init__(self):
         self.words = {t: i for t, i in self.vocabulary.items() if not t.endswith("*")}
         self.begin = [(n, {t[:-1]: i for t, i in self.vocabulary.items() if t.endswith("*") and len(t) == n + 1}) for n in BEGINNINGS]
         self.begin = [(n, d) for n, d in self.begin if d]
+        self.vocabulary_size = len(self.vocabulary)
+        self.vocabulary = {}
 
     def terms(self, text: bytes | None) -> dict[int, int]:
-        """Selected terms of a text and how often it has them."""
+        """Known terms of a text and how often it has them."""
         out: dict[int, int] = {}
-        if not text:
-            return out
         words, begin = self.words, self.begin
-        for word, n in Counter(WORDS.findall(text.decode().lower())).items():
+        for word, n in Counter(WORDS.findall(readable(text).lower())).items():
             if word in words:
                 out[words[word]] = out.get(words[word], 0) + n
             for length, known in begin:
@@ -92,55 +107,66 @@ class Model:
         return out
 
     def build(self, documents: int, frequency: np.ndarray) -> None:
-        self.idf = np.log((1 + documents) / (1 + frequency)) + 1
-        rows = sorted((e for e in self.examples if e[3]), key=self.place)
-        self.ids = [e[0] for e in rows]
-        self.y = np.array([e[1] for e in rows], dtype=float)
-        self.weight = np.array([e[2] for e in rows], dtype=float)
-        self.blocks = -(-len(rows) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for at, row in enumerate(rows):
-            for term, value in zip(*self.vector(row[3]), strict=True):
-                lists.setdefault(term, []).append((at, value))
-        self.peak = np.zeros((len(self.vocabulary), self.blocks))
-        self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for term, posts in lists.items():
-            at, value = np.array([p[0] for p in posts]), np.array([p[1] for p in posts])
-            for block in np.unique(at // BLOCK).tolist():
-                inside = at // BLOCK == block
-                self.lists[term, block] = (at[inside] - block * BLOCK, value[inside])
-                self.peak[term, block] = value[inside].max()
-
-    def place(self, example: tuple) -> tuple:
-        """Order of the examples: by their heaviest terms, so that the examples of a block are alike
-        and its largest weights bound it closely."""
-        ids, value = self.vector(example[3])
-        heavy = np.argsort(-value, kind="stable")[:3]
-        return (*[ids[i] for i in heavy], -1, -1, -1)[:3], example[0]
-
-    def vector(self, terms: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        """Terms and their TF-IDF weights at unit length."""
-        ids = sorted(terms)
-        value = (1 + np.log([terms[i] for i in ids])) * self.idf[ids]
-        return ids, value / np.sqrt((value**2).sum())
+        self.heft = (np.log((1 + documents) / (1 + frequency)) + 1) * self.relevance
+        vectors = [(e, *self.vector(dict(zip(e[3], e[4], strict=True)))) for e in self.examples if len(e[3])]
+        # By the heaviest terms, so that examples of a block are alike and its largest weights bound it closely.
+        heavy = lambda x: (*x[1][np.argsort(-x[2], kind="stable")[:3]].tolist(), -1, -1, -1)[:3]
+        vectors.sort(key=lambda x: (heavy(x), x[0][0]))
+        self.examples = []
+        self.ids = [x[0][0] for x in vectors]
+        self.y = np.array([x[0][1] for x in vectors], dtype=float)
+        self.weight = np.array([x[0][2] for x in vectors], dtype=float)
+        self.blocks = -(-len(vectors) // BLOCK)
+        term = np.concatenate([np.zeros(0, np.int64), *[x[1] for x in vectors]])
+        at = np.repeat(np.arange(len(vectors)), [len(x[1]) for x in vectors])
+        order = np.argsort(term, kind="stable")  # examples ascend within a term
+        self.at, self.value = at[order].astype(np.int32), np.concatenate([np.zeros(0), *[x[2] for x in vectors]])[order]
+        # One list for each term and block that meet: where its postings start, and their largest value.
+        key = term[order] * max(self.blocks, 1) + self.at // BLOCK
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        self.start = np.append(first, len(key))
+        self.block = (key[first] % max(self.blocks, 1)).astype(np.int32)
+        self.peak = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.lists = np.searchsorted(key[first] // max(self.blocks, 1), np.arange(self.vocabulary_size + 1))
+
+    def vector(self, terms: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights at unit length."""
+        ids = np.fromiter(terms.keys(), np.int64, len(terms))
+        value = (1 + np.log(np.fromiter(terms.values(), float, len(terms)))) * self.heft[ids]
+        order = np.argsort(ids)
+        return ids[order], value[order] / np.sqrt((value**2).sum())
 
     def nearest(self, terms: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(similarity, example) of the k most similar examples; ties to the earlier one."""
         if not terms or not self.blocks:
             return []
         ids, value = self.vector(terms)
-        bound = value @ self.peak[ids]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] - 1e-12:
+        counts = self.lists[ids + 1] - self.lists[ids]
+        lists = _ranges(self.lists[ids], counts)
+        value, block = np.repeat(value, counts), self.block[lists]
+        bound = np.bincount(block, value * self.peak[lists], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        kth, size, done = 0.0, FIRST_BLOCKS, 0
+        rows, found = np.zeros(0, np.int64), np.zeros(0)
+        while done < self.blocks:
+            chosen = order[done : done + size]
+            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= kth - 1e-12)]
+            if not len(chosen):
                 break
-            scores = np.zeros(BLOCK)
-            for term, v in zip(ids, value, strict=True):
-                if (posts := self.lists.get((term, block))) is not None:
-                    scores[posts[0]] += v * posts[1]
-            best += [(float(scores[i]), block * BLOCK + i) for i in np.flatnonzero(scores).tolist()]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            open_ = np.zeros(self.blocks, dtype=bool)
+            open_[chosen] = True
+            mine = open_[block]
+            starts = self.start[lists[mine]]
+            many = self.start[lists[mine] + 1] - starts
+            posts = _ranges(starts, many)
+            scores = np.bincount(self.at[posts], np.repeat(value[mine], many) * self.value[posts], len(self.ids))
+            fresh = np.flatnonzero(scores)
+            rows, found = np.concatenate((rows, fresh)), np.concatenate((found, scores[fresh]))
+            best = np.lexsort((rows, -found))[:k]
+            rows, found = rows[best], found[best]
+            kth = found[-1] if len(found) == k else 0.0
+            done, size = done + size, 2 * size
+        return list(zip(found.tolist(), rows.tolist(), strict=True))
 
     def score(self, terms: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
         """Probability of label 1 and the neighbours that voted; the base rate where none does."""
@@ -150,21 +176,33 @@ class Model:
         return (toxic + BASE_VOTE * self.base) / (float(votes.sum()) + BASE_VOTE), near
 
 
-def _families(rows: DataFrame) -> DataFrame:
-    """(id, first): the first id of the sampled documents that are near copies of each other.
+def shingles(text: bytes | None) -> np.ndarray:
+    """Hashes of the different five-word shingles of a text."""
+    words = (text or b"").lower().split()
+    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}), dtype=np.uint64)
+
+
+def merge_copies(rows: DataFrame) -> DataFrame:
+    """The sampled examples (id, y, weight, text) without near copies of one label.
 
-    Copies would make any of their words look typical of a class, so one of each family is kept.
-    Documents that share one of four MinHash values of their five-word shingles are a family.
-    Only the bounded sample is compared, four numbers a document.
+    Copies would make any of their words look typical of a class.  Examples of one label that share one
+    of four MinHash values and five-word shingles to ``SAME`` or more are one; the smallest id stays, with the weights of all.
     """
 
     def run(batches):
         for batch in batches:
-            least = [_min_hashes(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.list_(pa.int64()))], names=["id", "least"])
-
-    schema = rows.select("id", F.lit(None).cast("array<long>").alias("least")).schema
-    hashed = rows.select("id", "text").mapInArrow(run, schema).collect()
+            held = [shingles(t) for t in utf8(batch.column(2))]
+            least = [(h[:, None] * ODD).min(axis=0).view(np.int64) for h in held]
+            arrays = [batch.column(0), batch.column(1), pa.array(least, pa.list_(pa.int64())), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "y", "least", "shingles"])
+
+    schema = rows.select("id", "y", *[F.lit(None).cast("array<long>").alias(c) for c in ("least", "shingles")]).schema
+    hashed = materialize(rows.select("id", "y", "text").mapInArrow(run, schema), "shingles")
+    met = hashed.select("id", "y", F.posexplode("least").alias("nth", "value"))
+    links = met.join(met.groupBy("y", "nth", "value").agg(F.min("id").alias("first")), ["y", "nth", "value"]).where("id <> first").select("id", "first").distinct()
+    sides = links.join(hashed.select("id", F.col("shingles").alias("a")), "id").join(hashed.select(F.col("id").alias("first"), F.col("shingles").alias("b")), "first")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = sides.where(common >= SAME * (F.size("a") + F.size("b") - common)).select("id", "first").collect()  # four an example at most
     parent: dict = {}
 
     def find(x):
@@ -172,33 +210,24 @@ def _families(rows: DataFrame) -> DataFrame:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for r in hashed:
-        for i, h in enumerate(r.least):
-            parent[find((i, h))] = find((0, r.least[0]))
-    first: dict = {}
-    for r in sorted(hashed, key=lambda r: r.id):
-        first.setdefault(find((0, r.least[0])), r.id)
-    return rows.sparkSession.createDataFrame([(r.id, first[find((0, r.least[0]))]) for r in hashed], rows.select("id", F.col("id").alias("first")).schema)
-
-
-def _min_hashes(text: bytes | None) -> list[int]:
-    words = (text or b"").lower().split()
-    shingles = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-    h = np.array([xxhash.xxh64_intdigest(s) for s in shingles], dtype=np.uint64)
-    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
-    return (h[:, None] * odd[None, :]).min(axis=0).view(np.int64).tolist()
+    for r in alike:
+        a, b = sorted((find(r["id"]), find(r["first"])))
+        parent[b] = a
+    named = rows.sparkSession.createDataFrame([(x, find(x)) for x in list(parent)], rows.select("id", F.col("id").alias("first")).schema)
+    told = rows.join(F.broadcast(named), "id", "left").withColumn("first", F.coalesce("first", "id"))
+    weights = told.groupBy("first").agg(F.sum("weight").alias("weight"))
+    return told.where("id = first").drop("weight").join(weights, "first").select("id", "y", "weight", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = PER_CLASS) -> Model:
-    """Terms, document frequencies over all ``docs``, and the index of the sampled examples."""
+    """The index of the sampled examples over all their terms, with document frequencies over all ``docs``."""
     bounded_batches(docs.sparkSession)
     picked = F.broadcast(sample(labels, doc_id, label, most))  # at most about 2 * most narrow rows
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id")
     # One text of each id, so that an id of very many rows is no more than one example.
     rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("weight").alias("weight"), F.min("text").alias("text"))
-    rows = materialize(rows, "sampled")
-    rows = materialize(rows.join(F.broadcast(_families(rows)), "id").where("id = first").drop("first"), "examples")
-    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = materialize(merge_copies(materialize(rows, "sampled")), "examples")
+    sizes = {r.y: (r.n, r.w) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
 
     def count(batches):
         total: Counter = Counter()
@@ -208,50 +237,52 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["term", "y", "n"])
 
-    ones, zeros = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+    ones, zeros = (float(sizes.get(y, (0, 0.0))[0]) for y in (1, 0))
     per_term = rows.select("y", "text").mapInArrow(count, "term string, y int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).cast("double").alias("b")
     )
     part = lambda n, total, share: F.when(n > 0, n * F.log(n / (total * share))).otherwise(0.0)
     a, b, share = F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / F.lit(max(ones + zeros, 1.0))
     ratio = 2 * (part(a, F.lit(ones), share) + part(b, F.lit(zeros), share) + part(ones - a, F.lit(ones), 1 - share) + part(zeros - b, F.lit(zeros), 1 - share))
-    kept = per_term.withColumn("ratio", ratio).where(F.col("ratio") >= RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
-    model = Model({r.term: i for i, r in enumerate(sorted(kept, key=lambda r: r.term))}, 0.5)
+    told = per_term.select("term", ratio.alias("ratio")).toArrow()  # the terms of a bounded sample
+    names, ratios = told.column("term").to_pylist(), told.column("ratio").to_numpy()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    weigh, hits = {y: sizes.get(y, (0, 0.0))[1] or 0.0 for y in (0, 1)}, np.clip((ratios[order] / RATIO) ** 2, LEAST, 1.0)
+    model = Model({names[i]: n for n, i in enumerate(order)}, hits, (weigh[1] + 1) / (weigh[0] + weigh[1] + 2))
 
-    def examples(batches):
+    def known(batches):
         for batch in batches:
             found = [model.terms(t) for t in utf8(batch.column(3))]
             arrays = [*batch.columns[:3], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "y", "weight", "terms", "tf"])
 
     schema = rows.select("id", "y", "weight", F.lit(None).cast("array<int>").alias("terms"), F.lit(None).cast("array<int>").alias("tf")).schema
-    model.examples = [(r.id, r.y, r.weight, dict(zip(r.terms, r.tf, strict=True))) for r in rows.mapInArrow(examples, schema).collect()]
-    bare = [(e[1], e[2]) for e in model.examples if not e[3]]
-    model.base = (sum(w for y, w in bare if y) + 1) / (sum(w for _, w in bare) + 2)
+    model_rows = rows.mapInArrow(known, schema).collect()
+    n, frequency = _frequencies(docs, model, text)
+    model.examples = [tuple(r) for r in model_rows]
+    model.build(n, frequency)
     return model
 
 
-def term_table(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """Stores ``keep``, terms and tf of every document, from whole texts."""
-    slim = docs.select(*keep, F.col(text).alias("__text"))
-    schema = docs.select(*keep, F.lit(None).cast("array<int>").alias("terms"), F.lit(None).cast("array<int>").alias("tf")).schema
+def _frequencies(docs: DataFrame, model: Model, text: str) -> tuple[int, np.ndarray]:
+    """The number of all documents, and in how many of them each term occurs; tasks sum their own first."""
+    size = model.vocabulary_size
 
     def run(batches):
+        total, n = np.zeros(size + 1, dtype=np.int64), 0
         for batch in batches:
-            found = [model.terms(t) for t in utf8(batch.column(batch.num_columns - 1))]
-            arrays = [*batch.columns[:-1], pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            for t in utf8(batch.column(0)):
+                found = model.terms(t)
+                total[np.fromiter(found.keys(), np.int64, len(found))] += 1
+            n += batch.num_rows
+        total[size] = n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
 
-    return materialize(slim.mapInArrow(run, schema), "terms")
-
-
-def finish(model: Model, table: DataFrame) -> Model:
-    """Builds the index with the document frequencies of the whole table."""
-    frequency = np.zeros(len(model.vocabulary))
-    for r in table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():
-        frequency[r.term] = r.n
-    model.build(table.count(), frequency)
-    return model
+    counted = docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, dtype=np.int64)
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return int(out[size]), out[:size]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -259,32 +290,28 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     structs of doc_id, label and similarity, nearest first.
 
     ``labels`` holds the labels to learn from, and no others.  Null, empty and term-less texts get
-    the base rate and no evidence, as do all texts if nothing was labelled (then 0.5).  Repeated
-    documents score alike.
+    the base rate and no evidence, as do all texts if nothing was labelled (then 0.5).  Ill-formed
+    stretches part words.  Repeated documents score alike; ties go to the example that stands first.
     """
     model = train(docs, labels, text, doc_id, label)
-    table = term_table(docs, model, text, (doc_id,))
-    finish(model, table)
+    slim = docs.select(doc_id, F.col(text).alias("__text"))
     kind = dict(docs.dtypes)[doc_id]
     evidence = F.lit(None).cast(f"array<struct<doc_id:{kind},label:int,similarity:double>>").alias("evidence")
     schema = docs.select(doc_id, F.lit(0.0).alias("score"), evidence).schema
 
     def run(batches):
         for batch in batches:
-            found = [model.score(dict(zip(t, n, strict=True))) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [model.score(model.terms(t)) for t in utf8(batch.column(1))]
             near = [[{"doc_id": model.ids[i], "label": int(model.y[i]), "similarity": s} for s, i in x[1]] for x in found]
             struct = pa.struct([("doc_id", batch.column(0).type), ("label", pa.int32()), ("similarity", pa.float64())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array(near, pa.list_(struct))], names=schema.names)
 
-    # The stored table is small, so its files would make few tasks; searches are what costs.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return table.repartition(tasks).mapInArrow(run, schema)
+    return slim.mapInArrow(run, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below ``threshold``; columns unchanged."""
     model = train(docs, labels, text, doc_id, label)
-    finish(model, term_table(docs, model, text, ()))
     at = docs.columns.index(text)
 
     def run(batches):

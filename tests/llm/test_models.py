@@ -89,27 +89,79 @@ def test_toxicity_held_out(spark):
 
 def random_model(seed=5):
     rng = np.random.default_rng(seed)
-    terms = [f"t{i:03}" for i in range(40)]
-    examples = [(i, int(rng.integers(2)), 1.0, {int(t): int(rng.integers(1, 4)) for t in rng.choice(40, int(rng.integers(0, 6)), replace=False)}) for i in range(500)]
-    model = toxicity.Model({t: i for i, t in enumerate(terms)}, 0.1, examples)
+    examples = []
+    for i in range(500):
+        terms = rng.choice(40, int(rng.integers(0, 6)), replace=False).tolist()
+        examples.append((i, int(rng.integers(2)), 1.0, terms, rng.integers(1, 4, len(terms)).tolist()))
+    model = toxicity.Model({f"t{i:03}": i for i in range(40)}, rng.uniform(0.03, 1, 40), 0.1, list(examples))
     model.build(1000, rng.integers(1, 900, 40))
-    return model, rng
+    return model, rng, {e[0]: dict(zip(e[3], e[4], strict=True)) for e in examples}
 
 
 def test_nearest_is_exact():
-    model, rng = random_model()
-    vectors = {i: model.vector(e[3]) for i, e in enumerate(sorted((e for e in model.examples if e[3]), key=model.place))}
+    model, rng, examples = random_model()
+    vectors = {i: dict(zip(*(x.tolist() for x in model.vector(examples[name])), strict=True)) for i, name in enumerate(model.ids)}
     for _ in range(50):
         query = {int(t): int(rng.integers(1, 4)) for t in rng.choice(40, 4, replace=False)}
-        ids, value = model.vector(query)
-        weight = dict(zip(ids, value, strict=True))
-        sims = [(sum(weight.get(t, 0) * x for t, x in zip(*v, strict=True)), i) for i, v in vectors.items()]
-        want = sorted(((s, i) for s, i in sims if s > 0), key=lambda x: (-round(x[0], 9), x[1]))[: toxicity.NEIGHBOURS]
+        weight = dict(zip(*(x.tolist() for x in model.vector(query)), strict=True))
+        sims = [(sum(weight.get(t, 0) * x for t, x in v.items()), i) for i, v in vectors.items()]
+        want = sorted((s for s, i in sims if s > 0), reverse=True)[: toxicity.NEIGHBOURS]
         got = model.nearest(query)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
+        assert np.allclose([s for s, _ in got], want) and all(np.isclose(s, dict((i, x) for x, i in sims)[i]) for s, i in got)
     assert model.nearest({}) == [] and model.score({})[0] == 0.1
 
 
+def test_toxicity_beside_brute_force(spark, documents):
+    """Scores of all documents from TF-IDF vectors written out in full."""
+    rng = np.random.default_rng(3)
+    stock = [f"word{i}" for i in range(30)]
+    texts = {i: " ".join(rng.choice(stock, 12)) + (" vile" if i % 4 == 0 else "") for i in range(60)}
+    texts[60], texts[61], texts[62] = texts[0] + " word1", "", texts[8]
+    docs = documents(*[(i, t, "en", "a") for i, t in texts.items()])
+    labels = {i: int(i % 4 == 0) for i in range(0, 40)} | {62: 1}
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, table).collect()}
+    counts = {i: toxicity.term_counts(t.encode()) for i, t in texts.items()}
+    weights = {i: 1.0 for i in labels if i != 62}
+    weights[8] += 1  # 62 is its copy
+    ones, zeros = sum(labels[i] for i in weights), sum(1 - labels[i] for i in weights)
+
+    def relevance(term):
+        a, b = sum(term in counts[i] and labels[i] for i in weights), sum(term in counts[i] and not labels[i] for i in weights)
+        share = (a + b) / (ones + zeros)
+        part = lambda n, total, p: n * math.log(n / (total * p)) if n else 0.0
+        ratio = 2 * (part(a, ones, share) + part(b, zeros, share) + part(ones - a, ones, 1 - share) + part(zeros - b, zeros, 1 - share))
+        return min(1.0, max(0.03, (ratio / 20) ** 2))
+
+    space = {t for i in weights for t in counts[i]}
+    heft = {t: (math.log((1 + len(texts)) / (1 + sum(t in c for c in counts.values()))) + 1) * relevance(t) for t in space}
+
+    def vector(c):
+        v = {t: (1 + math.log(n)) * heft[t] for t, n in c.items() if t in heft}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: vector(counts[i]) for i in weights}
+    base = (sum(w * labels[i] for i, w in weights.items()) + 1) / (sum(weights.values()) + 2)
+    for i, c in counts.items():
+        q = vector(c) if c else {}
+        near = sorted(((sum(q.get(t, 0) * x for t, x in v.items()), j) for j, v in vectors.items()), reverse=True)[:15]
+        near = [(s, j) for s, j in near if s > 0]
+        votes = sum(s * weights[j] for s, j in near)
+        want = (sum(s * weights[j] * labels[j] for s, j in near) + 0.25 * base) / (votes + 0.25)
+        assert np.isclose(got[i].score, want, atol=1e-9), i
+        assert np.allclose([e.similarity for e in got[i].evidence], [s for s, _ in near])
+
+
+def test_ill_formed_texts(spark, documents):
+    bad = F.concat(F.lit("badly formed "), F.unhex(F.lit("ff41c3")).cast("string"), F.lit(" vile text"))
+    docs = documents("a plain text of some words", "another vile text").unionByName(documents((9, "x", "en", "a")).withColumn("text", bad))
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    assert toxicity.score_documents(docs, labels).count() == 3 and toxicity.reject(docs, labels, threshold=2.0).count() == 3
+    model = language_id.train(docs)
+    assert {r.lang_pred for r in language_id.identify(docs, model).collect()} == {"en"}
+
+
 def test_toxicity_edges(spark, documents, hard):
     labels = spark.createDataFrame([(1, 0), (4, 1), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     assert toxicity.score_documents(hard, labels).count() == 9
