@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings.  A bounded sample of labelled documents serves as the
+Terms are words.  A bounded sample of labelled documents serves as the
 examples, and all their terms span the space; document frequencies are counted over all documents.
 A weight is (1 + ln tf) * idf * relevance.  Relevance, from the log-likelihood ratio of a term
 between the classes, raises what tells them apart above the words that every text has; it is
@@ -30,7 +30,6 @@ PER_CLASS = 1500
 #: Log-likelihood ratio (G squared) of full relevance, which leaves about one term in 100,000 to
 #: chance, and the least relevance of a term.
 RATIO, LEAST = 20.0, 0.03
-BEGINNINGS = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks that the first round of a search visits; each round doubles the number.
@@ -46,14 +45,8 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27
 
 
 def term_counts(text: bytes | None) -> Counter:
-    """Occurrences of each word and, marked by ``*``, of each word beginning."""
-    words = Counter(WORDS.findall(readable(text).lower()))
-    out = Counter(words)
-    for word, n in words.items():
-        for length in BEGINNINGS:
-            if len(word) > length:
-                out[word[:length] + "*"] += n
-    return out
+    """Occurrences of each word."""
+    return Counter(WORDS.findall(readable(text).lower()))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -87,24 +80,10 @@ class Model:
     base: float
     examples: list[tuple] = field(default_factory=list)  # (id, y, weight, terms, tf)
 
-    def __post_init__(self):
-        self.words = {t: i for t, i in self.vocabulary.items() if not t.endswith("*")}
-        self.begin = [(n, {t[:-1]: i for t, i in self.vocabulary.items() if t.endswith("*") and len(t) == n + 1}) for n in BEGINNINGS]
-        self.begin = [(n, d) for n, d in self.begin if d]
-        self.vocabulary_size = len(self.vocabulary)
-        self.vocabulary = {}
-
     def terms(self, text: bytes | None) -> dict[int, int]:
         """Known terms of a text and how often it has them."""
-        out: dict[int, int] = {}
-        words, begin = self.words, self.begin
-        for word, n in Counter(WORDS.findall(readable(text).lower())).items():
-            if word in words:
-                out[words[word]] = out.get(words[word], 0) + n
-            for length, known in begin:
-                if len(word) > length and (i := known.get(word[:length])) is not None:
-                    out[i] = out.get(i, 0) + n
-        return out
+        known = self.vocabulary
+        return {known[t]: n for t, n in term_counts(text).items() if t in known}
 
     def build(self, documents: int, frequency: np.ndarray) -> None:
         self.heft = (np.log((1 + documents) / (1 + frequency)) + 1) * self.relevance
@@ -127,7 +106,7 @@ class Model:
         self.start = np.append(first, len(key))
         self.block = (key[first] % max(self.blocks, 1)).astype(np.int32)
         self.peak = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
-        self.lists = np.searchsorted(key[first] // max(self.blocks, 1), np.arange(self.vocabulary_size + 1))
+        self.lists = np.searchsorted(key[first] // max(self.blocks, 1), np.arange(len(self.vocabulary) + 1))
 
     def vector(self, terms: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their weights at unit length."""
@@ -266,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def _frequencies(docs: DataFrame, model: Model, text: str) -> tuple[int, np.ndarray]:
     """The number of all documents, and in how many of them each term occurs; tasks sum their own first."""
-    size = model.vocabulary_size
+    size = len(model.vocabulary)
 
     def run(batches):
         total, n = np.zeros(size + 1, dtype=np.int64), 0
