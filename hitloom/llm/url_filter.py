@@ -2,8 +2,12 @@
 
 Each URL is expanded into the expressions that some rule could equal: host suffixes by
 number of labels, path prefixes by length, in the shapes that the rule table has.  The
-expressions meet the rules on a short prefix of their digests; the full digest confirms,
-and the longest rule wins.  DataFrame functions only.
+expressions meet the rules on a short prefix of their digests; the full digest, taken of host and
+path with a byte between that no host holds, confirms, and the longest rule wins.  DataFrame functions only.
+
+A page meets at most one rule of a shape.  So where the rules have few shapes and may be broadcast, each
+shape is one equi-join that adds columns to the pages in place, and nothing is shuffled.  Otherwise
+the distinct URLs are expanded, and the rules found come back by the URL.
 """
 
 from __future__ import annotations
@@ -16,6 +20,10 @@ from hitloom.llm.common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules that may be broadcast: about 10 MB.  A longer table is joined by shuffle.
 BROADCAST_RULES = 50_000
+#: Shapes of rules that are joined one after the other.
+FEW_SHAPES = 16
+#: Stands between host and path in a digest; no host that a URL has can hold it.
+BETWEEN = "/"
 PREFIX_DIGITS = 8
 
 
@@ -40,38 +48,50 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     ``verdict`` (the rule's, else ``default``).  ``rules``: host, path, verdict.
 
     A rule fits its host and all subdomains, where the path starts with its own.  The longest
-    rule wins, then the longer host; of equal rules a block wins.  Rules with nulls or an
-    empty host never fit; null URLs have empty hosts.  Columns of the pages stay, in any number;
-    those named like the new ones are replaced.
+    rule wins, then the longer host; of equal rules a block wins.  Rules with nulls, an empty host
+    or a host with ``/``, ``?`` or ``#`` never fit; null URLs have empty hosts.  Columns of the
+    pages stay, in any number; those named like the new ones are replaced.  URLs may be of any length.
     """
-    rules = rules.dropna(subset=["host", "path", "verdict"]).where("host <> ''")
+    rules = rules.dropna(subset=["host", "path", "verdict"]).where("host <> ''").where(~F.col("host").rlike("[/?#]"))
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    rules = materialize(
-        rules.select(
-            F.concat("host", "path").alias("rule"),
-            "verdict",
-            F.length("host").alias("host_length"),
-            F.size(F.split("host", r"\.")).alias("labels"),
-            F.length("path").alias("path_length"),
-        ).withColumn("rule_digest", F.sha2("rule", 256)),
-        "rules",
-    )
-    shapes = [tuple(r) for r in rules.select("labels", "path_length").distinct().collect()]
-    known = rules.select("rule", "verdict", "host_length", "rule_digest", F.left("rule_digest", F.lit(PREFIX_DIGITS)).alias("short"))
-    if rules.count() <= BROADCAST_RULES:
-        known = F.broadcast(known)
-    parsed = pages.withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url)))
-    urls = parsed.select(F.col(url).alias("__url"), "host", "path")
-    fits = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(m).alias("path_length")) for n, m in shapes] or [F.lit(None).cast("struct<labels:int,path_length:int>")])
-    fits = F.filter(fits, lambda s: (s["labels"] <= F.size(F.split("host", r"\."))) & (s["path_length"] <= F.length("path")))
-    expression = F.concat(
-        F.array_join(F.slice(F.split("host", r"\."), -F.col("s.labels"), F.col("s.labels")), "."),
-        F.left("path", F.col("s.path_length")),
+    known = rules.select(
+        F.size(F.split("host", r"\.")).alias("labels"),
+        F.length("path").alias("path_length"),
+        F.sha2(F.concat("host", F.lit(BETWEEN), "path"), 256).alias("rule_digest"),
+        F.struct(F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("host_length"), F.concat("host", "path").alias("rule"), "verdict").alias("found"),
     )
-    expanded = urls.select("__url", "host", "path", F.explode(fits).alias("s")).select("__url", F.sha2(expression, 256).alias("digest"))
-    met = expanded.join(known, F.left("digest", F.lit(PREFIX_DIGITS)) == F.col("short")).where("digest = rule_digest")
-    longest = F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "verdict")).alias("best")
-    best = met.groupBy("__url").agg(longest).select("__url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    best = materialize(best, "matched-urls")
-    judged = parsed.drop("rule", "verdict").join(best, parsed[url] == best["__url"], "left").drop("__url")
-    return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    known = materialize(known.withColumn("short", F.left("rule_digest", F.lit(PREFIX_DIGITS))), "rules")
+    shapes = sorted(tuple(r) for r in known.select("labels", "path_length").distinct().collect())
+    parsed = pages.drop("rule", "verdict").withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url)))
+    if known.count() <= BROADCAST_RULES and len(shapes) <= FEW_SHAPES:
+        judged = parsed
+        for i, (labels, length) in enumerate(shapes):
+            own = known.where((F.col("labels") == labels) & (F.col("path_length") == length))
+            own = own.select(F.col("short").alias("__short"), F.col("rule_digest").alias("__confirm"), F.col("found").alias(f"__found{i}"))
+            digest = F.when(_fits(F.lit(labels), F.lit(length)), _digest(F.lit(labels), F.lit(length)))
+            judged = judged.withColumn("__digest", digest)
+            met = (F.left("__digest", F.lit(PREFIX_DIGITS)) == F.col("__short")) & (F.col("__digest") == F.col("__confirm"))
+            judged = judged.join(F.broadcast(own), met, "left").drop("__short", "__confirm", "__digest")
+        found = [F.col(f"__found{i}") for i in range(len(shapes))]
+        best = F.greatest(*found) if len(found) > 1 else (found or [F.lit(None).cast(known.schema["found"].dataType)])[0]
+        judged = judged.withColumn("__best", best).drop(*[f"__found{i}" for i in range(len(shapes))])
+    else:
+        listed = F.array(*[F.struct(F.lit(n).alias("labels"), F.lit(m).alias("path_length")) for n, m in shapes])
+        shape = F.explode(F.filter(listed, lambda s: _fits(s["labels"], s["path_length"])))
+        urls = parsed.select(F.col(url).alias("__url"), "host", "path").distinct()
+        expanded = urls.select("__url", "host", "path", shape.alias("s")).select("__url", _digest(F.col("s.labels"), F.col("s.path_length")).alias("digest"))
+        side = F.broadcast(known) if known.count() <= BROADCAST_RULES else known
+        met = expanded.join(side, F.left("digest", F.lit(PREFIX_DIGITS)) == F.col("short")).where("digest = rule_digest")
+        best = materialize(met.groupBy("__url").agg(F.max("found").alias("__best")), "matched-urls")
+        judged = parsed.join(best, parsed[url] == best["__url"], "left").drop("__url")
+    return judged.withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit(default))}).drop("__best")
+
+
+def _fits(labels: Column, length: Column) -> Column:
+    return (labels <= F.size(F.split("host", r"\."))) & (length <= F.length("path"))
+
+
+def _digest(labels: Column, length: Column) -> Column:
+    """Digest of the last labels of the host and the first characters of the path."""
+    suffix = F.array_join(F.slice(F.split("host", r"\."), -labels, labels), ".")
+    return F.sha2(F.concat(suffix, F.lit(BETWEEN), F.left("path", length)), 256)
