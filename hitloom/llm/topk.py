@@ -75,20 +75,16 @@ def _cell(table: pa.Table, k: int) -> pa.Table:
     members = np.flatnonzero(~asks)
     members = members[np.argsort(ids[members], kind="stable")]
     peak = int(max(abs(int(flat.min())), abs(int(flat.max())))) if len(flat) else 0
-    # Exact in doubles below 2^53; beyond that Python's integers take over.
-    kind = np.float64 if peak * peak * max(width, 1) < 1 << 53 else object
+    # Exact in doubles below 2^53; beyond that the same lists hold Python's integers.
+    vectors = vectors.astype(np.float64 if peak * peak * max(width, 1) < 1 << 53 else object)
     out: list[tuple] = []
     if len(members):
-        lists = Lists(vectors[members].astype(kind)) if kind is not object else None
+        lists = Lists(vectors[members])
         for i in np.flatnonzero(asks):
-            skip = np.flatnonzero(ids[members] == ids[i])
-            if lists:
-                rows, scores = lists.search(vectors[i].astype(kind), k, skip)
-            else:
-                exact = [sum(int(a) * int(b) for a, b in zip(v, vectors[i], strict=True)) for v in vectors[members]]
-                rows = sorted(set(range(len(members))) - set(skip.tolist()), key=lambda r: (-exact[r], r))[:k]
-                scores = [min(max(exact[r], LONG[0]), LONG[1]) for r in rows]
+            rows, scores = lists.search(vectors[i], k, np.flatnonzero(ids[members] == ids[i]))
             out += [(int(ids[i]), int(tags[i]), int(ids[members[r]]), int(s)) for r, s in zip(rows, scores, strict=True)]
+    if any(not LONG[0] <= x[3] <= LONG[1] for x in out):
+        raise OverflowError("a score is beyond the range of long; scale the vectors down")
     names = ("query_id", "tag", "vec_id", "score")
     return pa.table({n: pa.array([x[j] for x in out], pa.int64()) for j, n in enumerate(names)})
 
@@ -100,9 +96,12 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, vec_id: str = "vec_id",
     Rows without id and vectors that are null, or hold null or non-finite components, take
     no part.  Vectors of one length are compared.  Equal rows count once; rows that share
     the query's id are its own.  Ties go to the smaller id.  Fewer than k others give fewer rows.
+    Components and scores beyond the range of long raise.
     """
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    ints = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    scaled = lambda x: F.lit(scale) * x.cast("double")
+    beyond = F.raise_error(F.lit("a component is beyond the range of long")).cast("long")
+    ints = F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < float(1 << 62), F.floor(scaled(x))).otherwise(beyond))
     rows = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & sound).select(
         F.col(vec_id).cast("long").alias("id"), ints.alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks")
     )

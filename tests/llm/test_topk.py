@@ -43,6 +43,15 @@ def test_large_components_stay_exact(spark):
     assert run(spark, rows) == brute(rows, 5, lambda i: i % 3 == 0)
 
 
+def test_components_of_any_size_use_the_same_search(spark):
+    rows = [(i, [float(1e6 + 7 * i), float((i * 37) % 11)]) for i in range(40)]
+    assert run(spark, rows) == brute(rows, 5, lambda i: i % 3 == 0)
+    with pytest.raises(Exception, match="beyond the range of long"):
+        run(spark, [(0, [3e18, 1.0]), (1, [3e18, 1.0])])
+    with pytest.raises(Exception, match="beyond the range of long"):
+        run(spark, [(0, [3e12, 1.0]), (1, [3e12, 1.0])])
+
+
 @pytest.mark.parametrize("k", [1, 7])
 def test_stopping_early_loses_nothing(k):
     rng = np.random.default_rng(4)
