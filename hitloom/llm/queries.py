@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm import decontaminate, language_id, mixing, pii, quality_lm, sharding, simhash, topk, toxicity, url_filter
+from hitloom.llm.common import shared_dir
 
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -74,7 +75,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(_table(spark, sf_dir, "documents"), 8)
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"), 8, map_path=f"{shared_dir(spark)}/hitloom/shard-maps/op9")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 Records are hashed into thousands of slots, bytes are summed per slot, and the map sends
 slots to shards so that bytes are near equal.  Rebalancing edits the map: it moves as few
 slots as it can and stores the result as the next version; records never change slots.
+
+Records are hashed by their text, so equal texts, a group, share a slot and a shard.  A group that
+would tip a shard is split over slots by the hash of its ids as well.
 """
 
 from __future__ import annotations
@@ -15,7 +18,11 @@ from pyspark.sql import functions as F
 from hitloom.llm.common import materialize
 
 SLOTS = 4096
-MAP_SCHEMA = "version int, slot int, shard int"
+MAP_SCHEMA = "slot int, shard int"
+#: A group of equal texts is split once it has more than this share of a shard's bytes.
+HOT_SHARE = 1 / 16
+#: Share of the mean by which shards may differ before a stored map is edited.
+WITHIN = 0.002
 
 
 def slot_of(*columns: Column, slots: int = SLOTS) -> Column:
@@ -62,45 +69,77 @@ def rebalanced(current: list[int], sizes: dict[int, int], shards: int, within: f
         load[empty] += sizes[slot]
 
 
-def save_map(spark: SparkSession, path: str, version: int, shards: list[int]) -> DataFrame:
+def save_map(spark: SparkSession, path: str, version: int, shards: list[int]) -> None:
     """Stores the map as one version below ``path``; a version once written is never changed."""
-    rows = spark.createDataFrame([(version, slot, shard) for slot, shard in enumerate(shards)], MAP_SCHEMA)
+    rows = spark.createDataFrame(list(enumerate(shards)), MAP_SCHEMA)
     rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version:06d}")
-    return rows
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
-    rows = spark.read.schema("slot int, shard int").parquet(f"{path}/version={version:06d}").orderBy("slot").collect()
+    rows = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version:06d}").orderBy("slot").collect()
     return [r.shard for r in rows]
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The highest stored version whose writing was finished; 0 where there is none."""
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done) or []
+    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=0)
+
+
+def current_map(spark: SparkSession, path: str, sizes: dict[int, int], shards: int, slots: int = SLOTS) -> list[int]:
+    """The map to place records by: the latest stored version, edited where these sizes or the
+    number of shards ask for it; an edited or first map is stored as the next version."""
+    version = latest_version(spark, path)
+    before = load_map(spark, path, version) if version else None
+    if before is not None and len(before) != slots:
+        raise ValueError(f"the map at {path} has {len(before)} slots instead of {slots}; slots are fixed for good")
+    now = rebalanced(before if before is not None else balanced(sizes, shards, slots), sizes, shards, WITHIN)
+    if now != before:
+        save_map(spark, path, version + 1, now)
+    return now
+
+
 def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
     """Bytes and rows of each slot; as many rows as there are slots reach the driver, no more."""
     sums = rows.groupBy("vslot").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     return {r.vslot: (r["size"], r.n) for r in sums.collect()}
 
 
+def hot_texts(rows: DataFrame, shards: int) -> list[int]:
+    """Digests of the groups of equal texts that have more than ``HOT_SHARE`` of a shard's bytes; by
+    that share there are at most ``shards / HOT_SHARE``."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    sums = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    return [r.digest for r in sums.where((F.col("size") > total / shards * HOT_SHARE) & (F.col("n") > 1)).select("digest").collect()]
+
+
 def shard_rows(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
     Law ``bytes``: the sums of ``size`` (UTF-8 bytes plus one; null texts have none) are near
-    equal.  ``slot`` numbers the rows of a shard without gaps from 0, in the order of virtual slot,
+    equal.  Rows of equal text share a virtual slot, and so a shard, unless their group is so large that
+    it must be split.  ``slot`` numbers the rows of a shard without gaps from 0, in the order of virtual slot,
     id and text.  Each virtual slot is numbered by itself and starts where those before it end.
-    Null texts have crc 0; null ids are hashed like any other; an empty table gives no rows.
-    With ``map_path`` the map is stored there as version 1.
+    Null texts have crc 0 and are a group; null ids are hashed like any other; an empty table gives no rows.
+    With ``map_path`` the map stored there places the records: its latest version is loaded and
+    edited, and what was edited is stored as the next version.
     """
     slim = docs.select(
         F.col(doc_id).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
-        slot_of(F.col(doc_id), F.col(text), slots=slots).alias("vslot"),
+        F.xxhash64(text).alias("digest"),
     )
-    slim = materialize(slim, "slotted")
+    slim = materialize(slim, "digests")
+    hot = F.col("digest").isin(hot_texts(slim, shards))
+    slot = F.when(hot, slot_of(F.col("digest"), F.col("id"), slots=slots)).otherwise(slot_of(F.col("digest"), slots=slots))
+    slim = slim.withColumn("vslot", slot)
     sizes = slot_sizes(slim)
-    shard_map = balanced({s: x[0] for s, x in sizes.items()}, shards, slots)
     spark = docs.sparkSession
-    if map_path:
-        save_map(spark, map_path, 1, shard_map)
+    by_slot = {s: x[0] for s, x in sizes.items()}
+    shard_map = current_map(spark, map_path, by_slot, shards, slots) if map_path else rebalanced(balanced(by_slot, shards, slots), by_slot, shards, WITHIN)
     base, table = [0] * shards, []
     for slot, shard in enumerate(shard_map):
         table.append((slot, shard, base[shard]))

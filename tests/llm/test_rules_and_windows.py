@@ -1,7 +1,10 @@
 """URL rules, decontamination, sharding."""
 
+import itertools
+import random
 import zlib
 
+import numpy as np
 import pytest
 
 from hitloom.llm import decontaminate, sharding, url_filter
@@ -27,9 +30,10 @@ def brute_judge(url, rules):
     return host, path, best[1], best[2]
 
 
-@pytest.mark.parametrize("broadcast", [50_000, 0])
-def test_url_rules(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "shapes"), [(50_000, 16), (50_000, 2), (0, 16)])
+def test_url_rules(spark, monkeypatch, broadcast, shapes):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", broadcast)
+    monkeypatch.setattr(url_filter, "FEW_SHAPES", shapes)
     rules = [*URL_RULES, ("net", "/", "block"), ("c.org", "", "allow")]
     pages = spark.createDataFrame([(i, u, "old", "s") for i, u in enumerate(URLS + URLS[:3])], "page_id long, url string, rule string, labels string")
     given = spark.createDataFrame([*rules, (None, "/", "block"), ("", "/", "block")], "host string, path string, verdict string")
@@ -40,6 +44,16 @@ def test_url_rules(spark, monkeypatch, broadcast):
     assert url_filter.judge(pages.limit(0), given).count() == 0
 
 
+@pytest.mark.parametrize("shapes", [16, 0])
+def test_host_and_path_do_not_run_together(spark, monkeypatch, shapes):
+    monkeypatch.setattr(url_filter, "FEW_SHAPES", shapes)
+    rules = spark.createDataFrame([("a.co", "m", "block"), ("b.org", "", "allow"), ("c.org/x", "", "block")], "host string, path string, verdict string")
+    long = "https://c.org/" + "x/" * 50_000
+    pages = spark.createDataFrame([(1, "https://a.com"), (2, "https://a.com/x"), (3, "http://b.org"), (4, "https://c.org/x"), (5, long)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("b.org", "allow"), 4: (None, "allow"), 5: (None, "allow")}
+
+
 def words(text):
     out, word = [], ""
     for c in (text or "") + " ":
@@ -102,13 +116,40 @@ def test_proximity(spark, documents):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     docs = documents("red green blue", "red nice green blue", "blue green red", "red one two three green blue")
     near = decontaminate.contamination(docs, bench, slop=1)
-    assert {r.doc_id for r in near.where("n_hit > 0").collect()} == {0, 1}
+    assert {r.doc_id: r.hits for r in near.where("n_hit > 0").collect()} == {0: [0, 1, 2], 1: [0, 2, 3]}
+
+
+def test_proximity_beside_brute_force():
+    """Each word of a window on a position of its own, at most ``slop`` off, for some start."""
+    rng = random.Random(4)
+    for _ in range(200):
+        doc, item = [rng.choice("abc") for _ in range(7)], [rng.choice("abc") for _ in range(3)]
+        hit, slop = set(), rng.choice((1, 2))
+        for start in range(-4, 12):
+            fits = [p for p in itertools.permutations(range(len(doc)), 3) if all(doc[x] == item[i] and abs(x - start - i) <= slop for i, x in enumerate(p))]
+            hit |= {x for p in fits for x in p}
+        phrases = decontaminate.Phrases([("1", " ".join(item).encode())])
+        terms, lengths, at = decontaminate.postings(decontaminate.terms_of(" ".join(doc).encode()))
+        phrases.plan(np.ones(len(phrases.vocabulary)))
+        lists = dict(zip(terms.tolist(), np.split(at, np.cumsum(lengths)[:-1]), strict=True))
+        found = phrases.match({t: p for t, p in lists.items() if t in phrases.vocabulary}, slop)
+        assert bool(found) == bool(hit) and {x for p, _ in found for x in p} <= hit
+        assert all(len(set(p)) == 3 for p, _ in found)
+
+
+def test_benchmarks_in_parts(spark, documents, monkeypatch):
+    docs, bench = documents(*DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 100)
+    rows = {r.doc_id: (r.n_words, list(r.hits), list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert rows == {i: brute_hits(t, ITEMS) for i, t in enumerate(DOCS)}
 
 
-def test_large_benchmarks_are_refused(spark, documents, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 10)
-    with pytest.raises(ValueError):
-        decontaminate.contamination(documents("a"), spark.createDataFrame([(1, "a long text")], "item_id long, text string"))
+def test_an_index_serves_later_benchmarks(spark, documents):
+    index = decontaminate.build_index(documents(*DOCS))
+    for items in ([(1, "short item")], [(7, "straße été")], []):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        rows = {r.doc_id: (r.n_words, list(r.hits), list(r["items"])) for r in decontaminate.search(index, bench).collect()}
+        assert rows == {i: brute_hits(t, items) for i, t in enumerate(DOCS)}
 
 
 def test_shards(spark, documents, hard, tmp_path):
@@ -134,6 +175,29 @@ def test_shards(spark, documents, hard, tmp_path):
     assert {r.text_crc32 for r in sharding.shard_rows(hard).where("doc_id IN (2, 3)").collect()} == {0}
 
 
+def test_stored_map_places_later_records(spark, documents, tmp_path):
+    path = str(tmp_path / "map")
+    first = sharding.shard_rows(documents(*[f"text {i}" for i in range(4000)]), 8, map_path=path).collect()
+    grown = sharding.shard_rows(documents(*[f"text {i}" + " more" * (i // 3000) for i in range(4400)]), 8, map_path=path).collect()
+    assert sharding.latest_version(spark, path) == 2
+    old, new = ({r.doc_id: r for r in x} for x in (first, grown))
+    same = [i for i in range(3000) if old[i].shard == new[i].shard]
+    assert all(old[i].vslot == new[i].vslot for i in range(3000)) and len(same) > 2000
+    sums = [sum(r["size"] for r in grown if r.shard == s) for s in range(8)]
+    assert max(sums) - min(sums) <= 0.01 * sum(sums)
+
+
+def test_equal_texts_stay_together_unless_they_are_too_many(spark, documents):
+    texts = [f"group {i % 700}" for i in range(2100)] + ["hot"] * 3000 + [None, None]
+    rows = sharding.shard_rows(documents(*texts), 8).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(shards[t]) == 1 for t in set(texts) - {"hot"}) and len(shards["hot"]) == 8
+    sums = [sum(r["size"] for r in rows if r.shard == s) for s in range(8)]
+    assert max(sums) - min(sums) <= 0.01 * sum(sums)
+
+
 def test_rebalancing_moves_little():
     sizes = {s: 1 + s % 13 for s in range(400)}
     first = sharding.balanced(sizes, 8, 400)
