@@ -16,7 +16,7 @@ Entities leave the passes only as hashes.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import bounded_batches, materialize, utf8
+from hitloom.llm.common import bounded_batches, materialize, readable, utf8
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that may reveal it.
@@ -100,15 +100,19 @@ def context(text: str, spans: list[tuple[int, int, int, str]], reach: int = REAC
         else:
             starts.append(start)
             ends.append(end)
+    words = [m.span() for m in WORDS.finditer(text)] if spans else []
+    begins, stops = [w[0] for w in words], [w[1] for w in words]
+
+    def outside(start: int, stop: int) -> bool:
+        i = bisect_left(starts, stop) - 1  # the last stretch that begins before the word ends
+        return i < 0 or ends[i] <= start
+
     for kind, start, end, entity in spans:
-        left, right = max(0, start - 40 * reach), end + 40 * reach
-        near = [m for m in WORDS.finditer(text, left, start) if m.start() > left or left == 0][-reach:]
-        after = [m for m in WORDS.finditer(text, end, right) if m.end() < right or right >= len(text)][:reach]
+        before, after = bisect_right(stops, start), bisect_left(begins, end)
         name = _hash(f"{kind}:{entity}")
-        for m in near + after:
-            i = bisect_left(starts, m.end()) - 1  # the last stretch that begins before the word ends
-            if i < 0 or ends[i] <= m.start():
-                out.append((_hash(m[0].lower()), name, *m.span()))
+        for a, b in words[max(0, before - reach) : before] + words[after : after + reach]:
+            if outside(a, b):
+                out.append((_hash(text[a:b].lower()), name, a, b))
     return out
 
 
@@ -128,7 +132,7 @@ def scan(docs: DataFrame, text: str, reach: int = REACH) -> DataFrame:
     def run(batches):
         words = Counter()
         for batch in batches:
-            texts = [t.decode() for t in utf8(batch.column(0)) if t]
+            texts = [readable(t) for t in utf8(batch.column(0)) if t]
             near = [context(t, s, reach) for t in texts if (s := base_spans(t))]
             near = pa.array([[{"term": x[0], "entity": x[1]} for x in s] for s in near], pa.list_(NEAR))
             yield pa.RecordBatch.from_arrays([near, pa.nulls(len(near), pa.int64()), pa.nulls(len(near), pa.int64())], names=names)
@@ -177,7 +181,7 @@ def locate(docs: DataFrame, text: str, keep: tuple[str, ...], terms: DataFrame)
     def run(batches):
         rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = [t.decode() if t else "" for t in utf8(batch.column(batch.num_columns - 1))]
+            texts = [readable(t) for t in utf8(batch.column(batch.num_columns - 1))]
             base = [base_spans(t) for t in texts]
             found = [places(t, s, known) for t, s in zip(texts, base, strict=True)]
             arrays = [
@@ -217,7 +221,8 @@ def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     in code points, by start and kind; kinds are numbered as in ``KINDS``, and ``spans`` holds
     ``base`` and the disclosing terms.
 
-    Null and empty texts have empty arrays.  Repeated rows stay apart and each counts in the corpus.
+    Null and empty texts have empty arrays; places in an ill-formed text are those in
+    ``make_valid_utf8`` of it.  Repeated rows stay apart and each counts in the corpus.
     """
     table = scan(docs, text)
     near = table.where("near IS NOT NULL").select(F.explode("near").alias("x")).select("x.*")
@@ -244,12 +249,13 @@ def count_of(kind: str):
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with every span generalised to its kind, as in ``[email]``; null texts stay null.
+    """The documents with every span generalised to its kind, as in ``[email]``; null texts stay
+    null, and ill-formed stretches become U+FFFD.
 
     Of overlapping spans the first one covers the stretch that both share.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    found = find_spans(packed, keep=("row",)).withColumn("text", F.col("row").getField(text))
+    found = find_spans(packed, keep=("row",)).withColumn("text", F.make_valid_utf8(F.col("row").getField(text)))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, s):

@@ -1,8 +1,12 @@
+import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
-from hitloom.llm import pii
+from hitloom.llm import pii, queries
 from pyspark.sql import functions as F
 
 PATTERNS = {
@@ -87,3 +91,67 @@ def test_redact(spark, documents, hard):
     assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["to [email] or [ip]!", None, "", "x +[card] y"]
     assert pii.redact(docs).columns == docs.columns
     assert pii.redact(hard).columns == hard.columns and sorted(map(str, pii.redact(hard).collect())) == sorted(map(str, hard.collect()))
+
+
+def brute_disclosing(texts, reach=8, disclosure=0.95, support=3):
+    """The disclosing words and their places, from plain counts over all texts."""
+    word = re.compile(r"[^\W_]+")
+    n, pairs = Counter(w.lower() for t in texts for w in word.findall(t)), Counter()
+    for t in texts:
+        spans = slow_spans(t)
+        covered = {i for _, a, b in spans for i in range(a, b)}
+        words = [m.span() for m in word.finditer(t)]
+        for k, a, b in spans:
+            digits = re.sub("[^0-9]", "", t[a:b])
+            entity = (k, {0: t[a:b].lower(), 1: ".".join(str(int(p)) for p in t[a:b].split(".")) if k == 1 else ""}.get(k, digits))
+            near = [w for w in words if w[1] <= a][-reach:] + [w for w in words if w[0] >= b][:reach]
+            pairs.update((t[x:y].lower(), entity) for x, y in near if not covered & set(range(x, y)))
+    around, total = Counter(), sum(n.values())
+    for (_, e), c in pairs.items():
+        around[e] += c
+    told = set()
+    for (w, e), c in pairs.items():
+        c0 = min(c, n[w], around[e])
+        if c >= support and math.log2(c0 * total / (n[w] * around[e])) / -math.log2(around[e] / total) >= disclosure:
+            told.add(w)
+    out = []
+    for t in texts:
+        spans = slow_spans(t)
+        covered = {i for _, a, b in spans for i in range(a, b)}
+        terms = [(4, *m.span()) for m in word.finditer(t) if m[0].lower() in told and not covered & set(range(*m.span()))]
+        out.append(sorted(spans + terms, key=lambda s: (s[1], s[0], s[2])))
+    return out
+
+
+def test_query_beside_brute_force(spark, documents, tmp_path):
+    """All columns of the registered query on texts with names, long words and wide gaps around entities."""
+    rng = random.Random(7)
+    stock = [f"w{i}" for i in range(60)] + ["x" * 120, "İstanbul", "É"]
+    names = {"jo@x.org": "Zorbulon", "10.1.2.3": "Quex", "+49 30 1234567": "Li"}
+    texts = []
+    for i in range(150):
+        words = [rng.choice(stock) for _ in range(rng.randrange(0, 25))]
+        if i % 3 == 0:
+            entity = list(names)[i % 9 // 3]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = [names[entity] + " " * rng.randrange(1, 60), entity]
+        texts.append(" ".join(words))
+    texts += ["Zorbulon far from it", "", None]
+    docs = documents(*texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op7_disclosure(spark, str(tmp_path)).collect()}
+    kinds = ("email", "ip", "card", "phone", "term")
+    said = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for k, a, b in spans)
+    for i, spans in enumerate(brute_disclosing([t or "" for t in texts])):
+        base = [s for s in spans if s[0] < 4]
+        assert (got[i].spans, got[i].base_sha256) == (said(spans), hashlib.sha256(said(base).encode()).hexdigest()), texts[i]
+        assert [got[i][f"n_{k}"] for k in kinds[:4]] == [sum(s[0] == k for s in base) for k in range(4)]
+
+
+def test_ill_formed_texts(spark, documents):
+    bad = F.concat(F.lit("a "), F.unhex(F.lit("c328f0")).cast("string"), F.lit(" jo@x.org end"))
+    docs = documents("x").withColumn("text", bad)
+    text = b"a \xc3(\xf0 jo@x.org end".decode("utf-8", "replace")
+    (row,) = pii.find_spans(docs).collect()
+    assert [text[s.start : s.end] for s in row.base] == ["jo@x.org"]
+    assert pii.redact(docs).first().text == text.replace("jo@x.org", "[email]")
