@@ -80,7 +80,7 @@ def op9_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))), most=language_id.TRAIN_BYTES)
     found = language_id.identify(docs, model)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

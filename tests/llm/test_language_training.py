@@ -12,8 +12,11 @@ def test_languages_of_copies_are_learnt(spark, documents):
 
 def test_all_text_is_counted(spark, documents):
     docs = documents(*[(i, f"{w} and more " * 120_000, "xx", "a") for i, w in enumerate(("plain", "simple", "other"))], (9, "short one", "yy", "a"))
-    model, whole = language_id.train(docs), language_id.Model([tuple(r) for r in language_id.count_contexts(docs, "text", "lang").collect()])
-    assert model.langs == ["xx", "yy"] and np.array_equal(model.table, whole.table)
+    model, counts = language_id.train(docs), language_id.count_contexts(docs, "text", "lang").toPandas()
+    whole = language_id.Model(counts.lang.tolist(), counts.gram.to_numpy(), counts.n.to_numpy())
+    assert model.langs == ["xx", "yy"] and sum(model.trees[0].counts[0]) == sum(len(f"{w} and more " * 120_000) for w in ("plain", "simple", "other"))
+    for one, other in zip(model.trees, whole.trees, strict=True):
+        assert all(np.array_equal(a, b) for held in ("grams", "counts", "contexts", "stats") for a, b in zip(getattr(one, held), getattr(other, held), strict=True))
 
 
 def test_long_texts_are_counted_whole(spark, documents, monkeypatch):

@@ -173,18 +173,18 @@ def test_toxicity_edges(spark, documents, hard):
 
 def slow_bits(text, grams):
     """Code length under method C with exclusions, straight from the counts."""
-    total = 0.0
-    data = [256, 256, *text]
-    for i in range(2, len(data)):
+    total, order = 0.0, language_id.ORDER
+    data = [256] * order + list(text)
+    for i in range(order, len(data)):
         seen, done = set(), False
-        for order in (2, 1, 0):
-            context = tuple(data[i - order : i])
+        for size in range(order, -1, -1):
+            context = tuple(data[i - size : i])
             if 256 in context:
                 continue
             n = Counter()
             for g, k in grams.items():
-                if g[2 - order : 2] == context and g[2] not in seen:
-                    n[g[2]] += k
+                if g[order - size : order] == context and g[order] not in seen:
+                    n[g[order]] += k
             if not n:
                 continue
             base = sum(n.values()) + len(n)
@@ -199,21 +199,42 @@ def slow_bits(text, grams):
     return total
 
 
-@pytest.mark.parametrize("text", [b"abab", b"a", b"zzza", "éa".encode(), b"", b"banana bandana" * 3])
+@pytest.mark.parametrize("text", [b"abab", b"a", b"zzza", "éa".encode(), b"", b"banana bandana" * 3, b"abracadabrabanana", b"nananab"])
 def test_code_lengths(text, monkeypatch):
-    corpus = {"x": [b"abracadabra", b"banana"], "y": ["éàé".encode(), b"zz"]}
-    rows, grams = [], {}
+    corpus = {"x": [b"abracadabra", b"banana", b"bananas and cadabra"], "y": ["éàé".encode(), b"zz", b"ab"]}
+    langs, codes, counts, grams = [], [], [], {}
     for name, texts in corpus.items():
         grams[name] = Counter()
         for t in texts:
-            data = [256, 256, *t]
-            grams[name].update(tuple(data[i - 2 : i + 1]) for i in range(2, len(data)))
-        rows += [(name, (a * 257 + b) * 257 + c, n) for (a, b, c), n in grams[name].items()]
-    model = language_id.Model(rows)
+            data = [256] * 4 + list(t)
+            grams[name].update(tuple(data[i - 4 : i + 1]) for i in range(4, len(data)))
+        for g, n in grams[name].items():
+            langs.append(name)
+            codes.append(sum(x * 257 ** (4 - i) for i, x in enumerate(g)))
+            counts.append(n)
+    model = language_id.Model(langs, np.array(codes), np.array(counts))
     want = [slow_bits(text, grams[x]) for x in model.langs]
-    assert np.allclose(model.bits([text])[0], want, atol=1e-3)
-    monkeypatch.setattr(language_id, "CHUNK", 4)
-    assert np.allclose(model.bits([text])[0], want, atol=1e-3)
+    for kept, chunk in ((1 << 22, 1 << 22), (4, 4)):
+        monkeypatch.setattr(language_id, "KEPT", kept)
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        coder = model.coder()
+        coder.chunk = chunk
+        got = coder.bits([text, b"", text, b"other" * 9, text])
+        assert np.allclose(got[[0, 2, 4]], want, atol=1e-3) and (got[1] == 0).all()
+        assert np.allclose(coder.bits([text])[0], want, atol=1e-3)
+
+
+def test_many_languages_share_the_sample(spark, documents):
+    docs = documents(*[(i, f"text number {i} of its own language", f"l{i % 1200:04}", "a") for i in range(2400)])
+    assert len(language_id.train(docs).langs) == 1200
+    kept = language_id.sample(docs, "text", "lang", 2_000_000, total=1200).groupBy("lang").count().collect()
+    assert len(kept) == 1200 and sum(r["count"] for r in kept) < 1300
+
+
+def test_ties_go_to_the_first_language(spark, documents):
+    model = language_id.train(documents((1, "same words", "b", "s"), (2, "same words", "a", "s")))
+    (row,) = language_id.identify(documents("same"), model).collect()
+    assert row.lang_pred == "a" and abs(row.score - 0.5) < 1e-6
 
 
 def test_languages_held_out(spark):
