@@ -1,6 +1,7 @@
 import corpus_pipeline
-from hitloom.llm import decontaminate, simhash, toxicity
+from hitloom.llm import decontaminate, toxicity
 from pyspark.sql import functions as F
+from test_simhash import similar_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,8 @@ def test_stages(spark, tmp_path):
             bad = {r.doc_id for r in toxicity.score_documents(docs, labels).where(F.col("score") >= toxicity.THRESHOLD).collect()}
             want = ids - bad
         elif i == 1:
-            want = {r.component_id for r in simhash.simhash_components(docs).collect()}
+            held = docs.orderBy("doc_id").collect()
+            want = {held[g].doc_id for g in similar_groups([r.text for r in held])[0]}
         elif i == 2:
             bench = spark.read.parquet(f"{SF}/benchmark.parquet")
             want = {r.doc_id for r in decontaminate.contamination(docs, bench).where("n_hit = 0").collect()}

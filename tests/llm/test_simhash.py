@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 import pytest
 import xxhash
@@ -96,3 +99,72 @@ def test_dedup(spark, documents, hard):
     assert simhash.dedup(docs.limit(0)).count() == 0
     alone = documents((None, "x y z w", "en", "a"), (None, "x y z w", "en", "a"), (None, "quite another text is this", "en", "a"))
     assert simhash.dedup(alone).count() == 2
+
+
+def five_word_sets(texts):
+    out = []
+    for t in texts:
+        words = [w for w in re.split("[ \t-\r]+", (t or "")) if w]
+        words = ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words]
+        out.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def similar_groups(texts):
+    """Smallest index of each text's group, from the exact similarity of all pairs; and the number of linked pairs."""
+    sets, group, links = five_word_sets(texts), list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if not both or len(sets[i] & sets[j]) >= 0.8 * both:
+                links.append((i, j))
+    for _ in texts:
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    return group, links
+
+
+def edited_texts(seed=1):
+    rng, texts = random.Random(seed), []
+    for n in (4, 12, 40, 200, 700):
+        for _ in range(8):
+            words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for share in (0.0, 0.01, 0.03, 0.1, 0.3):
+                texts.append(" ".join("X" + w if rng.random() < share else w for w in words))
+    return texts + ["", None, " "]
+
+
+@pytest.mark.parametrize(("cell_bytes", "keys"), [(32 << 20, 1_000_000), (3000, 0)])
+def test_near_copies_beside_all_pairs(spark, documents, monkeypatch, cell_bytes, keys):
+    """No group is wider than the links of all pairs make it, and nearly all links are found."""
+    monkeypatch.setattr(simhash.copy_links, "__defaults__", (cell_bytes,))
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", keys)
+    texts = edited_texts()
+    docs = documents(*texts, (5, texts[5], "en", "a"))
+    want, links = similar_groups(texts)
+    roots = {r.id: r.root for r in simhash.near_copies(docs).collect()}
+    assert all(want[i] == want[j] for i in range(len(texts)) for j in range(i) if roots[i] == roots[j])
+    found = [roots[i] == roots[j] for i, j in links]
+    assert sum(found) >= 0.97 * len(found)
+    kept = sorted(r.doc_id for r in simhash.dedup(docs).collect())
+    least = {}
+    for i, r in roots.items():
+        least[r] = min(least.get(r, i), i)
+    assert kept == sorted(least.values())
+
+
+def test_the_tree_prunes():
+    """A search visits only the children whose edge lies within the radius of its own distance."""
+    rng = np.random.default_rng(8)
+    members = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    tree, visited = simhash.BKTree(members), 0
+    todo = [tree]
+    query = members[1234]
+    while todo:
+        node = todo.pop()
+        visited += 1
+        gap = int(np.bitwise_count(query ^ node.root))
+        todo += [c for e, c in node.children.items() if abs(e - gap) <= 3]
+    assert visited < len(members) / 2
+    assert [int(m) for m, _ in tree.links(np.array([query]))] == [int(query)]
