@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.llm import decontaminate, mixing, sharding, simhash, toxicity
-from hitloom.llm.common import materialize
+from hitloom.llm.common import materialize, shared_dir
 
 #: SQL cannot express the stages that learn, hash with XXH64 or balance slots.
 ORACLE_SQL = None
@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and place of each document."""
-    return sharding.shard_rows(docs)
+    """Shard and place of each document, by the stored map of the pipeline."""
+    return sharding.shard_rows(docs, map_path=f"{shared_dir(spark)}/hitloom/shard-maps/pipeline")
 
 
 STAGES = [
