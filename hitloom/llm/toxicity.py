@@ -33,7 +33,7 @@ RATIO, LEAST = 20.0, 0.03
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks that the first round of a search visits; each round doubles the number.
-FIRST_BLOCKS = 6
+FIRST_BLOCKS = 12
 #: Similarity of five-word shingles from which examples of one label count as one.
 SAME = 0.8
 #: Weight of the base rate among the votes.
@@ -68,7 +68,9 @@ def sample(labels: DataFrame, doc_id: str, label: str, most: int = PER_CLASS) ->
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers of all ranges [start, start + count), one range after the other."""
     ends = np.cumsum(counts)
-    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(starts - ends + counts, counts)
+    out += np.arange(len(out))
+    return out
 
 
 @dataclass
@@ -99,12 +101,12 @@ class Model:
         term = np.concatenate([np.zeros(0, np.int64), *[x[1] for x in vectors]])
         at = np.repeat(np.arange(len(vectors)), [len(x[1]) for x in vectors])
         order = np.argsort(term, kind="stable")  # examples ascend within a term
-        self.at, self.value = at[order].astype(np.int32), np.concatenate([np.zeros(0), *[x[2] for x in vectors]])[order]
+        self.at, self.value = at[order], np.concatenate([np.zeros(0), *[x[2] for x in vectors]])[order]
         # One list for each term and block that meet: where its postings start, and their largest value.
         key = term[order] * max(self.blocks, 1) + self.at // BLOCK
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
         self.start = np.append(first, len(key))
-        self.block = (key[first] % max(self.blocks, 1)).astype(np.int32)
+        self.block = key[first] % max(self.blocks, 1)
         self.peak = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.lists = np.searchsorted(key[first] // max(self.blocks, 1), np.arange(len(self.vocabulary) + 1))
 
@@ -122,8 +124,10 @@ class Model:
         ids, value = self.vector(terms)
         counts = self.lists[ids + 1] - self.lists[ids]
         lists = _ranges(self.lists[ids], counts)
-        value, block = np.repeat(value, counts), self.block[lists]
-        bound = np.bincount(block, value * self.peak[lists], self.blocks)
+        value, block = np.repeat(value, counts), self.block.take(lists)
+        begin = self.start.take(lists)
+        length = self.start.take(lists + 1) - begin
+        bound = np.bincount(block, value * self.peak.take(lists), self.blocks)
         order = np.argsort(-bound, kind="stable")
         kth, size, done = 0.0, FIRST_BLOCKS, 0
         rows, found = np.zeros(0, np.int64), np.zeros(0)
@@ -134,12 +138,13 @@ class Model:
                 break
             open_ = np.zeros(self.blocks, dtype=bool)
             open_[chosen] = True
-            mine = open_[block]
-            starts = self.start[lists[mine]]
-            many = self.start[lists[mine] + 1] - starts
+            mine = np.flatnonzero(open_.take(block))
+            starts, many = begin.take(mine), length.take(mine)
             posts = _ranges(starts, many)
-            scores = np.bincount(self.at[posts], np.repeat(value[mine], many) * self.value[posts], len(self.ids))
-            fresh = np.flatnonzero(scores)
+            weight = np.repeat(value.take(mine), many)
+            weight *= self.value.take(posts)
+            scores = np.bincount(self.at.take(posts), weight, len(self.ids))
+            fresh = np.flatnonzero(scores > max(kth - 1e-12, 0.0))
             rows, found = np.concatenate((rows, fresh)), np.concatenate((found, scores[fresh]))
             best = np.lexsort((rows, -found))[:k]
             rows, found = rows[best], found[best]
@@ -245,14 +250,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def _frequencies(docs: DataFrame, model: Model, text: str) -> tuple[int, np.ndarray]:
     """The number of all documents, and in how many of them each term occurs; tasks sum their own first."""
-    size = len(model.vocabulary)
+    known, size = model.vocabulary, len(model.vocabulary)
 
     def run(batches):
         total, n = np.zeros(size + 1, dtype=np.int64), 0
         for batch in batches:
             for t in utf8(batch.column(0)):
-                found = model.terms(t)
-                total[np.fromiter(found.keys(), np.int64, len(found))] += 1
+                total[[known[w] for w in set(WORDS.findall(readable(t).lower())) if w in known]] += 1
             n += batch.num_rows
         total[size] = n
         some = np.flatnonzero(total)
