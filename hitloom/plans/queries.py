@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from hitloom.plans import checks, dashboards, tables
 from hitloom.plans.importing import Analysis, ImportConfig, import_sites, parsed_hits
 from hitloom.sources import derived
 from hitloom.sources.lines import parse_lines
-from hitloom.streaming.streams import days_to_build
+from hitloom.streaming.streams import days_to_build, stream_buckets, stream_sessions
 
 TZ, SALT = "Europe/Berlin", "s"
 SITE, FROM, TO = 1, "2024-01-11", "2024-01-20"
@@ -196,8 +198,7 @@ def wn_sessionize(spark, sf_dir):
 
 
 def wn_session_window(spark, sf_dir):
-    rows = hits.successful(_hits(spark, sf_dir))
-    found = rows.groupBy(F.session_window("ts", "30 minutes").alias("w"), "site_id", "vkey").agg(F.count("*").alias("pageviews"), F.min("ts").alias("started"))
+    found = stream_sessions(_hits(spark, sf_dir))
     return found.select("site_id", "vkey", F.unix_seconds("started").alias("started"), "pageviews")
 
 
@@ -245,7 +246,8 @@ def ag_dim_totals(spark, sf_dir):
 
 
 def st_local_hours(spark, sf_dir):
-    return hits.successful(_hits(spark, sf_dir)).groupBy("site_id", "datum", "stunde").agg(F.count("*").alias("pageviews"), F.sum("bytes").alias("bytes"))
+    found = stream_buckets(_hits(spark, sf_dir), TZ)
+    return found.select("site_id", F.to_date("bucket").alias("datum"), F.hour("bucket").alias("stunde"), "pageviews", "bytes")
 
 
 def st_days_to_build(spark, sf_dir):
@@ -339,8 +341,39 @@ def snk_migration(spark, sf_dir):
     return tables.migrate_v1_to_v2(old, _meta(spark, sf_dir).drop("tz", "schema_version"))[0]
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tables.Tables:
+    """Tables below the shared or the warehouse folder, filled by an import."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    store = tables.Tables(spark, f"{top.rstrip('/')}/hitloom-tables-{uuid.uuid4().hex}")
+    rows = _analysis(spark, sf_dir)
+    tables.replace_days(store, rows.cube(), rows.daily())
+    tables.rebuild_meta(store, _sites(spark), TZ)
+    return store
+
+
+def snk_replaced(spark, sf_dir):
+    """A later import of some days replaces these, and days of its range that it lacks go."""
+    store = _stored(spark, sf_dir)
+    daily = store.read("daily").where(F.col("datum").between(FROM, TO) & (F.day("datum") % 3 != 0) & (F.col("site_id") == SITE))
+    part = daily.withColumn("visits", F.col("visits") * 10)
+    tables.replace_days(store, store.read("cube").limit(0), part, SITE, FROM, TO)
+    return store.read("daily")
+
+
 def snk_purged(spark, sf_dir):
-    return _daily(spark, sf_dir).where(F.col("datum") >= F.add_months(F.lit("2024-02-15").cast("date"), -1))
+    store = _stored(spark, sf_dir)
+    tables.purge(store, 1, "2024-02-15")
+    return store.read("daily")
+
+
+def ag_table_counts(spark, sf_dir):
+    store = _stored(spark, sf_dir)
+    tables.rebuild_topn(store, _sites(spark))
+    return checks.table_counts(store)
+
+
+def chk_smoke(spark, sf_dir):
+    return checks.smoke(_stored(spark, sf_dir))
 
 
 def chk_freshness(spark, sf_dir):

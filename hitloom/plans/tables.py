@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -48,9 +49,9 @@ class Tables:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
 
-    def partitions(self, table: str) -> list[tuple[int, datetime.date]]:
-        """(site, day) of the stored partitions, from folder names alone."""
-        fs, where = self._fs(self.path(table) + "/site_id=*/datum=*")
+    def partitions(self, table: str, folder: str | None = None) -> list[tuple[int, datetime.date]]:
+        """(site, day) of the stored partitions, or of those staged in ``folder``, from folder names alone."""
+        fs, where = self._fs((folder or self.path(table)) + "/site_id=*/datum=*")
         found = [str(s.getPath().toString()).split("/")[-2:] for s in fs.globStatus(where) or []]
         return [(int(a.split("=")[1]), datetime.date.fromisoformat(b.split("=")[1])) for a, b in found]
 
@@ -59,14 +60,32 @@ class Tables:
             fs, where = self._fs(f"{self.path(table)}/site_id={site}/datum={day.isoformat()}")
             fs.delete(where, True)
 
-    def write(self, table: str, rows: DataFrame) -> None:
+    def stage(self, table: str, rows: DataFrame) -> str:
+        """Writes the rows beside the table, where no reader sees them; gives the folder."""
+        staged = f"{self.folder}/_staged/{table}-{uuid.uuid4().hex}"
+        self.write(table, rows, staged)
+        return staged
+
+    def move_days(self, table: str, staged: str) -> None:
+        """Puts the staged days in place of the stored ones, each by a rename, and drops what is left."""
+        for site, day in self.partitions(table, staged):
+            part = f"site_id={site}/datum={day.isoformat()}"
+            fs, target = self._fs(f"{self.path(table)}/{part}")
+            fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            if not fs.rename(self._fs(f"{staged}/{part}")[1], target):
+                raise OSError(f"{part} of {table} could not be moved; {staged} still has it")
+        fs, where = self._fs(staged)
+        fs.delete(where, True)
+
+    def write(self, table: str, rows: DataFrame, path: str | None = None) -> None:
         """Replaces the partitions that the rows have; all others stay.  Rows of a partition are
         gathered and sorted, so readers skip row groups of other dimensions."""
         keys = PARTITIONS[table]
         rest = [c for c in ("win", "dim", "parent", "dimkey") if c in rows.columns]
         columns = [F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in SCHEMAS[table].split(", ")]
         rows = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *rest)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(table))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path or self.path(table))
 
 
 def replace_days(tables: Tables, cube_rows: DataFrame, daily_rows: DataFrame, site: int | None = None, day_from: str | None = None, day_to: str | None = None) -> None:
@@ -76,17 +95,21 @@ def replace_days(tables: Tables, cube_rows: DataFrame, daily_rows: DataFrame, si
     the range that the batch lacks are cleared, everything outside stays.  Storing a batch twice
     gives what storing it once does.  With an explicit range and an empty batch a stretch is undone.
     """
-    ends = daily_rows.select("site_id", "datum").unionByName(cube_rows.select("site_id", "datum")).groupBy("site_id").agg(F.min("datum").alias("a"), F.max("datum").alias("b"))
-    ranges = {r.site_id: (r.a, r.b) for r in ends.collect()}
+    mine = lambda x: x if site is None else x.where(F.col("site_id") == site)
+    batch = {"cube": mine(cube_rows), "daily": mine(daily_rows)}
+    # Each relation runs once; nothing stored changes before both are staged whole.
+    staged = {name: tables.stage(name, rows) for name, rows in batch.items()}
+    fresh = {name: set(tables.partitions(name, folder)) for name, folder in staged.items()}
+    met = fresh["cube"] | fresh["daily"]
+    ranges = {s: (min(d for x, d in met if x == s), max(d for x, d in met if x == s)) for s in {x for x, _ in met}}
     if day_from is not None:
         if site is None and not ranges:
             raise ValueError("an empty batch needs a site")
         named = (datetime.date.fromisoformat(day_from), datetime.date.fromisoformat(day_to or day_from))
         ranges = {s: named for s in ([site] if site is not None else ranges)}
-    for name, rows in (("cube", cube_rows), ("daily", daily_rows)):
-        tables.write(name, rows if site is None else rows.where(F.col("site_id") == site))
-        fresh = {(r.site_id, r.datum) for r in rows.select("site_id", "datum").distinct().collect()}
-        stale = [(s, d) for s, d in tables.partitions(name) if s in ranges and ranges[s][0] <= d <= ranges[s][1] and (s, d) not in fresh]
+    for name, folder in staged.items():
+        stale = [(s, d) for s, d in tables.partitions(name) if s in ranges and ranges[s][0] <= d <= ranges[s][1] and (s, d) not in fresh[name]]
+        tables.move_days(name, folder)
         tables.drop_days(name, stale)
 
 
@@ -126,7 +149,7 @@ SEPARATOR = "\x1f"
 
 def split_legacy_key(cube: DataFrame) -> DataFrame:
     """Keys of older cubes, which held the parent before a separator, as parent and key."""
-    old = F.col("dim").isin(*CHILD_DIMS) & F.col("dimkey").contains(SEPARATOR)
+    old = F.col("dim").isin(*CHILD_DIMS) & F.col("parent").isNull() & F.col("dimkey").contains(SEPARATOR)
     head = F.substring_index("dimkey", SEPARATOR, 1)
     tail = F.substring(F.col("dimkey"), F.length(head) + 2, F.lit(1 << 30))
     return cube.withColumns({"parent": F.when(old, head).otherwise(F.col("parent")), "dimkey": F.when(old, tail).otherwise(F.col("dimkey"))})
