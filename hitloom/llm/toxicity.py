@@ -204,7 +204,7 @@ def merge_copies(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: int = PER_CLASS) -> Model:
-    """The index of the sampled examples over all their terms, with document frequencies over all ``docs``."""
+    """All terms of the sampled examples, and these; ``finish`` builds the index."""
     bounded_batches(docs.sparkSession)
     picked = F.broadcast(sample(labels, doc_id, label, most))  # at most about 2 * most narrow rows
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id")
@@ -241,31 +241,73 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "y", "weight", "terms", "tf"])
 
     schema = rows.select("id", "y", "weight", F.lit(None).cast("array<int>").alias("terms"), F.lit(None).cast("array<int>").alias("tf")).schema
-    model_rows = rows.mapInArrow(known, schema).collect()
-    n, frequency = _frequencies(docs, model, text)
-    model.examples = [tuple(r) for r in model_rows]
-    model.build(n, frequency)
+    model.examples = [tuple(r) for r in rows.mapInArrow(known, schema).collect()]
     return model
 
 
-def _frequencies(docs: DataFrame, model: Model, text: str) -> tuple[int, np.ndarray]:
-    """The number of all documents, and in how many of them each term occurs; tasks sum their own first."""
+def term_table(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Stores ``keep``, known terms and tf of every document, from whole texts."""
+    slim = docs.select(*keep, F.col(text).alias("__text"))
+    schema = docs.select(*keep, *[F.lit(None).cast("array<int>").alias(c) for c in ("terms", "tf")]).schema
+
+    def run(batches):
+        for batch in batches:
+            found = [model.terms(t) for t in utf8(batch.column(batch.num_columns - 1))]
+            offsets = pa.array(np.cumsum([0, *[len(f) for f in found]]).astype(np.int32))
+            flat = [np.array([x for f in found for x in part(f)], dtype=np.int32) for part in (dict.keys, dict.values)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat]], names=schema.names)
+
+    return materialize(slim.mapInArrow(run, schema), "terms")
+
+
+def _rows(batch: pa.RecordBatch, terms: int, tf: int):
+    """The terms of each row of a stored table, with how often the text has them."""
+    ids, counts = batch.column(terms).flatten().to_numpy(), batch.column(tf).flatten().to_numpy()
+    ends = batch.column(terms).offsets.to_numpy()
+    ends = ends - ends[0] if len(ends) else ends
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield dict(zip(ids[a:b].tolist(), counts[a:b].tolist(), strict=True))
+
+
+def finish(model: Model, table: DataFrame) -> Model:
+    """Builds the index with the document frequencies of a stored table of all documents."""
+    size = len(model.vocabulary)
+
+    def run(batches):
+        total = np.zeros(size + 1, dtype=np.int64)
+        for batch in batches:
+            total[:size] += np.bincount(batch.column(0).flatten().to_numpy(), minlength=size)[:size]
+            total[size] += batch.num_rows
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
+
+    _built(model, table.select("terms").mapInArrow(run, "term int, n long"))
+    return model
+
+
+def _built(model: Model, counted: DataFrame) -> None:
+    size = len(model.vocabulary)
+    found = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, dtype=np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    model.build(int(out[size]), out[:size])
+
+
+def finish_by_reading(model: Model, docs: DataFrame, text: str) -> Model:
+    """``finish`` where no table is stored, since whole rows are to be filtered: the texts are read twice."""
     known, size = model.vocabulary, len(model.vocabulary)
 
     def run(batches):
-        total, n = np.zeros(size + 1, dtype=np.int64), 0
+        total = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             for t in utf8(batch.column(0)):
                 total[[known[w] for w in set(WORDS.findall(readable(t).lower())) if w in known]] += 1
-            n += batch.num_rows
-        total[size] = n
+            total[size] += batch.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size + 1, dtype=np.int64)
-    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
-    return int(out[size]), out[:size]
+    _built(model, docs.select(text).mapInArrow(run, "term int, n long"))
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -277,24 +319,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
     stretches part words.  Repeated documents score alike; ties go to the example that stands first.
     """
     model = train(docs, labels, text, doc_id, label)
-    slim = docs.select(doc_id, F.col(text).alias("__text"))
+    table = term_table(docs, model, text, (doc_id,))
+    finish(model, table)
     kind = dict(docs.dtypes)[doc_id]
     evidence = F.lit(None).cast(f"array<struct<doc_id:{kind},label:int,similarity:double>>").alias("evidence")
     schema = docs.select(doc_id, F.lit(0.0).alias("score"), evidence).schema
 
     def run(batches):
         for batch in batches:
-            found = [model.score(model.terms(t)) for t in utf8(batch.column(1))]
+            found = [model.score(t) for t in _rows(batch, 1, 2)]
             near = [[{"doc_id": model.ids[i], "label": int(model.y[i]), "similarity": s} for s, i in x[1]] for x in found]
             struct = pa.struct([("doc_id", batch.column(0).type), ("label", pa.int32()), ("similarity", pa.float64())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array(near, pa.list_(struct))], names=schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return table.mapInArrow(run, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below ``threshold``; columns unchanged."""
-    model = train(docs, labels, text, doc_id, label)
+    model = finish_by_reading(train(docs, labels, text, doc_id, label), docs, text)
     at = docs.columns.index(text)
 
     def run(batches):
