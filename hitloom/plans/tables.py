@@ -55,6 +55,12 @@ class Tables:
         found = [str(s.getPath().toString()).split("/")[-2:] for s in fs.globStatus(where) or []]
         return [(int(a.split("=")[1]), datetime.date.fromisoformat(b.split("=")[1])) for a, b in found]
 
+    def mark_days(self, folder: str, days: list[tuple[int, datetime.date]]) -> None:
+        """Notes days as folders, which ``partitions`` reads."""
+        for site, day in days:
+            fs, where = self._fs(f"{folder}/site_id={site}/datum={day.isoformat()}")
+            fs.mkdirs(where)
+
     def drop_days(self, table: str, days: list[tuple[int, datetime.date]]) -> None:
         for site, day in days:
             fs, where = self._fs(f"{self.path(table)}/site_id={site}/datum={day.isoformat()}")

@@ -59,37 +59,38 @@ def days_to_build(built: DataFrame, today: str, lookback: int) -> DataFrame:
 def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Callable[[], str], config: ImportConfig | None = None) -> StreamingQuery:
     """Imports arriving lines until none are left, then stops.
 
-    A batch lands in a table of lines by day, under its own number, so a replayed batch replaces
-    itself.  Then every complete day (before ``cutoff()``, on the site's clock) that the batch
-    touched, or that still waits, is rebuilt whole from that table: late lines change their day,
-    and replays change nothing.  Visitor keys change with the day.
+    A batch lands in a table of lines by site and day, under its own number, so a replayed batch
+    replaces itself.  Then every complete day (before ``cutoff()``, on the site's clock) that the batch
+    touched, or that still waits, is rebuilt whole from the lines of that day: late lines change it,
+    and replays change nothing.  Which days there are is read from folder names.  A day that was built
+    leaves a mark, as one of failed requests alone has no row in any table.  Visitor keys change with the day.
     """
     base = config or ImportConfig()
     config = ImportConfig(**{**base.__dict__, "salt_by": "day", "cutoff": None, "day_from": None, "day_to": None})
-    store = f"{tables.folder}/lines"
+    store, marks = f"{tables.folder}/lines", f"{tables.folder}/built"
 
     def land(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        kept = parsed_hits(batch.withColumn("raw", F.col("line")), config).select("site_id", "rid", F.col("raw").alias("line"), "datum")
-        kept.write.mode("overwrite").partitionBy("datum").parquet(f"{store}/batch={number}")
-        stored = spark.read.schema("site_id int, rid bigint, line string, batch bigint, datum date").parquet(store)
+        kept = parsed_hits(batch.withColumn("raw", F.col("line")), config).select("rid", F.col("raw").alias("line"), "site_id", "datum")
+        kept = kept.where("site_id IS NOT NULL AND datum IS NOT NULL")
+        kept.write.mode("overwrite").partitionBy("site_id", "datum").parquet(f"{store}/batch={number}")
         limit = datetime.date.fromisoformat(cutoff())
-        seen = stored.select("site_id", "datum", "batch").distinct().where(F.col("datum") < F.lit(limit))
-        built = tables.read("daily").select("site_id", "datum").withColumn("built", F.lit(True))
-        due = seen.join(built, ["site_id", "datum"], "left").where((F.col("batch") == number) | F.col("built").isNull())
-        due = due.select("site_id", "datum").distinct().collect()  # days, not rows
+        built = {*tables.partitions("daily"), *tables.partitions("daily", marks)}
+        waiting = set(tables.partitions("daily", f"{store}/batch=*")) - built
+        due = sorted(x for x in waiting.union(tables.partitions("daily", f"{store}/batch={number}")) if x[1] < limit)
         if not due:
             return
-        dirty = F.broadcast(spark.createDataFrame(due, "site_id int, datum date"))
-        mine = stored.where(F.col("datum").isin([r.datum for r in due])).join(dirty, ["site_id", "datum"], "left_semi")
+        stored = spark.read.schema("rid bigint, line string, batch bigint, site_id int, datum date").option("basePath", store)
+        mine = stored.parquet(*[f"{store}/batch=*/site_id={s}/datum={d.isoformat()}" for s, d in due])
         found = import_sites(mine.select("site_id", "rid", "line"), config).persist()
         cube, daily = found.cube(), found.daily()
         tables.write("cube", cube)
         tables.write("daily", daily)
         found.unpersist()
-        sites = spark.createDataFrame([(s, str(s)) for s in {r.site_id for r in due}], "site_id int, site string")
+        sites = spark.createDataFrame([(s, str(s)) for s in sorted({s for s, _ in due})], "site_id int, site string")
         rebuild_meta(tables, sites, config.tz)
         rebuild_topn(tables, sites)
+        tables.mark_days(marks, due)
 
     writer = lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -74,6 +74,20 @@ def test_import(spark, tmp_path):
     assert tables.read("topn").where("dim = 'entry' AND win = 'all'").count() > 0
 
 
+def test_day_of_failed_requests_is_built_once(spark, tmp_path, monkeypatch):
+    tables, source, built = Tables(spark, str(tmp_path / "store")), tmp_path / "in", []
+
+    def seen(lines, config):
+        built.append(lines.inputFiles())
+        return import_sites(lines, config)
+
+    monkeypatch.setattr(streams, "import_sites", seen)
+    for name, text in (("1.log", line(9, "10:00:00").replace('" 200 ', '" 404 ')), ("2.log", line(12, "10:00:00"))):
+        drop(source, name, text)
+        streams.start_import(streams.stream_lines(spark, str(source), 3), tables, str(tmp_path / "checkpoint"), lambda: "2026-01-11").awaitTermination(180)
+    assert len(built) == 1 and all("site_id=3/datum=2026-01-09" in f for f in built[0])  # the second batch holds only the running day
+
+
 def test_identical_lines_all_count(spark):
     lines = spark.createDataFrame([(1, 7, line(10, "10:00:00"))] * 2, "site_id int, rid long, line string")
     assert parsed_hits(lines, ImportConfig()).count() == 2
