@@ -1,8 +1,10 @@
-"""Countries of addresses: range joins by equal buckets, over distinct addresses only.
+"""Countries of addresses: range joins by equal keys, over distinct addresses only.
 
-Ranges are dealt to all buckets they cover, addresses have one bucket, and the rest of the
-comparison runs within a bucket.  A plain range condition would compare every address with
-every range.
+IPv4 ranges are dealt to all buckets they cover, addresses have one bucket, and the rest of the
+comparison runs within a bucket.  An IPv6 range has one key, the digits that its ends share, and an
+address has a key for each length of these.  A range of a key ends beyond another next digit than it
+starts with, so at most 15 ranges that do not overlap have the same key, wherever addresses crowd.
+A plain range condition would compare every address with every range.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from hitloom.functions.network import ip6_hex
 
 UNKNOWN = "??"
-#: Addresses of a bucket: the low 16 bits of IPv4; IPv6 has a bucket for its first four digits.
+#: Addresses of an IPv4 bucket: the low 16 bits.
 IP4_BUCKET = 1 << 16
+IP6_DIGITS = 32
 
 
 def ip_country(hits: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -28,12 +31,13 @@ def ip_country(hits: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def ip6_country(hits: DataFrame, ranges: DataFrame) -> DataFrame:
     """(ip, cc) of the distinct IPv6 texts; of nested ranges the one that starts last counts."""
-    number = lambda digits: F.conv(F.substring(digits, 1, 4), 16, 10).cast("int")
-    addresses = hits.select("ip").where(F.col("ip").contains(":")).distinct().withColumn("hex", ip6_hex(F.col("ip")))
-    addresses = addresses.where("hex IS NOT NULL").withColumn("bucket", number(F.col("hex")))
-    cover = F.explode(F.sequence(number(F.col("start_hex")), number(F.col("end_hex"))))
-    dealt = ranges.where(F.col("start_hex") <= F.col("end_hex")).select("start_hex", "end_hex", "cc", cover.alias("bucket"))
-    met = addresses.join(dealt, "bucket").where(F.col("hex").between(F.col("start_hex"), F.col("end_hex")))
+    shared = F.filter(F.sequence(F.lit(1), F.lit(IP6_DIGITS)), lambda n: F.substring("start_hex", 1, n) == F.substring("end_hex", 1, n))
+    dealt = ranges.where(F.col("start_hex") <= F.col("end_hex")).select("start_hex", "end_hex", "cc", F.size(shared).alias("digits"))
+    lengths = sorted(r.digits for r in dealt.select("digits").distinct().collect())  # 33 at most
+    dealt = dealt.withColumn("key", F.substring("start_hex", F.lit(1), F.col("digits")))
+    addresses = hits.select("ip").where(F.col("ip").contains(":")).distinct().withColumn("hex", ip6_hex(F.col("ip"))).where("hex IS NOT NULL")
+    keys = F.array(*[F.substring("hex", 1, n) for n in lengths]) if lengths else F.lit(None).cast("array<string>")
+    met = addresses.withColumn("key", F.explode(keys)).join(dealt, "key").where(F.col("hex").between(F.col("start_hex"), F.col("end_hex")))
     return met.groupBy("ip").agg(F.max_by("cc", F.struct("start_hex", "cc")).alias("cc"))
 
 

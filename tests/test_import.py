@@ -1,11 +1,13 @@
 """Golden numbers of a nine-line log, in every format and with every list."""
 
+import ipaddress
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitloom.functions.network import ip6_hex
+from hitloom.operators import geo as geo_joins
 from hitloom.operators import hits
 from hitloom.plans.importing import ImportConfig, import_sites, parsed_hits
 from hitloom.sources import geo, lines, lists
@@ -192,3 +194,18 @@ def test_ip6_hex(spark):
 def test_lines_of_no_format_fall_out(spark):
     texts = ["", "garbage", LINES[0].replace("10/Jan", "99/Jan"), LINES[0].replace(" 200 1000 ", " 200 - ")]
     assert parsed_hits(frame(spark, texts), config(spark)).count() == 0
+
+
+def test_ip6_ranges_against_all_pairs(spark):
+    digits = lambda n: f"{n:032x}"
+    base = int("20010db8" + "0" * 24, 16)
+    edges = [
+        (0, (1 << 128) - 1, "A"), (base, base + (1 << 96) - 1, "B"), (base + 5, base + 5, "C"), (base + 0xF0, base + 0x110, "D"),
+        (base + 0x100, base + 0x1FF, "E"), (base + (1 << 96) - 3, base + (1 << 96) + 3, "F"), (base + 9, base + 2, "never"),
+    ]
+    ranges = spark.createDataFrame([(digits(a), digits(b), c) for a, b, c in edges], "start_hex string, end_hex string, cc string")
+    numbers = sorted({max(0, min((1 << 128) - 1, x + d)) for a, b, _ in edges for x in (a, b) for d in (-1, 0, 1)})
+    hits = spark.createDataFrame([(str(ipaddress.IPv6Address(n)),) for n in numbers] * 2 + [("1.2.3.4",), ("::bad::",), (None,)], "ip string")
+    found = {r.ip: r.cc for r in geo_joins.ip6_country(hits, ranges).collect()}
+    assert found == {str(ipaddress.IPv6Address(n)): max((a, c) for a, b, c in edges if a <= n <= b)[1] for n in numbers}
+    assert geo_joins.ip6_country(hits, ranges.limit(0)).count() == 0
