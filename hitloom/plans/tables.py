@@ -86,11 +86,12 @@ class Tables:
 
     def write(self, table: str, rows: DataFrame, path: str | None = None) -> None:
         """Replaces the partitions that the rows have; all others stay.  Rows of a partition are
-        gathered and sorted, so readers skip row groups of other dimensions."""
+        gathered and sorted, so readers skip row groups of other dimensions; adaptive execution
+        splits a partition that is too large for one task."""
         keys = PARTITIONS[table]
         rest = [c for c in ("win", "dim", "parent", "dimkey") if c in rows.columns]
         columns = [F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in SCHEMAS[table].split(", ")]
-        rows = rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *rest)
+        rows = rows.select(*columns).hint("rebalance", *keys).sortWithinPartitions(*keys, *rest)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path or self.path(table))
 
 
