@@ -182,10 +182,60 @@ def run_metrics(rows: DataFrame, name: str, size: str | None = None) -> tuple[Da
     return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(total, F.lit(0)).cast("bigint").alias("bytes")), seen
 
 
-def publish_jdbc(tables: Tables, url: str, properties: dict[str, str]) -> None:
-    """Copies the four tables to a database for serving.  Not run here: it needs a server."""
+#: Connections that a copy to a database may hold open at once.
+JDBC_WRITERS = 16
+
+
+def publish_jdbc(tables: Tables, url: str, properties: dict[str, str], site: int | None = None, day_from: str | None = None, day_to: str | None = None) -> None:
+    """Copies the four tables to a database for serving: all of them, or those days of one site.
+
+    What the database has of the same site and days goes, and of meta and best values all that it
+    has of the site; everything else stays.  Rows first land in tables of their own, beside the
+    served ones; one transaction then takes them over.  So a copy that fails changes nothing, and
+    one that is repeated gives the same.  Missing tables are made.
+    """
+    if site is None and (day_from or day_to):
+        raise ValueError("days are replaced for one site at a time")
+    jvm = tables.spark.sparkContext._jvm
+    quoted = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    statements = []
     for name in SCHEMAS:
-        tables.read(name).write.mode("overwrite").option("truncate", "true").jdbc(url, getattr(tables, name), properties=properties)
+        target, landed = getattr(tables, name), f"{getattr(tables, name)}_landed"
+        wanted = [] if site is None else [("site_id", "=", str(int(site)))]
+        if "datum" in PARTITIONS[name]:
+            days = [(op, datetime.date.fromisoformat(d)) for op, d in ((">=", day_from), ("<=", day_to)) if d]
+            wanted += [("datum", op, f"'{d.isoformat()}'") for op, d in days]
+        rows = tables.read(name)
+        for column, op, value in wanted:
+            rows = rows.where(f"{column} {op} {value}")
+        writer = lambda x, mode: x.write.mode(mode).option("numPartitions", JDBC_WRITERS)
+        writer(rows.limit(0), "ignore").jdbc(url, target, properties=properties)
+        writer(rows, "overwrite").jdbc(url, landed, properties=properties)
+        where = " AND ".join(f"{quoted(column)} {op} {value}" for column, op, value in wanted)
+        columns = ", ".join(quoted(c) for c in rows.columns)
+        statements += [f"DELETE FROM {target}" + (f" WHERE {where}" if where else ""), f"INSERT INTO {target} ({columns}) SELECT {columns} FROM {landed}", f"DROP TABLE {landed}"]
+    _in_one_transaction(tables.spark, url, properties, statements)
+
+
+def _in_one_transaction(spark: SparkSession, url: str, properties: dict[str, str], statements: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    settings = jvm.java.util.Properties()
+    for key, value in properties.items():
+        settings.setProperty(key, value)
+    if "driver" in properties:
+        jvm.java.lang.Class.forName(properties["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for text in statements:
+            statement.executeUpdate(text)
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
 
 
 def empty_batch(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -78,6 +78,35 @@ def test_purge(spark, store):
             tables.purge(store, bad, "2026-03-31")
 
 
+def test_serving_copy(spark, store, tmp_path):
+    """A database inside the session's own JVM stands for the server."""
+    url, properties = f"jdbc:derby:{tmp_path}/served;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    served = lambda name="daily": spark.read.jdbc(url, name, properties=properties)
+    days = lambda: {(r.site_id, r.datum.day): r.visits for r in served().collect()}
+    sites = spark.createDataFrame([(1, "A"), (2, "B")], "site_id int, site string")
+    tables.replace_days(store, *batch(spark, *[D(2026, 6, d) for d in (1, 2, 3)]))
+    tables.replace_days(store, *batch(spark, D(2026, 6, 2), site=2))
+    tables.rebuild_meta(store, sites)
+    for _ in range(2):
+        tables.publish_jdbc(store, url, properties)
+        assert days() == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 2): 1}
+    # Days change, one goes; only those asked for are taken over, and the meta of their site.
+    tables.replace_days(store, *batch(spark, D(2026, 6, 1), D(2026, 6, 3), n=5))
+    tables.replace_days(store, *batch(spark, D(2026, 6, 2), site=2, n=7))
+    tables.rebuild_meta(store, sites)
+    for _ in range(2):
+        tables.publish_jdbc(store, url, properties, 1, "2026-06-02", "2026-06-09")
+        assert days() == {(1, 1): 1, (1, 3): 5, (2, 2): 1}
+        assert {r.site: r.visits_total for r in served("meta").collect()} == {"A": 10, "B": 1}
+    assert served("cube").count() == 3 and served("topn").count() == 0
+    # Nothing changes if a step fails.
+    with pytest.raises(Exception, match="(?i)nowhere"):
+        tables._in_one_transaction(spark, url, properties, ["DELETE FROM daily", "DELETE FROM nowhere"])
+    assert len(days()) == 3
+    with pytest.raises(ValueError):
+        tables.publish_jdbc(store, url, properties, day_from="2026-06-02")
+
+
 def test_migration(spark):
     day = D(2026, 1, 1)
     old = spark.createDataFrame(
