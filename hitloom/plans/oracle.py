@@ -6,7 +6,7 @@ step it needs.
 
 from __future__ import annotations
 
-from hitloom.operators.panels import ROOT_METRIC
+from hitloom.operators.panels import DEFAULT_LIMIT, ROOT_METRIC
 from hitloom.plans.dashboards import SECTIONS
 from hitloom.sources import derived
 
@@ -96,6 +96,7 @@ STEPS = {
         unnest([CAST(bis AS DATE) - 29, CAST(bis AS DATE) - 89, CAST(bis AS DATE) - 364, make_date(year(CAST(bis AS DATE)), 1, 1), make_date(year(CAST(bis AS DATE)) - 1, 1, 1), CAST(von AS DATE)]) AS a,
         unnest([CAST(bis AS DATE), CAST(bis AS DATE), CAST(bis AS DATE), make_date(year(CAST(bis AS DATE)), 12, 31), make_date(year(CAST(bis AS DATE)) - 1, 12, 31), CAST(bis AS DATE)]) AS b FROM meta)
     WHERE greatest(a, CAST(von AS DATE)) <= least(b, CAST(bis AS DATE))""",
+    "week": f"SELECT cube.* FROM cube JOIN meta USING (site_id) WHERE site_id = {SITE} AND datum BETWEEN CAST(bis AS DATE) - 6 AND CAST(bis AS DATE)",
     "mine": f"SELECT * FROM cube WHERE site_id = {SITE} AND datum BETWEEN DATE '{FROM}' AND DATE '{TO}'",
     "days": f"SELECT * FROM daily WHERE site_id = {SITE} AND datum BETWEEN DATE '{FROM}' AND DATE '{TO}'",
     "before": f"SELECT * FROM daily WHERE site_id = {SITE} AND datum BETWEEN DATE '2024-01-01' AND DATE '2024-01-10'",
@@ -119,6 +120,24 @@ def _sections() -> str:
     return ", ".join(f"({i}, '{d}', '{t}', '{m}', {100 if d in ROOT_METRIC else 1 << 40})" for i, (d, t, m) in enumerate(SECTIONS))
 
 
+TREE = "SELECT *, split_part(substr(dimkey, {n}), '/', 1) AS s0, substr(dimkey, {n} + length(split_part(substr(dimkey, {n}), '/', 1)) + 1) AS r0 FROM {rows} WHERE dim = 'url' AND starts_with(dimkey, '{p}/')"
+
+
+def _levels(rows: str, first: int, last: int, below: int) -> str:
+    """Two levels of the page tree, of which the upper one shows the ranks from first to last."""
+    return f""", t AS (SELECT *, split_part(r0, '/', 1) AS s1, substr(r0, length(split_part(r0, '/', 1)) + 2) AS r1 FROM ({TREE.format(n=2, p="", rows=rows)}) WHERE s0 <> ''),
+one AS (SELECT s0, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v, bool_or(r0 <> '') AS has_children, row_number() OVER (ORDER BY sum(pv) DESC, s0) AS rnk FROM t GROUP BY s0 QUALIFY rnk BETWEEN {first} AND {last}),
+two AS (SELECT s0, s1, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v, bool_or(r1 <> '') AS has_children, row_number() OVER (PARTITION BY s0 ORDER BY sum(pv) DESC, s1) AS rnk
+  FROM t WHERE s1 <> '' AND s0 IN (SELECT s0 FROM one) GROUP BY s0, s1 QUALIFY rnk <= {below})
+SELECT 1 AS level, '/' || s0 AS path, '' AS parent_path, pv, v, has_children, CAST(rnk AS INTEGER) AS rnk, (SELECT count(DISTINCT s0) FROM t) AS n FROM one
+UNION ALL SELECT 2, '/' || s0 || '/' || s1, '/' || s0, pv, v, has_children, CAST(rnk AS INTEGER), (SELECT count(DISTINCT s1) FROM t WHERE t.s0 = two.s0 AND s1 <> '') FROM two"""
+
+
+# What the queries write out of the log and read back.
+LINE = """SELECT concat(ip, ' - - [', tsraw, '] "', method, ' ', url, ' HTTP/1.1" ', status, ' ', size, ' "', referrer, '" "', ua, '"') AS line FROM fields"""
+NETWORKS = "SELECT DISTINCT user_id // 20 AS v, (user_id // 20) * 256 + 16777216 AS start, (['US', 'AU', 'FR'])[(user_id // 20) % 3 + 1] AS cc FROM events"
+RANGES = f'SELECT start, start + 255 AS "end", cc FROM ({NETWORKS})'
+REPORTED = "'url', 'download', 'entry', 'exit', 'country', 'browser', 'os', 'device', 'referrer_type', 'keyword', 'hour'"
 FIELDS = "site_id, rid, ip, tsraw, method, url, status, size, referrer, ua"
 VISIT = "site_id, vkey, seq, datum, pageviews, entry_url, exit_url, browser, browser_version, os, os_version, device, device_model, referrer, ref_type, ref_name, keyword, country"
 KPIS = """SELECT CAST(coalesce(sum(visits), 0) AS BIGINT) AS visits, CAST(coalesce(sum(pageviews), 0) AS BIGINT) AS pageviews, CAST(coalesce(sum(uniques), 0) AS BIGINT) AS uniques,
@@ -130,7 +149,6 @@ def oracle_sql() -> dict[str, str]:
       (['109', '112.0', '', 'v108', 'v99', ''])[v % 6 + 1] AS browser_ver,
       (['Windows', 'TestDroid', NULL, 'TestUnix', 'TestDroid', NULL])[v % 6 + 1] AS os,
       (['Windows 8.1', 'TestDroid 12', NULL, 'TestUnix', 'TestDroid 11', NULL])[v % 6 + 1] AS os_ver FROM hits_all"""
-    tree = "SELECT *, split_part(substr(dimkey, {n}), '/', 1) AS s0, substr(dimkey, {n} + length(split_part(substr(dimkey, {n}), '/', 1)) + 1) AS r0 FROM mine WHERE dim = 'url' AND starts_with(dimkey, '{p}/')"
     deltas = """SELECT kpi, cur, prev, CASE WHEN prev <> 0 THEN 100.0 * (cur - prev) / prev END AS delta,
       CASE WHEN prev IS NULL THEN NULL WHEN prev = 0 THEN CASE WHEN cur > 0 THEN 'new' ELSE 'flat' END WHEN 100.0 * (cur - prev) / prev > 0.05 THEN 'up' WHEN 100.0 * (cur - prev) / prev < -0.05 THEN 'down' WHEN cur IS NOT NULL THEN 'flat' END AS trend"""
     out = {
@@ -215,19 +233,11 @@ SELECT page.*, 100.0::DOUBLE * page.v / total.v AS share, 100.0::DOUBLE * page.v
         ),
         "hr_tree_children": _with(
             "mine",
-            f""", t AS ({tree.format(n=4, p="/p")})
+            f""", t AS ({TREE.format(n=4, p="/p", rows="mine")})
 SELECT s0 AS segment, '/p/' || s0 AS path, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v, bool_or(r0 <> '') AS has_children, (SELECT count(DISTINCT s0) FROM t WHERE s0 <> '') AS n
 FROM t WHERE s0 <> '' GROUP BY s0 ORDER BY pv DESC, s0 LIMIT 6 OFFSET 1""",
         ),
-        "hr_url_tree": _with(
-            "mine",
-            f""", t AS (SELECT *, split_part(r0, '/', 1) AS s1, substr(r0, length(split_part(r0, '/', 1)) + 2) AS r1 FROM ({tree.format(n=2, p="")}) WHERE s0 <> ''),
-one AS (SELECT s0, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v, bool_or(r0 <> '') AS has_children, row_number() OVER (ORDER BY sum(pv) DESC, s0) AS rnk FROM t GROUP BY s0 QUALIFY rnk BETWEEN 2 AND 4),
-two AS (SELECT s0, s1, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v, bool_or(r1 <> '') AS has_children, row_number() OVER (PARTITION BY s0 ORDER BY sum(pv) DESC, s1) AS rnk
-  FROM t WHERE s1 <> '' AND s0 IN (SELECT s0 FROM one) GROUP BY s0, s1 QUALIFY rnk <= 3)
-SELECT 1 AS level, '/' || s0 AS path, '' AS parent_path, pv, v, has_children, CAST(rnk AS INTEGER) AS rnk, (SELECT count(DISTINCT s0) FROM t) AS n FROM one
-UNION ALL SELECT 2, '/' || s0 || '/' || s1, '/' || s0, pv, v, has_children, CAST(rnk AS INTEGER), (SELECT count(DISTINCT s1) FROM t WHERE t.s0 = two.s0 AND s1 <> '') FROM two""",
-        ),
+        "hr_url_tree": _with("mine", _levels("mine", 2, 4, 3)),
         "tw_preset_windows": _with("windows", "SELECT * FROM windows"),
         "tw_kpis": _with("days", f"{KPIS} FROM days"),
         "tw_kpi_deltas": _with(
@@ -256,6 +266,39 @@ SELECT *, CASE WHEN trend IN ('up', 'down') THEN (trend = 'up') = (kpi <> 'bounc
             """SELECT greatest(CAST(m AS DATE), a) AS chunk_from, least(last_day(m), b) AS chunk_to FROM (
       SELECT a, b, unnest(generate_series(date_trunc('month', a), b, INTERVAL 1 MONTH)) AS m FROM (SELECT min(datum) AS a, max(datum) AS b FROM daily))""",
         ),
+        "src_lines": _with("fields", f"SELECT line, CAST(strlen(line) + 1 AS BIGINT) AS nbytes FROM ({LINE})"),
+        "snk_run_metrics": _with("fields", f"SELECT count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM ({LINE})"),
+        "src_site_list": "SELECT CAST(page_id AS INTEGER) AS site_id, url AS logfile, 'Site A' AS name FROM pages WHERE page_id % 5 <> 0",
+        "src_ua_list": """SELECT CAST(page_id AS INTEGER) AS prio, url AS regex, 'a "name"' AS name, '$1' AS version FROM pages WHERE page_id % 5 <> 0""",
+        "src_geo_native": RANGES,
+        "src_geo_ip2location": RANGES,
+        "src_geo_dbip": RANGES,
+        "src_geo_maxmind": RANGES,
+        "src_geo_ip6": f"""SELECT concat('20010db8', digits, repeat('0', 20)) AS start_hex, concat('20010db8', digits, 'ffff', repeat('0', 16)) AS end_hex, cc
+    FROM (SELECT lpad(lower(to_hex(v % 65536)), 4, '0') AS digits, cc FROM ({NETWORKS}))""",
+        "src_report_daily": _with(
+            "daily",
+            "SELECT datum, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("visits", "pageviews", "uniques", "bounces")) + ", CAST(0 AS BIGINT) AS bytes FROM daily GROUP BY datum",
+        ),
+        "snk_report_import": _with(
+            "cube",
+            f"""SELECT CAST(9 AS INTEGER) AS site_id, datum, dim, NULL::VARCHAR AS parent, dimkey, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v
+    FROM cube WHERE dim IN ({REPORTED}) GROUP BY datum, dim, dimkey""",
+        ),
+        "st_import": _with(
+            "hits",
+            f""", first AS (SELECT *, CASE WHEN epoch(instant) - lag(epoch(instant)) OVER w <= 1800 THEN 0 ELSE 1 END AS begins FROM hits WHERE datum < DATE '{TO}'
+  WINDOW w AS (PARTITION BY ip, ua, datum ORDER BY instant, rid)),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY ip, ua, datum ORDER BY instant, rid ROWS UNBOUNDED PRECEDING) AS nth FROM first),
+single AS (SELECT datum, ip, ua, nth, count(*) AS pageviews, sum(bytes) AS bytes FROM numbered GROUP BY ALL)
+SELECT CAST(1 AS INTEGER) AS site_id, datum, count(*) AS visits, CAST(sum(pageviews) AS BIGINT) AS pageviews, count(DISTINCT (ip, ua)) AS uniques,
+  count(*) FILTER (pageviews = 1) AS bounces, CAST(sum(bytes) AS BIGINT) AS bytes FROM single GROUP BY datum""",
+        ),
+        "chk_schema": _with("meta", "SELECT max(schema_version) AS schema_version FROM meta"),
+        "dsh_daily": _with("meta", f"SELECT daily.* EXCLUDE (site_id) FROM daily JOIN meta USING (site_id) WHERE site_id = {SITE} AND datum BETWEEN CAST(bis AS DATE) - 6 AND CAST(bis AS DATE)"),
+        "dsh_meta": _with("meta", f"SELECT * FROM meta WHERE site_id = {SITE}"),
+        "dsh_sites": _with("meta", "SELECT site_id, site FROM meta"),
+        "dsh_tree": _with("week", _levels("week", 1, DEFAULT_LIMIT, DEFAULT_LIMIT)),
         "dsh_cube": _with("meta", f"SELECT cube.* FROM cube JOIN meta USING (site_id) WHERE site_id = {SITE} AND datum BETWEEN CAST(bis AS DATE) - 6 AND CAST(bis AS DATE) AND dim IN ('country', 'hour')"),
         "snk_csv_report": _with(
             "days",
@@ -263,7 +306,7 @@ SELECT *, CASE WHEN trend IN ('up', 'down') THEN (trend = 'up') = (kpi <> 'bounc
 sums AS (SELECT nth, title, metric, most, dimkey, sum(pv) AS pv, sum(v) AS v, row_number() OVER (PARTITION BY dim ORDER BY CASE metric WHEN 'v' THEN sum(v) ELSE sum(pv) END DESC, dimkey) AS rnk
   FROM mine JOIN named USING (dim) WHERE dimkey <> '' GROUP BY nth, dim, title, metric, most, dimkey QUALIFY rnk <= most),
 said AS (SELECT *, CASE metric WHEN 'v' THEN 'Visits' ELSE 'Page views' END AS measure FROM sums),
-t AS (SELECT *, split_part(r0, '/', 1) AS s1 FROM ({tree.format(n=2, p="")}) WHERE s0 <> ''),
+t AS (SELECT *, split_part(r0, '/', 1) AS s1 FROM ({TREE.format(n=2, p="", rows="mine")}) WHERE s0 <> ''),
 one AS (SELECT s0, sum(pv) AS pv, sum(v) AS v, row_number() OVER (ORDER BY sum(pv) DESC, s0) AS rnk FROM t GROUP BY s0 QUALIFY rnk <= 100),
 two AS (SELECT s0, s1, sum(t.pv) AS pv, sum(t.v) AS v, one.rnk AS up, row_number() OVER (PARTITION BY s0 ORDER BY sum(t.pv) DESC, s1) AS rnk FROM t JOIN one USING (s0) WHERE s1 <> '' GROUP BY s0, s1, one.rnk QUALIFY rnk <= 100),
 paths AS (SELECT '/' || s0 AS path, pv, v, rnk AS up, 0 AS rnk FROM one UNION ALL SELECT '/' || s0 || '/' || s1, pv, v, up, rnk FROM two),

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitloom.functions import referrers, requests
 from hitloom.operators import agents, cube, geo, hits, panels, sessions, windows
 from hitloom.plans import checks, dashboards, tables
 from hitloom.plans.importing import Analysis, ImportConfig, import_sites, parsed_hits
-from hitloom.sources import derived
-from hitloom.sources.lines import parse_lines
-from hitloom.streaming.streams import days_to_build, stream_buckets, stream_sessions
+from hitloom.sources import derived, lists, reports
+from hitloom.sources.geo import read_geo, read_geo6
+from hitloom.sources.lines import parse_lines, read_lines, read_sites
+from hitloom.streaming.streams import days_to_build, start_import, stream_buckets, stream_lines, stream_sessions
 
 TZ, SALT = "Europe/Berlin", "s"
 SITE, FROM, TO = 1, "2024-01-11", "2024-01-20"
@@ -68,9 +69,121 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.site_meta(_daily(spark, sf_dir), _sites(spark), TZ, now=F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared or the warehouse folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/hitloom-{name}-{uuid.uuid4().hex}"
+
+
+def _written(rows: DataFrame, name: str, *columns: Column) -> str:
+    """The folder of a new text file whose lines are the columns, joined by commas."""
+    folder = _scratch(rows.sparkSession, name)
+    rows.select(F.concat_ws(",", *columns)).write.text(folder)
+    return folder
+
+
 # --- sources -----------------------------------------------------------------
 
 
+def src_lines(spark, sf_dir):
+    found = read_lines(spark, _written(_log(spark, sf_dir), "log", F.col("line")))
+    return found.select("line", "nbytes")
+
+
+def src_site_list(spark, sf_dir):
+    mark = F.when(F.col("page_id") % 5 == 0, "# ").otherwise("")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat_ws("\t", F.concat(mark, "page_id"), F.concat(F.lit(" "), "url"), F.lit("Site A")).alias("line"))
+    return read_sites(spark, _written(rows, "sites", F.col("line")))
+
+
+def src_ua_list(spark, sf_dir):
+    mark = F.when(F.col("page_id") % 5 == 0, "#").otherwise("")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat_ws("\t", "page_id", F.concat(mark, "url"), F.lit('a "name"'), F.lit("$1")).alias("line"))
+    return lists.read_ua_list(spark, _written(rows, "agents", F.col("line")))
+
+
+def _networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(v, start, cc): a network of 256 addresses for each visitor of the log."""
+    rows = _events(spark, sf_dir).select(F.expr("user_id div 20").alias("v")).distinct()
+    cc = F.get(F.array(F.lit("US"), F.lit("AU"), F.lit("FR")), (F.col("v") % 3).cast("int"))
+    return rows.select("v", (F.col("v") * 256 + 2**24).alias("start"), cc.alias("cc"))
+
+
+def _dotted(number: Column) -> Column:
+    return F.concat_ws(".", *[F.shiftright(number, n).bitwiseAND(255).cast("string") for n in (24, 16, 8, 0)])
+
+
+def src_geo_native(spark, sf_dir):
+    rows = _networks(spark, sf_dir)
+    return read_geo(spark, "native", _written(rows, "geo", F.col("start"), F.col("start") + 255, F.col("cc")))
+
+
+def src_geo_ip2location(spark, sf_dir):
+    rows = _networks(spark, sf_dir)
+    quoted = [F.concat(F.lit('"'), c, F.lit('"')) for c in (F.col("start"), F.col("start") + 255, F.col("cc"), F.lit("Name, of it"))]
+    return read_geo(spark, "ip2location", _written(rows, "geo", *quoted))
+
+
+def _dbip(spark: SparkSession, sf_dir: str) -> str:
+    rows = _networks(spark, sf_dir)
+    digits = F.lower(F.hex(F.col("v") % 65536))
+    six = rows.select(F.concat(F.lit("2001:db8:"), digits, F.lit("::")).alias("a"), F.concat(F.lit("2001:db8:"), digits, F.lit(":ffff::")).alias("b"), "cc")
+    return _written(rows.select(_dotted(F.col("start")).alias("a"), _dotted(F.col("start") + 255).alias("b"), "cc").unionByName(six), "geo", F.col("a"), F.col("b"), F.col("cc"))
+
+
+def src_geo_dbip(spark, sf_dir):
+    return read_geo(spark, "dbip", _dbip(spark, sf_dir))
+
+
+def src_geo_ip6(spark, sf_dir):
+    return read_geo6(spark, _dbip(spark, sf_dir))
+
+
+def src_geo_maxmind(spark, sf_dir):
+    """Every fourth network has only the country of its registration; none lies in an unknown place."""
+    rows = _networks(spark, sf_dir)
+    place = lambda on: F.when(on, (F.col("v") % 3 + 50).cast("string")).otherwise("")
+    blocks = rows.select(F.concat(_dotted(F.col("start")), F.lit("/24")).alias("network"), place(F.col("v") % 4 > 0).alias("geoname_id"), place(F.col("v") % 4 == 0).alias("registered_country_geoname_id"))
+    places = rows.select((F.col("v") % 3 + 50).alias("geoname_id"), F.col("cc").alias("country_iso_code")).distinct()
+    folders = [_scratch(spark, name) for name in ("geo", "places")]
+    for frame, folder in zip((blocks, places), folders, strict=True):
+        frame.write.csv(folder, header=True)
+    return read_geo(spark, "maxmind", *folders)
+
+
+def _by_month(days: DataFrame, folder: str) -> None:
+    """Report files of (datum, body), each one JSON object of the days of a month."""
+    listed = F.map_from_entries(F.collect_list(F.struct(F.col("datum").cast("string"), "body")))
+    months = days.groupBy(F.date_format("datum", "yyyy-MM").alias("month")).agg(F.to_json(listed).alias("value"))
+    months.write.partitionBy("month").text(folder)
+
+
+def _report_daily(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    fields = {"nb_visits": "visits", "nb_actions": "pageviews", "nb_uniq_visitors": "uniques", "bounce_count": "bounces"}
+    sums = _daily(spark, sf_dir).groupBy("datum").agg(F.struct(*[F.sum(c).cast("string").alias(f) for f, c in fields.items()]).alias("body"))
+    _by_month(sums, f"{folder}/daily.json")
+
+
+def src_report_daily(spark, sf_dir):
+    folder = _scratch(spark, "reports")
+    _report_daily(spark, sf_dir, folder)
+    return reports.read_report_daily(spark, f"{folder}/daily.json")
+
+
+def snk_report_import(spark, sf_dir):
+    """What all sites have together goes out as reports, with the labels of these, and comes in as a site."""
+    folder, rows = _scratch(spark, "reports"), _cube(spark, sf_dir)
+    _report_daily(spark, sf_dir, folder)
+    labels = {"hour": F.concat(F.col("dimkey").cast("int").cast("string"), F.lit("h")), "country": F.lower("dimkey")}
+    for name, dim, pv, v, key in reports.REPORTS:
+        sums = rows.where(F.col("dim") == dim).groupBy("datum", labels.get(dim, F.col("dimkey")).alias(key)).agg(F.sum("pv").alias(pv), F.sum("v").alias(v))
+        _by_month(sums.groupBy("datum").agg(F.collect_list(F.struct(key, pv, v)).alias("body")), f"{folder}/{name}")
+    store = tables.Tables(spark, _scratch(spark, "tables"))
+    tables.replace_days(store, *reports.report_cube(spark, folder, 9))
+    return store.read("cube")
+
+
+
 def src_combined(spark, sf_dir):
     return parse_lines(_log(spark, sf_dir))
 
@@ -250,6 +363,14 @@ def st_local_hours(spark, sf_dir):
     return found.select("site_id", F.to_date("bucket").alias("datum"), F.hour("bucket").alias("stunde"), "pageviews", "bytes")
 
 
+def st_import(spark, sf_dir):
+    """The import of a stream: all lines arrive as files, and every complete day is built."""
+    lines = stream_lines(spark, _written(_log(spark, sf_dir), "arriving", F.col("line")), 1)
+    store = tables.Tables(spark, _scratch(spark, "tables"))
+    start_import(lines, store, _scratch(spark, "checkpoint"), lambda: TO, ImportConfig(tz=TZ, salt=SALT)).awaitTermination()
+    return store.read("daily")
+
+
 def st_days_to_build(spark, sf_dir):
     built = _daily(spark, sf_dir).where(F.col("datum") < F.lit(FROM).cast("date")).select("datum").distinct()
     return days_to_build(built, TO, 3)
@@ -324,9 +445,29 @@ def tw_month_chunks(spark, sf_dir):
     return windows.month_chunks(spark, str(ends.a), str(ends.b))
 
 
-def dsh_cube(spark, sf_dir):
+def _dashboard(spark: SparkSession, sf_dir: str) -> dict:
     rows = _analysis(spark, sf_dir)
-    return dashboards.dashboard(rows.cube(), rows.daily(), _meta(spark, sf_dir), SITE, 7)["cube"]
+    return dashboards.dashboard(rows.cube(), rows.daily(), _meta(spark, sf_dir), SITE, 7)
+
+
+def dsh_cube(spark, sf_dir):
+    return _dashboard(spark, sf_dir)["cube"]
+
+
+def dsh_daily(spark, sf_dir):
+    return _dashboard(spark, sf_dir)["daily"]
+
+
+def dsh_meta(spark, sf_dir):
+    return _dashboard(spark, sf_dir)["meta"]
+
+
+def dsh_sites(spark, sf_dir):
+    return _dashboard(spark, sf_dir)["sites"]
+
+
+def dsh_tree(spark, sf_dir):
+    return _dashboard(spark, sf_dir)["tree"]
 
 
 def snk_csv_report(spark, sf_dir):
@@ -343,8 +484,7 @@ def snk_migration(spark, sf_dir):
 
 def _stored(spark: SparkSession, sf_dir: str) -> tables.Tables:
     """Tables below the shared or the warehouse folder, filled by an import."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    store = tables.Tables(spark, f"{top.rstrip('/')}/hitloom-tables-{uuid.uuid4().hex}")
+    store = tables.Tables(spark, _scratch(spark, "tables"))
     rows = _analysis(spark, sf_dir)
     tables.replace_days(store, rows.cube(), rows.daily())
     tables.rebuild_meta(store, _sites(spark), TZ)
@@ -376,6 +516,17 @@ def chk_smoke(spark, sf_dir):
     return checks.smoke(_stored(spark, sf_dir))
 
 
+def snk_run_metrics(spark, sf_dir):
+    rows, seen = tables.run_metrics(read_lines(spark, _written(_log(spark, sf_dir), "log", F.col("line"))), "lines", "nbytes")
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "n bigint, bytes bigint")
+
+
+def chk_schema(spark, sf_dir):
+    meta = _meta(spark, sf_dir)
+    return spark.createDataFrame([(checks.schema_version(meta),)], "schema_version int")
+
+
 def chk_freshness(spark, sf_dir):
     return checks.freshness(_meta(spark, sf_dir), F.lit("2024-02-01 12:30:00 UTC").cast("timestamp"))
 
