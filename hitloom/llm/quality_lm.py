@@ -29,6 +29,8 @@ CHUNK = 1 << 22
 #: Bytes of text whose n-grams are looked up together, and rows of n-grams in an Arrow batch.
 BUCKET = 4_000_000
 GRAM_ROWS = 50_000
+#: Requests for n-grams that a task holds to leave out repeated ones.
+ASKED_ROWS = 1_000_000
 #: Byte that stands twice before each text.
 START = 0
 
@@ -257,6 +259,15 @@ def word_bits(text: bytes, byte_bits: np.ndarray, table: tuple[np.ndarray, ...],
     return float(bits.sum() + byte_bits[space].sum(dtype=np.float64))
 
 
+def _different(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """The different (bucket, key) of some documents."""
+    at, keys = np.repeat([a for a, _ in held], [len(k) for _, k in held]), np.concatenate([k for _, k in held])
+    order = np.lexsort((keys, at))
+    at, keys = at[order], keys[order]
+    new = np.concatenate(([True], (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])))
+    return pa.RecordBatch.from_arrays([pa.array(at[new], pa.int64()), pa.array(keys[new].view(np.int64))], names=["__bucket", "key"])
+
+
 def word_perplexity(docs: DataFrame, model: Model, bigrams: WordModel, text: str, keep: tuple[str, ...], own: str) -> DataFrame:
     """``keep``, n_bytes, perplexity and spelling (that of the byte model alone), both per byte, of
     every row; null and empty texts have null ones.  Rows that are true in column ``own`` are scored without their own counts.
@@ -270,14 +281,23 @@ def word_perplexity(docs: DataFrame, model: Model, bigrams: WordModel, text: str
     bounded_batches(spark)
 
     def ask(batches):
+        held, size = [], 0
         for batch in batches:
             bucket = batch.column(0).to_pylist()
             for at, t in zip(bucket, utf8(batch.column(1)), strict=True):
                 h = words(t)
                 keys = np.unique(np.concatenate((np.zeros(1, np.uint64), h, pair_keys(h))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), at)), pa.array(keys.view(np.int64))], names=["__bucket", "key"])
-
-    asked = dealt.where(F.octet_length("__text") > 0).select("__bucket", "__text").mapInArrow(ask, "__bucket long, key long").distinct()
+                held.append((at, keys))
+                size += len(keys)
+                if size > ASKED_ROWS:
+                    yield _different(held)
+                    held, size = [], 0
+        if held:
+            yield _different(held)
+
+    # One shuffle, by key, serves both the removal of repeated requests and the join.
+    asked = dealt.where(F.octet_length("__text") > 0).select("__bucket", "__text").mapInArrow(ask, "__bucket long, key long")
+    asked = asked.repartition("key").distinct()
     found = materialize(asked.join(bigrams.stats, "key"), "found")
     nulls = lambda names, like: [F.lit(None).cast(like.schema[n].dataType).alias(n) for n in names]
     stats, cols = ("key", "n", "total", "cuts"), (*keep, "__own", "__text")
