@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.llm import decontaminate, language_id, mixing, pii, quality_lm, sharding, simhash, topk, toxicity, url_filter
+from hitloom.llm import alignment, centroids, decontaminate, language_id, lines, mixing, pii, quality_lm, sharding, simhash, topk, toxicity, url_filter
 from hitloom.llm.common import shared_dir
 
 URL_RULES = (
@@ -85,6 +85,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_frequent_lines(_table(spark, sf_dir, "documents"), least=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_tokens(_table(spark, sf_dir, "documents"))
+    agreed = alignment.agreement(aligned, alignment.pair_counts(aligned))
+    rows = aligned.drop("links").join(agreed, "key")
+    return rows.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -97,6 +113,9 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate,
         "op9_shard_slots": op9_shard_slots,
         "op10_language_id": op10_language_id,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_centroids": op12_centroids,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
@@ -191,5 +210,61 @@ FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
 """
 
 
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10
+), s AS (
+  SELECT r, count(*) AS n_lines, count(f.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '') AS kept
+  FROM k LEFT JOIN f USING (key) GROUP BY r
+)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN s USING (r)
+"""
+
+
+def op12_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Every round as two tables: the nearest centroids and the new ones."""
+    distance = "list_sum(list_transform(list_zip(p.v, m.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+    nearest = f"SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.r, m.c, CAST({distance} AS BIGINT) AS d FROM p CROSS JOIN {{}} m) GROUP BY r"
+    parts = [
+        """p AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""",
+        f"""m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v
+  FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM p ORDER BY h LIMIT {k})
+)""",
+    ]
+    for i in range(rounds):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest.format(f'm{i}')})")
+        parts.append(f"""m{i + 1} AS MATERIALIZED (
+  SELECT m{i}.c, coalesce(n.v, m{i}.v) AS v FROM m{i} LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY j) AS v FROM (
+      SELECT c, j, sum(x) AS s, count(*) AS n
+      FROM (SELECT a.c, unnest(p.v) AS x, generate_subscripts(p.v, 1) AS j FROM p JOIN a{i} a USING (r)) GROUP BY c, j
+    ) GROUP BY c
+  ) n ON n.c = m{i}.c
+)""")
+    parts.append(f"z AS MATERIALIZED ({nearest.format(f'm{rounds}')})")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM z JOIN p USING (r) JOIN m{rounds} m USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op4_source_mix": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_decontaminate": OP8_SQL}
+    return {
+        "op2_exact_top_k": OP2_SQL,
+        "op4_source_mix": OP4_SQL,
+        "op5_url_filter": OP5_SQL,
+        "op8_decontaminate": OP8_SQL,
+        "op11_line_dedup": OP11_SQL,
+        "op12_centroids": op12_sql(),
+    }
