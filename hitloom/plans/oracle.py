@@ -137,6 +137,15 @@ UNION ALL SELECT 2, '/' || s0 || '/' || s1, '/' || s0, pv, v, has_children, CAST
 LINE = """SELECT concat(ip, ' - - [', tsraw, '] "', method, ' ', url, ' HTTP/1.1" ', status, ' ', size, ' "', referrer, '" "', ua, '"') AS line FROM fields"""
 NETWORKS = "SELECT DISTINCT user_id // 20 AS v, (user_id // 20) * 256 + 16777216 AS start, (['US', 'AU', 'FR'])[(user_id // 20) % 3 + 1] AS cc FROM events"
 RANGES = f'SELECT start, start + 255 AS "end", cc FROM ({NETWORKS})'
+# Each line with the bytes before it in the file of its site, and the days that a stream imports.
+PLACED = f"""SELECT site_id, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY site_id ORDER BY {{order}} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte
+FROM ({LINE.replace("SELECT ", "SELECT site_id, rid, instant >= TIMESTAMP '" + FROM + "' AS late, ", 1)})"""
+IMPORTED = f""", first AS (SELECT *, CASE WHEN epoch(instant) - lag(epoch(instant)) OVER w <= 1800 THEN 0 ELSE 1 END AS begins FROM hits WHERE datum < DATE '{TO}'
+  WINDOW w AS (PARTITION BY site_id, ip, ua, datum ORDER BY instant, rid)),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY site_id, ip, ua, datum ORDER BY instant, rid ROWS UNBOUNDED PRECEDING) AS nth FROM first),
+single AS (SELECT site_id, datum, ip, ua, nth, count(*) AS pageviews, sum(bytes) AS bytes FROM numbered GROUP BY ALL)
+SELECT site_id, datum, count(*) AS visits, CAST(sum(pageviews) AS BIGINT) AS pageviews, count(DISTINCT (ip, ua)) AS uniques,
+  count(*) FILTER (pageviews = 1) AS bounces, CAST(sum(bytes) AS BIGINT) AS bytes FROM single GROUP BY site_id, datum"""
 REPORTED = "'url', 'download', 'entry', 'exit', 'country', 'browser', 'os', 'device', 'referrer_type', 'keyword', 'hour'"
 FIELDS = "site_id, rid, ip, tsraw, method, url, status, size, referrer, ua"
 VISIT = "site_id, vkey, seq, datum, pageviews, entry_url, exit_url, browser, browser_version, os, os_version, device, device_model, referrer, ref_type, ref_name, keyword, country"
@@ -285,15 +294,20 @@ SELECT *, CASE WHEN trend IN ('up', 'down') THEN (trend = 'up') = (kpi <> 'bounc
             f"""SELECT CAST(9 AS INTEGER) AS site_id, datum, dim, NULL::VARCHAR AS parent, dimkey, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v
     FROM cube WHERE dim IN ({REPORTED}) GROUP BY datum, dim, dimkey""",
         ),
-        "st_import": _with(
-            "hits",
-            f""", first AS (SELECT *, CASE WHEN epoch(instant) - lag(epoch(instant)) OVER w <= 1800 THEN 0 ELSE 1 END AS begins FROM hits WHERE datum < DATE '{TO}'
-  WINDOW w AS (PARTITION BY ip, ua, datum ORDER BY instant, rid)),
-numbered AS (SELECT *, sum(begins) OVER (PARTITION BY ip, ua, datum ORDER BY instant, rid ROWS UNBOUNDED PRECEDING) AS nth FROM first),
-single AS (SELECT datum, ip, ua, nth, count(*) AS pageviews, sum(bytes) AS bytes FROM numbered GROUP BY ALL)
-SELECT CAST(1 AS INTEGER) AS site_id, datum, count(*) AS visits, CAST(sum(pageviews) AS BIGINT) AS pageviews, count(DISTINCT (ip, ua)) AS uniques,
-  count(*) FILTER (pageviews = 1) AS bounces, CAST(sum(bytes) AS BIGINT) AS bytes FROM single GROUP BY datum""",
+        "jn_ip_nested": f"""WITH r AS (
+  SELECT start, "end", cc FROM ({RANGES}) UNION ALL SELECT start, "end", cc || '2' FROM ({RANGES}) UNION ALL VALUES (16777216, 16777216 + 67108864, 'ZZ'), (0, 4294967295, '--')),
+a AS (SELECT DISTINCT user_id // 20 * 256 + 16777216 + event_id % 700 - 200 AS ipint FROM events)
+SELECT ipint, arg_min(cc, ("end" - start, start, cc)) AS cc FROM a JOIN r ON ipint BETWEEN start AND "end" GROUP BY ipint""",
+        "wn_hot_visitor": _with(
+            "hits_all",
+            """, one AS (SELECT *, CASE WHEN epoch(instant) - lag(epoch(instant)) OVER w <= 1800 THEN 0 ELSE 1 END AS new_session FROM hits_all WINDOW w AS (PARTITION BY site_id ORDER BY instant, rid))
+SELECT site_id, rid, new_session, CAST(sum(new_session) OVER (PARTITION BY site_id ORDER BY instant, rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq FROM one""",
         ),
+        "st_import": _with("hits", IMPORTED),
+        "st_two_streams": _with("hits", IMPORTED),
+        "st_growing_lines": _with("fields", PLACED.format(order="late, rid")),
+        "src_log_files": _with("fields", PLACED.format(order="rid")),
+        "wn_file_order": _with("visits", "SELECT site_id, vkey, seq, pageviews, entry_url, exit_url FROM visits"),
         "chk_schema": _with("meta", "SELECT max(schema_version) AS schema_version FROM meta"),
         "dsh_daily": _with("meta", f"SELECT daily.* EXCLUDE (site_id) FROM daily JOIN meta USING (site_id) WHERE site_id = {SITE} AND datum BETWEEN CAST(bis AS DATE) - 6 AND CAST(bis AS DATE)"),
         "dsh_meta": _with("meta", f"SELECT * FROM meta WHERE site_id = {SITE}"),

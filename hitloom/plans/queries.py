@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from hitloom.functions import referrers, requests
 from hitloom.operators import agents, cube, geo, hits, panels, sessions, windows
 from hitloom.plans import checks, dashboards, tables
 from hitloom.plans.importing import Analysis, ImportConfig, import_sites, parsed_hits
-from hitloom.sources import derived, lists, reports
+from hitloom.sources import derived, growing, lists, reports
 from hitloom.sources.geo import read_geo, read_geo6
 from hitloom.sources.lines import parse_lines, read_lines, read_sites
 from hitloom.streaming.streams import days_to_build, start_import, stream_buckets, stream_lines, stream_sessions
@@ -90,6 +92,25 @@ def src_lines(spark, sf_dir):
     return found.select("line", "nbytes")
 
 
+def src_log_files(spark, sf_dir):
+    """Every line with the byte at which it begins, from files cut into many splits."""
+    folder = _scratch(spark, "log")
+    _log(spark, sf_dir).repartition("site_id").sortWithinPartitions("site_id", "rid").select("site_id", "line").write.partitionBy("site_id").text(folder)
+    top = growing.mounted(folder)
+    found = growing.read_log_files(spark, {site: f"{top}/site_id={site}/*.txt" for site in (0, 1)}, split=50_000)
+    return found.select("site_id", "byte", "line")
+
+
+def wn_file_order(spark, sf_dir):
+    """Visits of lines read from files, in the order of their places there: entry and exit page of each."""
+    folder = _scratch(spark, "log")
+    _log(spark, sf_dir).repartition("site_id").sortWithinPartitions("site_id", "rid").select("site_id", "line").write.partitionBy("site_id").text(folder)
+    top = growing.mounted(folder)
+    found = growing.read_log_files(spark, {site: f"{top}/site_id={site}/*.txt" for site in (0, 1)}, split=50_000)
+    rows = import_sites(found.select("site_id", "rid", "line"), _config(spark)).visits
+    return rows.select("site_id", "vkey", "seq", "pageviews", "entry_url", "exit_url")
+
+
 def src_site_list(spark, sf_dir):
     mark = F.when(F.col("page_id") % 5 == 0, "# ").otherwise("")
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat_ws("\t", F.concat(mark, "page_id"), F.concat(F.lit(" "), "url"), F.lit("Site A")).alias("line"))
@@ -297,6 +318,15 @@ def jn_ip_country(spark, sf_dir):
     return geo.ip_country(_hits(spark, sf_dir), _geo(spark))
 
 
+def jn_ip_nested(spark, sf_dir):
+    """Many small ranges, each there twice with other countries, within one wide range."""
+    small = _networks(spark, sf_dir).select("start", (F.col("start") + 255).alias("end"), "cc")
+    twice = small.unionByName(small.withColumn("cc", F.concat("cc", F.lit("2"))))
+    wide = spark.createDataFrame([(2**24, 2**24 + 2**26, "ZZ"), (0, 2**32 - 1, "--")], "start bigint, end bigint, cc string")
+    addresses = _events(spark, sf_dir).select((F.expr("user_id div 20") * 256 + 2**24 + F.col("event_id") % 700 - 200).alias("ipint"))
+    return geo.ip_country(addresses, twice.unionByName(wide))
+
+
 def jn_ip6_country(spark, sf_dir):
     return geo.ip6_country(_hits(spark, sf_dir), _geo6(spark))
 
@@ -310,6 +340,11 @@ def wn_sessionize(spark, sf_dir):
     return _analysis(spark, sf_dir).sess.select("site_id", "rid", "new_session", "seq")
 
 
+def wn_hot_visitor(spark, sf_dir):
+    """All hits of a site as those of one visitor: dealt by hours, and the same visits."""
+    return sessions.sessionize(_hits(spark, sf_dir), keys=("site_id",)).select("site_id", "rid", "new_session", "seq")
+
+
 def wn_session_window(spark, sf_dir):
     found = stream_sessions(_hits(spark, sf_dir))
     return found.select("site_id", "vkey", F.unix_seconds("started").alias("started"), "pageviews")
@@ -363,11 +398,65 @@ def st_local_hours(spark, sf_dir):
     return found.select("site_id", F.to_date("bucket").alias("datum"), F.hour("bucket").alias("stunde"), "pageviews", "bytes")
 
 
+def _arriving(spark: SparkSession, sf_dir: str) -> tuple[dict[int, str], list[tuple[str, str]]]:
+    """The log of each site as a mounted file that holds its lines up to ``FROM``, and what each file
+    then gets (path, folder of one text file): the rest of its lines in their order."""
+    folder = _scratch(spark, "growing")
+    rows = _log(spark, sf_dir).withColumn("day", F.to_date(F.regexp_extract("line", r"\[(\d+/\w+/\d+)", 1), "dd/MMM/yyyy"))
+    parts = rows.withColumn("late", (F.col("day") >= F.lit(FROM).cast("date")).cast("int")).repartition("site_id").sortWithinPartitions("late", "site_id", "rid")
+    parts.select("site_id", "late", "line").write.partitionBy("late", "site_id").text(folder)
+    top, more = growing.mounted(folder), []
+    for site in (0, 1):
+        for late in glob.glob(f"{top}/late=1/site_id={site}/*.txt"):
+            found = glob.glob(f"{top}/late=0/site_id={site}/*.txt")
+            more.append((found[0] if found else late, late))
+    return {site: f"{top}/late=0/site_id={site}/*.txt" for site in (0, 1)}, more
+
+
+def _append(more: list[tuple[str, str]]) -> None:
+    for path, late in more:
+        with open(path, "ab") as file, open(late, "rb") as rest:
+            shutil.copyfileobj(rest, file)
+
+
+def st_growing_lines(spark, sf_dir):
+    """Two readings of growing files: each line once, with its place in its file."""
+    sites, more = _arriving(spark, sf_dir)
+    out, checkpoint = _scratch(spark, "grown"), _scratch(spark, "checkpoint")
+
+    def read() -> None:
+        rows = stream_lines(spark, sites).select("site_id", "byte", "line")
+        rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+    read()
+    _append(more)
+    read()
+    return spark.read.schema("site_id int, byte bigint, line string").parquet(out)
+
+
 def st_import(spark, sf_dir):
-    """The import of a stream: all lines arrive as files, and every complete day is built."""
-    lines = stream_lines(spark, _written(_log(spark, sf_dir), "arriving", F.col("line")), 1)
+    """The import of growing files of two sites in one stream: the days that were there, then what was
+    appended, and then all of it again from a new checkpoint, which changes nothing."""
+    sites, more = _arriving(spark, sf_dir)
+    store = tables.Tables(spark, _scratch(spark, "tables"))
+    first, second = _scratch(spark, "checkpoint"), _scratch(spark, "checkpoint")
+    for checkpoint in (first, first, second):
+        start_import(stream_lines(spark, sites), store, checkpoint, lambda: TO, ImportConfig(tz=TZ, salt=SALT)).awaitTermination()
+        _append(more)
+        more = []
+    return store.read("daily")
+
+
+def st_two_streams(spark, sf_dir):
+    """Each site as a stream of its own into the same tables, late lines too."""
+    sites, more = _arriving(spark, sf_dir)
     store = tables.Tables(spark, _scratch(spark, "tables"))
-    start_import(lines, store, _scratch(spark, "checkpoint"), lambda: TO, ImportConfig(tz=TZ, salt=SALT)).awaitTermination()
+    checkpoints = {site: _scratch(spark, "checkpoint") for site in sites}
+    for _ in range(2):
+        for site, path in sites.items():
+            start_import(stream_lines(spark, {site: path}), store, checkpoints[site], lambda: TO, ImportConfig(tz=TZ, salt=SALT)).awaitTermination()
+        _append(more)
+        more = []
     return store.read("daily")
 
 

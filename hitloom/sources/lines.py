@@ -76,13 +76,17 @@ def count_groups(regex: str) -> int:
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(rid, line, nbytes, file) of text files, packed or not; blank lines are left out.
+    """(rid, line, nbytes, file) of text files of any store, packed or not; blank lines are left out.
 
-    ``rid`` orders lines within a file and breaks ties; it has no other meaning.
+    ``rid`` orders lines by file and by their place in it, however files are split: by the byte at
+    which a split begins, and by the number of the line within the split.  Where files are mounted,
+    ``sources.growing.read_log_files`` gives the very byte of each line.
     """
-    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    rows = rows.where(F.length("line") > 0)
-    return rows.select(F.monotonically_increasing_id().alias("rid"), "line", (F.octet_length("line") + 1).cast("long").alias("nbytes"), "file")
+    rows = spark.read.text(path).where(F.length("value") > 0)
+    place = F.struct(
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")
+    )
+    return rows.select(place.alias("rid"), F.col("value").alias("line"), (F.octet_length("value") + 1).cast("long").alias("nbytes"), F.col("_metadata.file_path").alias("file"))
 
 
 def parse_lines(lines: DataFrame, fmt: str = "combined", regex: str | None = None, ts_format: str | None = None, line: str = "line") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +12,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hitloom.plans.importing import ImportConfig, import_sites, parsed_hits
 from hitloom.plans.tables import Tables, rebuild_meta, rebuild_topn
+from hitloom.sources.growing import stream_log_files
 
 MARGIN = "60 seconds"
 GAP = "30 minutes"
 
 
-def stream_lines(spark: SparkSession, path: str, site_id: int = 1) -> DataFrame:
-    """(site_id, rid, line) of files that arrive in a folder; the checkpoint remembers which were read."""
-    lines = spark.readStream.text(path).select(F.col("value").alias("line")).where(F.length("line") > 0)
-    return lines.select(F.lit(site_id).cast("int").alias("site_id"), F.xxhash64("line").alias("rid"), "line")
+def stream_lines(spark: SparkSession, sites: dict[int, str] | str, site_id: int = 1) -> DataFrame:
+    """(site_id, rid, file, byte, line) of growing files, each line once: those of one site, or of many
+    as {site_id: path or pattern}.  See ``sources.growing``."""
+    named = {site_id: sites} if isinstance(sites, str) else sites
+    return stream_log_files(spark, named).select("site_id", "rid", "file", "byte", "line")
 
 
-def stream_hits(spark: SparkSession, path: str, config: ImportConfig | None = None, site_id: int = 1) -> DataFrame:
+def stream_new_files(spark: SparkSession, path: str, site_id: int = 1) -> DataFrame:
+    """The same of whole files that arrive in a folder of any store that Spark reads, packed ones too.
+    Files that were read are not looked at again; ``byte`` is null, and ``rid`` has no order."""
+    lines = spark.readStream.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where(F.length("line") > 0)
+    return lines.select(F.lit(site_id).cast("int").alias("site_id"), F.xxhash64("line").alias("rid"), "file", F.lit(None).cast("bigint").alias("byte"), "line")
+
+
+def stream_hits(spark: SparkSession, path: dict[int, str] | str, config: ImportConfig | None = None, site_id: int = 1) -> DataFrame:
     """Clean, classified hits of arriving files."""
     return parsed_hits(stream_lines(spark, path, site_id), config or ImportConfig())
 
@@ -56,14 +66,36 @@ def days_to_build(built: DataFrame, today: str, lookback: int) -> DataFrame:
     return spine.join(built.where(F.col("datum") != yesterday).select("datum").distinct(), "datum", "left_anti")
 
 
-def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Callable[[], str], config: ImportConfig | None = None) -> StreamingQuery:
-    """Imports arriving lines until none are left, then stops.
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of a checkpoint when it first started."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first().value)["id"]
+
+
+LANDED = "rid bigint, file string, byte bigint, line string, stream string, batch bigint, site_id int, datum date"
+
+
+def landed_lines(tables: Tables, days: list[tuple[int, datetime.date]]) -> DataFrame:
+    """(site_id, rid, line) that all streams have landed for these days.
 
-    A batch lands in a table of lines by site and day, under its own number, so a replayed batch
-    replaces itself.  Then every complete day (before ``cutoff()``, on the site's clock) that the batch
-    touched, or that still waits, is rebuilt whole from the lines of that day: late lines change it,
-    and replays change nothing.  Which days there are is read from folder names.  A day that was built
-    leaves a mark, as one of failed requests alone has no row in any table.  Visitor keys change with the day.
+    A stretch that several streams have read, as after a lost checkpoint, counts once: a line is known
+    by its file and its place there.
+    """
+    store = f"{tables.folder}/lines"
+    stored = tables.spark.read.schema(LANDED).option("basePath", store)
+    mine = stored.parquet(*[f"{store}/stream=*/batch=*/site_id={s}/datum={d.isoformat()}" for s, d in days])
+    placed = mine.where("byte IS NOT NULL").dropDuplicates(["site_id", "datum", "file", "byte", "line"])
+    return placed.unionByName(mine.where("byte IS NULL")).select("site_id", "rid", "line")
+
+
+def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Callable[[], str], config: ImportConfig | None = None) -> StreamingQuery:
+    """Imports arriving lines of any number of sites until none are left, then stops.
+
+    A batch lands in a table of lines by site and day, under the id of its stream and its own number,
+    so a replayed batch replaces itself and no other stream's, nor one of an earlier checkpoint.  Then every
+    complete day (before ``cutoff()``, on the site's clock) that the batch touched, or that still waits, is
+    rebuilt whole from the lines of that day: late lines change it, and replays change nothing.  Which
+    days there are is read from folder names.  A day that was built leaves a mark, as one of failed
+    requests alone has no row in any table.  Visitor keys change with the day.
     """
     base = config or ImportConfig()
     config = ImportConfig(**{**base.__dict__, "salt_by": "day", "cutoff": None, "day_from": None, "day_to": None})
@@ -71,18 +103,17 @@ def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Call
 
     def land(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        kept = parsed_hits(batch.withColumn("raw", F.col("line")), config).select("rid", F.col("raw").alias("line"), "site_id", "datum")
-        kept = kept.where("site_id IS NOT NULL AND datum IS NOT NULL")
-        kept.write.mode("overwrite").partitionBy("site_id", "datum").parquet(f"{store}/batch={number}")
+        landed = f"{store}/stream={stream_id(spark, checkpoint)}/batch={number}"
+        kept = parsed_hits(batch.withColumn("raw", F.col("line")), config)
+        kept = kept.select("rid", "file", "byte", F.col("raw").alias("line"), "site_id", "datum").where("site_id IS NOT NULL AND datum IS NOT NULL")
+        kept.write.mode("overwrite").partitionBy("site_id", "datum").parquet(landed)
         limit = datetime.date.fromisoformat(cutoff())
         built = {*tables.partitions("daily"), *tables.partitions("daily", marks)}
-        waiting = set(tables.partitions("daily", f"{store}/batch=*")) - built
-        due = sorted(x for x in waiting.union(tables.partitions("daily", f"{store}/batch={number}")) if x[1] < limit)
+        waiting = set(tables.partitions("daily", f"{store}/stream=*/batch=*")) - built
+        due = sorted(x for x in waiting.union(tables.partitions("daily", landed)) if x[1] < limit)
         if not due:
             return
-        stored = spark.read.schema("rid bigint, line string, batch bigint, site_id int, datum date").option("basePath", store)
-        mine = stored.parquet(*[f"{store}/batch=*/site_id={s}/datum={d.isoformat()}" for s, d in due])
-        found = import_sites(mine.select("site_id", "rid", "line"), config).persist()
+        found = import_sites(landed_lines(tables, due), config).persist()
         cube, daily = found.cube(), found.daily()
         tables.write("cube", cube)
         tables.write("daily", daily)
@@ -94,5 +125,3 @@ def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Call
 
     writer = lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
-
-

@@ -1,12 +1,17 @@
 """Streams against their batch twins, and the incremental import."""
 
 import datetime
+import gzip
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitloom.plans.importing import ImportConfig, import_sites, parsed_hits
 from hitloom.plans.tables import Tables
+from hitloom.sources import growing
+from hitloom.sources.growing import read_log_files, stream_log_files
+from hitloom.sources.lines import read_lines
 from hitloom.streaming import streams
 
 UA = "Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0"
@@ -22,8 +27,10 @@ def drop(folder, name, *texts):
 
 
 def run(df, mode, name):
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    # Until idle: the batch without data that lets visits out comes after the last one with data.
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    query.processAllAvailable()
+    query.stop()
 
 
 def test_sessions_and_buckets(spark, tmp_path):
@@ -74,6 +81,114 @@ def test_import(spark, tmp_path):
     assert tables.read("topn").where("dim = 'entry' AND win = 'all'").count() > 0
 
 
+@pytest.fixture
+def importing(spark, tmp_path):
+    """Imports what the files of each site have grown by; gives the page views of (site, day)."""
+    tables = Tables(spark, str(tmp_path / "store"))
+
+    def go(sites, checkpoint="checkpoint", limit="2026-01-20", split=1 << 20):
+        lines = stream_log_files(spark, {s: str(p) for s, p in sites.items()}, split)
+        query = streams.start_import(lines, tables, str(tmp_path / checkpoint), lambda: limit, ImportConfig(salt="s"))
+        query.awaitTermination(180)
+        assert query.exception() is None
+        return {(r.site_id, r.datum.day): r.pageviews for r in tables.read("daily").collect()}
+
+    return go
+
+
+def append(path, *texts, end="\n"):
+    with open(path, "a") as file:
+        file.write("\n".join(texts) + end)
+
+
+def test_appended_and_rotated_files(importing, tmp_path):
+    log, old = tmp_path / "access.log", tmp_path / "access.log.1"
+    site = {1: f"{tmp_path}/access.log*"}
+    append(log, line(9, "10:00:00"), line(9, "10:01:00", url="/b"))
+    assert importing(site) == {(1, 9): 2}
+    append(log, line(9, "10:02:00"), line(9, "10:03:00"), end="")  # the last line is not whole yet
+    assert importing(site) == {(1, 9): 3}
+    append(log, "", line(9, "10:04:00"))
+    assert importing(site, split=40) == {(1, 9): 5}
+    append(log, line(9, "10:05:00"))
+    log.rename(old)  # with a line that was not read before
+    append(log, line(9, "10:06:00"), line(9, "10:07:00"))
+    assert importing(site) == {(1, 9): 8}
+    assert importing(site) == {(1, 9): 8}
+    with open(log, "w"):  # emptied in place, then longer than before
+        pass
+    append(log, *[line(10, f"11:{m:02}:00") for m in range(9)])
+    assert importing(site) == {(1, 9): 8, (1, 10): 9}
+
+
+def test_two_streams_and_a_new_checkpoint_lose_nothing(importing, tmp_path):
+    one, two = tmp_path / "one.log", tmp_path / "two.log"
+    append(one, *[line(9, f"10:0{m}:00") for m in range(5)])
+    append(two, line(9, "10:00:00"))
+    assert importing({1: one}, "a") == {(1, 9): 5}
+    assert importing({2: two}, "b") == {(1, 9): 5, (2, 9): 1}
+    append(one, line(9, "10:09:00"))  # late: its day is built again from all lines
+    assert importing({1: one}, "a") == {(1, 9): 6, (2, 9): 1}
+    # A lost checkpoint: all is read again, beside what the old one landed, and counts once.
+    append(one, line(9, "10:09:00"))  # the same text at another place is another hit
+    assert importing({1: one}, "c") == {(1, 9): 7, (2, 9): 1}
+    append(one, line(9, "10:30:00"))
+    assert importing({1: one, 2: two}, "d") == {(1, 9): 8, (2, 9): 1}
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1000, 1 << 20])
+def test_places_do_not_depend_on_splits(spark, tmp_path, split):
+    texts = ["a", "", "bb\r", "ccc ä", "x" * 300, "last"]
+    (tmp_path / "log").write_bytes("\n".join(texts).encode() + b"\n\xff\xfe")
+    with gzip.open(tmp_path / "old.gz", "wt") as file:
+        file.write("one\ntwo\n")
+    rows = read_log_files(spark, {4: f"{tmp_path}/log", 5: f"{tmp_path}/*.gz", 6: f"{tmp_path}/none"}, split).orderBy("site_id", "rid").collect()
+    want = [(4, 0, "a"), (4, 3, "bb"), (4, 7, "ccc ä"), (4, 14, "x" * 300), (4, 315, "last"), (4, 320, "��"), (5, 0, "one"), (5, 4, "two")]
+    assert [(r.site_id, r.byte, r.line) for r in rows] == want
+
+
+def test_order_of_spark_read_lines(spark, tmp_path):
+    """Splits of one file may be read in any order and by any task; the order of lines stays."""
+    (tmp_path / "log").write_text("".join(f"line {i}\n" for i in range(2000)))
+    for size in ("300", "4k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            rows = read_lines(spark, str(tmp_path / "log")).orderBy("rid").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [r.line for r in rows] == [f"line {i}" for i in range(2000)]
+
+
+def test_renamed_while_it_is_read(tmp_path):
+    log = tmp_path / "log"
+    append(log, "first", "second")
+    source = growing.GrowingFiles({"sites": json.dumps([[1, f"{tmp_path}/log*"]])})
+    part = source.partitions(source.initialOffset(), source.latestOffset())[0]
+    log.rename(tmp_path / "log.1")
+    append(log, "third")
+    assert [x for b in growing.read_stretch(part) for x in b.column(4).to_pylist()] == ["first", "second"]
+    (tmp_path / "log.1").unlink()
+    with pytest.raises(FileNotFoundError, match="is gone"):
+        list(growing.read_stretch(part))
+
+
+def test_only_mounted_folders_grow():
+    assert growing.mounted("file:///a/b") == growing.mounted("/a/b") == "/a/b"
+    with pytest.raises(ValueError, match="mounted"):
+        growing.mounted("s3a://logs/a")
+
+
+def test_new_files_of_a_store(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path / "store"))
+    for name, texts in (("1.log", [line(9, "10:00:00")] * 2), ("2.log", [line(9, "10:01:00")])):
+        drop(tmp_path / "in", name, *texts)
+        lines = streams.stream_new_files(spark, str(tmp_path / "in"), 3)
+        streams.start_import(lines, tables, str(tmp_path / "checkpoint"), lambda: "2026-01-11").awaitTermination(180)
+    assert [(r.site_id, r.pageviews) for r in tables.read("daily").collect()] == [(3, 3)]
+
+
 def test_day_of_failed_requests_is_built_once(spark, tmp_path, monkeypatch):
     tables, source, built = Tables(spark, str(tmp_path / "store")), tmp_path / "in", []
 
