@@ -126,7 +126,8 @@ def scan(docs: DataFrame, text: str, reach: int = REACH) -> DataFrame:
     names = ["near", "term", "n"]
 
     def counted(words: Counter):
-        terms = pa.array(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64).view(np.int64))
+        # Each word in lower case by itself, as it is marked: lower-casing a text may part a word.
+        terms = pa.array(np.array([xxhash.xxh64_intdigest(w.lower()) for w in words], dtype=np.uint64).view(np.int64))
         return pa.RecordBatch.from_arrays([pa.nulls(len(terms), pa.list_(NEAR)), terms, pa.array(list(words.values()), pa.int64())], names=names)
 
     def run(batches):
@@ -137,7 +138,7 @@ def scan(docs: DataFrame, text: str, reach: int = REACH) -> DataFrame:
             near = pa.array([[{"term": x[0], "entity": x[1]} for x in s] for s in near], pa.list_(NEAR))
             yield pa.RecordBatch.from_arrays([near, pa.nulls(len(near), pa.int64()), pa.nulls(len(near), pa.int64())], names=names)
             for t in texts:
-                words.update(WORDS.findall(t.lower()))
+                words.update(WORDS.findall(t))
                 if len(words) > COUNTED:
                     yield counted(words)
                     words = Counter()

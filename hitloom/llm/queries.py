@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +77,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(_table(spark, sf_dir, "documents"), 8, map_path=f"{shared_dir(spark)}/hitloom/shard-maps/op9")
+    # A map of its own for each run: what other tables or runs have stored takes no part.
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"), 8, map_path=f"{shared_dir(spark)}/shard-maps/op9-{uuid.uuid4().hex}")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

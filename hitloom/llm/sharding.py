@@ -4,14 +4,17 @@ Records are hashed into thousands of slots, bytes are summed per slot, and the m
 slots to shards so that bytes are near equal.  Rebalancing edits the map: it moves as few
 slots as it can and stores the result as the next version; records never change slots.
 
-Records are hashed by their text, so equal texts, a group, share a slot and a shard.  A group that
-would tip a shard is split over slots by the hash of its ids as well.
+Records are hashed by their text alone, so equal texts, a group, share a slot and a shard at every size.
+Bytes are as near equal as whole groups allow: a group of more bytes than a shard's share makes its
+shard larger than others.
 """
 
 from __future__ import annotations
 
 import heapq
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,6 @@ from hitloom.llm.common import materialize
 
 SLOTS = 4096
 MAP_SCHEMA = "slot int, shard int"
-#: A group of equal texts is split once it has more than this share of a shard's bytes.
-HOT_SHARE = 1 / 16
 #: Share of the mean by which shards may differ before a stored map is edited.
 WITHIN = 0.002
 
@@ -90,15 +91,24 @@ def latest_version(spark: SparkSession, path: str) -> int:
 
 def current_map(spark: SparkSession, path: str, sizes: dict[int, int], shards: int, slots: int = SLOTS) -> list[int]:
     """The map to place records by: the latest stored version, edited where these sizes or the
-    number of shards ask for it; an edited or first map is stored as the next version."""
-    version = latest_version(spark, path)
-    before = load_map(spark, path, version) if version else None
-    if before is not None and len(before) != slots:
-        raise ValueError(f"the map at {path} has {len(before)} slots instead of {slots}; slots are fixed for good")
-    now = rebalanced(before if before is not None else balanced(sizes, shards, slots), sizes, shards, WITHIN)
-    if now != before:
-        save_map(spark, path, version + 1, now)
-    return now
+    number of shards ask for it; an edited or first map is stored as the next version.  Where another run
+    has just stored that version, its map is the one to edit."""
+    for _ in range(10):
+        version = latest_version(spark, path)
+        before = load_map(spark, path, version) if version else None
+        if before is not None and len(before) != slots:
+            raise ValueError(f"the map at {path} has {len(before)} slots instead of {slots}; slots are fixed for good")
+        now = rebalanced(before if before is not None else balanced(sizes, shards, slots), sizes, shards, WITHIN)
+        if now == before:
+            return now
+        try:
+            save_map(spark, path, version + 1, now)
+            return now
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            time.sleep(1)
+    raise RuntimeError(f"other runs keep changing the map at {path}")
 
 
 def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -107,46 +117,40 @@ def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.vslot: (r["size"], r.n) for r in sums.collect()}
 
 
-def hot_texts(rows: DataFrame, shards: int) -> list[int]:
-    """Digests of the groups of equal texts that have more than ``HOT_SHARE`` of a shard's bytes; by
-    that share there are at most ``shards / HOT_SHARE``."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    sums = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    return [r.digest for r in sums.where((F.col("size") > total / shards * HOT_SHARE) & (F.col("n") > 1)).select("digest").collect()]
-
-
 def shard_rows(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
     Law ``bytes``: the sums of ``size`` (UTF-8 bytes plus one; null texts have none) are near
-    equal.  Rows of equal text share a virtual slot, and so a shard, unless their group is so large that
-    it must be split.  ``slot`` numbers the rows of a shard without gaps from 0, in the order of virtual slot,
-    id and text.  Each virtual slot is numbered by itself and starts where those before it end.
-    Null texts have crc 0 and are a group; null ids are hashed like any other; an empty table gives no rows.
+    equal, as far as whole groups allow: rows of equal text share a virtual slot, and so a shard.
+    ``slot`` numbers the rows of a shard without gaps from 0, in the order of virtual slot, part, id and text;
+    a virtual slot of many rows is numbered in parts, dealt by the hash of the id, so that no task numbers a large
+    group.  Null texts have crc 0 and are a group; null ids are hashed like any other; an empty table gives no rows.
     With ``map_path`` the map stored there places the records: its latest version is loaded and
-    edited, and what was edited is stored as the next version.
+    edited, and what was edited is stored as the next version.  The path names the table: maps are never shared.
     """
     slim = docs.select(
         F.col(doc_id).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
-        F.xxhash64(text).alias("digest"),
+        slot_of(F.xxhash64(text), slots=slots).alias("vslot"),
     )
-    slim = materialize(slim, "digests")
-    hot = F.col("digest").isin(hot_texts(slim, shards))
-    slot = F.when(hot, slot_of(F.col("digest"), F.col("id"), slots=slots)).otherwise(slot_of(F.col("digest"), slots=slots))
-    slim = slim.withColumn("vslot", slot)
+    spark, slim = docs.sparkSession, materialize(slim, "digests")
     sizes = slot_sizes(slim)
-    spark = docs.sparkSession
     by_slot = {s: x[0] for s, x in sizes.items()}
     shard_map = current_map(spark, map_path, by_slot, shards, slots) if map_path else rebalanced(balanced(by_slot, shards, slots), by_slot, shards, WITHIN)
+    # As many rows in a part as in a slot on average: there are at most twice as many parts as slots.
+    rows_of_part = -(-sum(n for _, n in sizes.values()) // slots)
+    parts = spark.createDataFrame([(s, -(-n // rows_of_part)) for s, (_, n) in sizes.items()], "vslot int, parts int")
+    slim = slim.join(F.broadcast(parts), "vslot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    counts = {(r.vslot, r.part): r.n for r in slim.groupBy("vslot", "part").agg(F.count("*").alias("n")).collect()}
     base, table = [0] * shards, []
-    for slot, shard in enumerate(shard_map):
-        table.append((slot, shard, base[shard]))
-        base[shard] += sizes.get(slot, (0, 0))[1]
-    named = spark.createDataFrame(table, "vslot int, shard int, base long")
-    nth = F.row_number().over(Window.partitionBy("vslot").orderBy("id", "text_crc32", "size"))
-    out = slim.withColumn("nth", nth).join(F.broadcast(named), "vslot")
+    for slot, part in sorted(counts):
+        shard = shard_map[slot]
+        table.append((slot, part, shard, base[shard]))
+        base[shard] += counts[slot, part]
+    named = spark.createDataFrame(table, "vslot int, part int, shard int, base long")
+    nth = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("id", "text_crc32", "size"))
+    out = slim.withColumn("nth", nth).join(F.broadcast(named), ["vslot", "part"])
     return out.select(
         F.col("id").alias(doc_id), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("base") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",

@@ -166,11 +166,34 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}), dtype=np.uint64)
 
 
+def _alike(table: pa.Table) -> pa.Table:
+    """(id, first): links that hold together the examples of a bucket that are alike, fewer than it has examples.
+
+    Every example meets every other that no links join to it yet, so none hides behind a third."""
+    order = table.column("id").to_numpy().argsort(kind="stable")
+    ids, held = table.column("id").take(pa.array(order)).to_pylist(), table.column("shingles").take(pa.array(order))
+    sets = [np.asarray(s.values.to_numpy(zero_copy_only=False)) for s in held]
+    family, out = list(range(len(ids))), []
+    for i in range(len(ids)):
+        for j in range(i):
+            few, many = sorted((len(sets[i]), len(sets[j])))
+            if family[i] == family[j] or few < SAME * many:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= SAME * (few + many - common):
+                out.append((ids[i], ids[j]))
+                old, new = max(family[i], family[j]), min(family[i], family[j])
+                family = [new if f == old else f for f in family]
+    kind = table.column("id").type
+    return pa.table([pa.array([x[n] for x in out], kind) for n in (0, 1)], names=["id", "first"])
+
+
 def merge_copies(rows: DataFrame) -> DataFrame:
     """The sampled examples (id, y, weight, text) without near copies of one label.
 
     Copies would make any of their words look typical of a class.  Examples of one label that share one
-    of four MinHash values and five-word shingles to ``SAME`` or more are one; the smallest id stays, with the weights of all.
+    of four MinHash values and five-word shingles to ``SAME`` or more are one, compared each with each in a bucket
+    of the bounded sample; the smallest id stays, with the weights of all.
     """
 
     def run(batches):
@@ -182,11 +205,9 @@ def merge_copies(rows: DataFrame) -> DataFrame:
 
     schema = rows.select("id", "y", *[F.lit(None).cast("array<long>").alias(c) for c in ("least", "shingles")]).schema
     hashed = materialize(rows.select("id", "y", "text").mapInArrow(run, schema), "shingles")
-    met = hashed.select("id", "y", F.posexplode("least").alias("nth", "value"))
-    links = met.join(met.groupBy("y", "nth", "value").agg(F.min("id").alias("first")), ["y", "nth", "value"]).where("id <> first").select("id", "first").distinct()
-    sides = links.join(hashed.select("id", F.col("shingles").alias("a")), "id").join(hashed.select(F.col("id").alias("first"), F.col("shingles").alias("b")), "first")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = sides.where(common >= SAME * (F.size("a") + F.size("b") - common)).select("id", "first").collect()  # four an example at most
+    met = hashed.select("id", "y", "shingles", F.posexplode("least").alias("nth", "value"))
+    links = met.groupBy("y", "nth", "value").applyInArrow(_alike, hashed.select("id", F.col("id").alias("first")).schema)
+    alike = links.distinct().collect()  # four an example at most
     parent: dict = {}
 
     def find(x):

@@ -23,3 +23,10 @@ def test_places_lie_outside_of_spans():
     text = "jo mail jo@x.org and org by jo"
     found = pii.places(text, pii.base_spans(text), lambda h: True)
     assert [text[a:b] for _, a, b in found] == ["jo", "mail", "and", "org", "by", "jo"]
+
+
+def test_letters_that_grow_in_lower_case(spark, documents):
+    """A dotted capital I is two characters in lower case; the word is one nonetheless."""
+    texts = [f"İzmirli wrote jo@x.org and the weather of day {i}" for i in range(6)] + [f"and the weather of day {i} is fine" for i in range(200)] + ["there was İzmirli"]
+    rows = {r.doc_id: r.text for r in pii.redact(documents(*texts)).collect()}
+    assert rows[206] == "there was [term]" and all(rows[i].startswith("[term] [term] [email]") for i in range(6))

@@ -252,3 +252,14 @@ def test_language_edges(spark, documents, hard):
     nothing = language_id.train(documents((1, "a", None, "s")))
     assert [(r.lang_pred, r.score) for r in language_id.identify(documents("abc"), nothing).collect()] == [("und", 0.0)]
     assert language_id.identify(documents("a").limit(0), model).count() == 0
+
+
+def test_copies_meet_beside_an_unlike_text_with_a_smaller_id(spark):
+    """Texts that share boilerplate share MinHash values: the smallest id of a value may be unlike both copies."""
+    boilerplate = " ".join(f"shared{i}" for i in range(120))
+    rows = [(0, 1, 1.0, boilerplate + " " + " ".join(f"own{i}" for i in range(40)))]
+    for n in range(40):
+        base = boilerplate + " " + " ".join(f"body{n}x{i}" for i in range(60))
+        rows += [(10 + 2 * n, n % 2, 1.0, base), (11 + 2 * n, n % 2, 2.0, base + " end")]
+    merged = toxicity.merge_copies(spark.createDataFrame(rows, "id long, y int, weight double, text string")).collect()
+    assert {r.id: r.weight for r in merged} == {0: 1.0, **{10 + 2 * n: 3.0 for n in range(40)}}

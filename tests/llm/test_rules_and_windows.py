@@ -2,13 +2,15 @@
 
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from hitloom.llm import decontaminate, sharding, url_filter
-from hitloom.llm.queries import URL_RULES
+from hitloom.llm.queries import URL_RULES, op9_shard_slots
 
 URLS = [
     "https://www.example.com/en/71?x#y", "http://EXAMPLE.com/en/6", "https://a.net/de/8", "https://x.example.net/de/80", "https://example.net/de", "ftp://notcom/en/", "https://com/en/",
@@ -187,15 +189,52 @@ def test_stored_map_places_later_records(spark, documents, tmp_path):
     assert max(sums) - min(sums) <= 0.01 * sum(sums)
 
 
-def test_equal_texts_stay_together_unless_they_are_too_many(spark, documents):
-    texts = [f"group {i % 700}" for i in range(2100)] + ["hot"] * 3000 + [None, None]
-    rows = sharding.shard_rows(documents(*texts), 8).collect()
+def brute_shards(rows, shards=8, slots=sharding.SLOTS):
+    """(doc_id, size, crc, shard, slot) of (doc_id, text) rows, in plain Python."""
+    digest = lambda data: (xxhash.xxh64_intdigest(data, seed=42) ^ (1 << 63)) - (1 << 63)
+    told = []
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        vslot = digest(struct.pack("<q", 42 if text is None else digest(data))) % slots
+        told.append([vslot, doc_id, zlib.crc32(data), len(data) + 1])
+    sizes, counts = {}, {}
+    for vslot, _, _, size in told:
+        sizes[vslot], counts[vslot] = sizes.get(vslot, 0) + size, counts.get(vslot, 0) + 1
+    where = sharding.rebalanced(sharding.balanced(sizes, shards, slots), sizes, shards, sharding.WITHIN)
+    most = -(-len(told) // slots)
+    for x in told:
+        key = 42 if x[1] is None else digest(struct.pack("<q", x[1]))
+        x.insert(1, key % -(-counts[x[0]] // most))
+    out, nth = [], [0] * shards
+    for vslot, _, doc_id, crc, size in sorted(told, key=lambda x: (x[0], x[1], x[2] is not None, x[2] or 0, x[3], x[4])):
+        shard = where[vslot]
+        out.append((doc_id, size, crc, shard, nth[shard]))
+        nth[shard] += 1
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("copies", [3, 3000])
+def test_shards_beside_brute_force(documents, copies):
+    """Equal texts stay together, a third of all rows too."""
+    texts = [f"group {i % 700} " + "x" * (i % 300) for i in range(2100)] + ["hot"] * copies + [None, None, "", "é"]
+    docs = documents(*texts)
+    rows = sharding.shard_rows(docs.repartition(3), 8).collect()
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in rows), key=repr) == brute_shards(list(enumerate(texts)))
     shards = {}
     for r in rows:
         shards.setdefault(texts[r.doc_id], set()).add(r.shard)
-    assert all(len(shards[t]) == 1 for t in set(texts) - {"hot"}) and len(shards["hot"]) == 8
-    sums = [sum(r["size"] for r in rows if r.shard == s) for s in range(8)]
-    assert max(sums) - min(sums) <= 0.01 * sum(sums)
+    assert all(len(x) == 1 for x in shards.values())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_runs_of_the_shard_query_do_not_meet(spark, sf):
+    """Runs over other tables in between change nothing, and no group is split."""
+    run = lambda x: {(r.doc_id, r.shard, r.slot) for r in op9_shard_slots(spark, f"/root/testdata/{x}").collect()}
+    first = run(sf)
+    run("sf0.001")
+    assert run(sf) == first
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    assert len({(texts[i], shard) for i, shard, _ in first}) == len(set(texts.values()))
 
 
 def test_rebalancing_moves_little():
