@@ -6,6 +6,8 @@ shared folder and reads it back, so a lost executor costs at most the stage at h
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and place of each document, by the stored map of the pipeline."""
-    return sharding.shard_rows(docs, map_path=f"{shared_dir(spark)}/hitloom/shard-maps/pipeline")
+    """Shard and place of each document, by a map that is stored for this run."""
+    return sharding.shard_rows(docs, map_path=f"{shared_dir(spark)}/shard-maps/pipeline-{uuid.uuid4().hex}")
 
 
 STAGES = [
