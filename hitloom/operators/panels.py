@@ -91,7 +91,12 @@ def top_n_live(cube: DataFrame, site: int, day_from: str, day_to: str, dim: str,
 def topn_table(cube: DataFrame, meta: DataFrame, k: int = KEPT) -> DataFrame:
     """(site_id, win, dim, parent, dimkey, pv, v, rnk): the ``k`` best values of each precomputed
     preset, of top-level dimensions as one list and of the lower ones for each parent."""
-    rows = _keyed(cube_by_window(cube, preset_windows(meta)))
+    return best_by_window(cube_by_window(cube, preset_windows(meta)), k)
+
+
+def best_by_window(rows: DataFrame, k: int = KEPT) -> DataFrame:
+    """``topn_table`` from (site_id, win, dim, parent, dimkey, pv, v), of which rows of one cell add up."""
+    rows = _keyed(rows)
     none = F.lit(None).cast("string")
     sums = lambda x: x.groupBy("site_id", "win", "dim", "parent", "dimkey").agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"))
     root = sums(rows.where(F.col("dim").isin(*ROOT_METRIC)).withColumn("parent", none)).withColumn("level", F.lit(0))
@@ -276,3 +281,55 @@ def url_tree(cube: DataFrame, site: int, day_from: str, day_to: str, path: str =
         F.lit(2).alias("level"), F.concat(top, F.lit("/"), "s1").alias("path"), top.alias("parent_path"), "pv", "v", F.col("deep").alias("has_children"), "rnk", F.col("below").alias("n")
     )
     return one.unionByName(two)
+
+
+def page_rows(cube: DataFrame) -> DataFrame:
+    """(site_id, datum, parent, segment, pv, v, below): for each day every page and folder under its parent path,
+    with the sums of all below it, and how many rows of the cube go deeper.
+
+    A page stands once under each of its ancestors, so the subtrees of a path are the rows of one parent.
+    All three numbers add up over days.
+    """
+    parts = F.split("dimkey", "/", -1)
+    step = lambda i: F.struct(
+        F.array_join(F.slice(parts, F.lit(1), i), "/").alias("parent"),
+        F.element_at(parts, i + 1).alias("segment"),
+        (F.array_join(F.slice(parts, i + 2, F.size(parts)), "/") != "").cast("bigint").alias("below"),
+    )
+    urls = cube.where((F.col("dim") == TREE_DIM) & F.col("dimkey").contains("/"))
+    steps = urls.select("site_id", "datum", "pv", "v", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), step)).alias("x")).select("site_id", "datum", "pv", "v", "x.*")
+    rows = steps.where("segment <> ''").groupBy("site_id", "datum", "parent", "segment")
+    return rows.agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"), F.sum("below").alias("below"))
+
+
+def _subtrees(pages: DataFrame, site: int, day_from: str, day_to: str) -> DataFrame:
+    """(parent, segment, pv, v, has_children) over the days."""
+    sums = days(pages, site, day_from, day_to).groupBy("parent", "segment").agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"), (F.sum("below") > 0).alias("has_children"))
+    return sums
+
+
+def stored_tree_children(pages: DataFrame, site: int, day_from: str, day_to: str, path: str = "", metric: str = "pv", limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
+    """``url_tree_children`` from rows of ``page_rows``: reads those of one parent only."""
+    limit, offset = check_page(metric, limit, offset)
+    sums = _subtrees(pages.where(F.col("parent") == path), site, day_from, day_to)
+    every = Window.partitionBy("parent")
+    page = sums.withColumn("n", F.count("*").over(every)).orderBy(F.desc(metric), "segment").offset(offset).limit(limit)
+    return page.select("segment", F.concat(F.lit(path + "/"), "segment").alias("path"), "pv", "v", "has_children", "n")
+
+
+def stored_tree(pages: DataFrame, site: int, day_from: str, day_to: str, path: str = "", metric: str = "pv", limit: int = DEFAULT_LIMIT, offset: int = 0, depth: int = 2) -> DataFrame:
+    """``url_tree`` from rows of ``page_rows``: the subtrees of ``path`` first, then those of the ones shown."""
+    first = stored_tree_children(pages, site, day_from, day_to, path, metric, limit, offset)
+    first = first.withColumn("rnk", offset + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(metric), "segment")))  # ``limit`` rows
+    one = first.select(F.lit(1).alias("level"), "path", F.lit(path).alias("parent_path"), "pv", "v", "has_children", "rnk", "n")
+    if depth < 2:
+        return one
+    shown = [r.path for r in first.where("has_children").select("path").collect()]  # ``limit`` paths
+    if not shown:
+        return one
+    best, every = Window.partitionBy("parent").orderBy(F.desc(metric), "segment"), Window.partitionBy("parent")
+    two = _subtrees(pages.where(F.col("parent").isin(shown)), site, day_from, day_to)
+    two = two.withColumns({"rnk": F.row_number().over(best), "n": F.count("*").over(every)}).where(F.col("rnk") <= limit)
+    return one.unionByName(
+        two.select(F.lit(2).alias("level"), F.concat("parent", F.lit("/"), "segment").alias("path"), F.col("parent").alias("parent_path"), "pv", "v", "has_children", "rnk", "n")
+    )

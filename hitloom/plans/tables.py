@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from hitloom.functions.rules import first_rule
 from hitloom.operators.cube import CUBE, DAILY, site_meta
-from hitloom.operators.panels import topn_table
+from hitloom.operators.panels import best_by_window
+from hitloom.operators.windows import cube_by_window, preset_windows
+from hitloom.plans import rollups
 
 SCHEMA_VERSION = 2
 SCHEMAS = {
@@ -21,6 +23,13 @@ SCHEMAS = {
     "topn": "site_id int, win string, dim string, parent string, dimkey string, pv bigint, v bigint, rnk smallint",
 }
 PARTITIONS = {"cube": ["site_id", "datum"], "daily": ["site_id", "datum"], "meta": ["site_id"], "topn": ["site_id"]}
+# Tables made of the cube for faster reading, of which a copy for serving has no need, and what runs did.
+OWN_SCHEMAS = {
+    "nodes": "site_id int, level int, node int, dim string, parent string, dimkey string, pv bigint, v bigint",
+    "pages": "site_id int, datum date, parent string, segment string, pv bigint, v bigint, below bigint",
+    "runs": "day date, run string, started timestamp, ended timestamp, kind string, status string, rows bigint, bytes bigint, message string",
+}
+OWN_PARTITIONS = {"nodes": ["site_id", "level", "node"], "pages": ["site_id", "datum"], "runs": ["day"]}
 
 
 @dataclass(frozen=True)
@@ -33,6 +42,9 @@ class Tables:
     daily: str = "daily"
     meta: str = "meta"
     topn: str = "topn"
+    nodes: str = "nodes"
+    pages: str = "pages"
+    runs: str = "runs"
 
     def path(self, table: str) -> str:
         return f"{self.folder}/{getattr(self, table)}"
@@ -44,10 +56,22 @@ class Tables:
 
     def read(self, table: str) -> DataFrame:
         """The table, empty before the first write."""
-        fs, where = self._fs(self.path(table))
-        if not fs.exists(where):
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(self.path(table))
+        return self.read_parts(table, [self.path(table)] if self.exists(self.path(table)) else [])
+
+    def read_parts(self, table: str, folders: list[str]) -> DataFrame:
+        """The rows of folders of the table, which must be there."""
+        schema = (SCHEMAS | OWN_SCHEMAS)[table]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path(table)).parquet(*folders)
+
+    def exists(self, path: str) -> bool:
+        fs, where = self._fs(path)
+        return fs.exists(where)
+
+    def delete(self, path: str) -> None:
+        fs, where = self._fs(path)
+        fs.delete(where, True)
 
     def partitions(self, table: str, folder: str | None = None) -> list[tuple[int, datetime.date]]:
         """(site, day) of the stored partitions, or of those staged in ``folder``, from folder names alone."""
@@ -63,8 +87,7 @@ class Tables:
 
     def drop_days(self, table: str, days: list[tuple[int, datetime.date]]) -> None:
         for site, day in days:
-            fs, where = self._fs(f"{self.path(table)}/site_id={site}/datum={day.isoformat()}")
-            fs.delete(where, True)
+            self.delete(f"{self.path(table)}/site_id={site}/datum={day.isoformat()}")
 
     def stage(self, table: str, rows: DataFrame) -> str:
         """Writes the rows beside the table, where no reader sees them; gives the folder."""
@@ -81,16 +104,15 @@ class Tables:
             fs.mkdirs(target.getParent())
             if not fs.rename(self._fs(f"{staged}/{part}")[1], target):
                 raise OSError(f"{part} of {table} could not be moved; {staged} still has it")
-        fs, where = self._fs(staged)
-        fs.delete(where, True)
+        self.delete(staged)
 
     def write(self, table: str, rows: DataFrame, path: str | None = None) -> None:
         """Replaces the partitions that the rows have; all others stay.  Rows of a partition are
         gathered and sorted, so readers skip row groups of other dimensions; adaptive execution
         splits a partition that is too large for one task."""
-        keys = PARTITIONS[table]
-        rest = [c for c in ("win", "dim", "parent", "dimkey") if c in rows.columns]
-        columns = [F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in SCHEMAS[table].split(", ")]
+        keys = (PARTITIONS | OWN_PARTITIONS)[table]
+        rest = [c for c in ("win", "dim", "parent", "segment", "dimkey") if c in rows.columns]
+        columns = [F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in (SCHEMAS | OWN_SCHEMAS)[table].split(", ")]
         rows = rows.select(*columns).hint("rebalance", *keys).sortWithinPartitions(*keys, *rest)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path or self.path(table))
 
@@ -107,17 +129,22 @@ def replace_days(tables: Tables, cube_rows: DataFrame, daily_rows: DataFrame, si
     # Each relation runs once; nothing stored changes before both are staged whole.
     staged = {name: tables.stage(name, rows) for name, rows in batch.items()}
     fresh = {name: set(tables.partitions(name, folder)) for name, folder in staged.items()}
-    met = fresh["cube"] | fresh["daily"]
-    ranges = {s: (min(d for x, d in met if x == s), max(d for x, d in met if x == s)) for s in {x for x, _ in met}}
+    ranges: dict[int, tuple[datetime.date, datetime.date]] = {}
+    for s, d in fresh["cube"] | fresh["daily"]:
+        low, high = ranges.get(s, (d, d))
+        ranges[s] = (min(low, d), max(high, d))
     if day_from is not None:
         if site is None and not ranges:
             raise ValueError("an empty batch needs a site")
         named = (datetime.date.fromisoformat(day_from), datetime.date.fromisoformat(day_to or day_from))
         ranges = {s: named for s in ([site] if site is not None else ranges)}
+    stale = {name: [(s, d) for s, d in tables.partitions(name) if s in ranges and ranges[s][0] <= d <= ranges[s][1] and (s, d) not in fresh[name]] for name in staged}
+    rollups.note(tables, [*fresh["cube"], *stale["cube"]])
     for name, folder in staged.items():
-        stale = [(s, d) for s, d in tables.partitions(name) if s in ranges and ranges[s][0] <= d <= ranges[s][1] and (s, d) not in fresh[name]]
         tables.move_days(name, folder)
-        tables.drop_days(name, stale)
+        tables.drop_days(name, stale[name])
+    if rollups.kept(tables):
+        rollups.refresh(tables)
 
 
 def rebuild_meta(tables: Tables, sites: DataFrame, tz: str = "UTC") -> None:
@@ -127,9 +154,11 @@ def rebuild_meta(tables: Tables, sites: DataFrame, tz: str = "UTC") -> None:
 
 
 def rebuild_topn(tables: Tables, sites: DataFrame) -> None:
-    """Best values of the precomputed presets of the given sites."""
+    """Best values of the precomputed presets of the given sites, from nodes where the tables have them."""
     meta = tables.read("meta").join(F.broadcast(sites.select("site_id")), "site_id", "left_semi")
-    tables.write("topn", topn_table(tables.read("cube"), meta))
+    windows = preset_windows(meta)
+    rows = rollups.rows_by_window(tables, windows) if rollups.kept(tables) else cube_by_window(tables.read("cube"), windows)
+    tables.write("topn", best_by_window(rows))
 
 
 def purge(tables: Tables, months: int, today: str, dry_run: bool = False) -> DataFrame:
@@ -143,8 +172,13 @@ def purge(tables: Tables, months: int, today: str, dry_run: bool = False) -> Dat
     cutoff = spark.sql("SELECT add_months(CAST(:t AS DATE), -:m) AS c", args={"t": today, "m": months}).first().c
     counts = [(n, tables.read(n).where(F.col("datum") < F.lit(cutoff)).count()) for n in ("cube", "daily")]
     if not dry_run:
-        for name, _ in counts:
-            tables.drop_days(name, [(s, d) for s, d in tables.partitions(name) if d < cutoff])
+        old = {name: [(s, d) for s, d in tables.partitions(name) if d < cutoff] for name, _ in counts}
+        rollups.note(tables, old["cube"])
+        for name, days in old.items():
+            tables.drop_days(name, days)
+        tables.drop_days("pages", old["cube"])
+        if rollups.kept(tables):
+            rollups.refresh(tables)
     return spark.createDataFrame(counts, "table string, n bigint")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hitloom.plans import rollups
 from hitloom.plans.importing import ImportConfig, import_sites, parsed_hits
 from hitloom.plans.tables import Tables, rebuild_meta, rebuild_topn
 from hitloom.sources.growing import stream_log_files
@@ -115,9 +116,14 @@ def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Call
             return
         found = import_sites(landed_lines(tables, due), config).persist()
         cube, daily = found.cube(), found.daily()
+        rollups.note(tables, due)
         tables.write("cube", cube)
         tables.write("daily", daily)
         found.unpersist()
+        if rollups.kept(tables):
+            rollups.refresh(tables, due)
+        else:
+            rollups.build(tables)
         sites = spark.createDataFrame([(s, str(s)) for s in sorted({s for s, _ in due})], "site_id int, site string")
         rebuild_meta(tables, sites, config.tz)
         rebuild_topn(tables, sites)
