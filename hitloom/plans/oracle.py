@@ -303,6 +303,13 @@ SELECT ipint, arg_min(cc, ("end" - start, start, cc)) AS cc FROM a JOIN r ON ipi
             """, one AS (SELECT *, CASE WHEN epoch(instant) - lag(epoch(instant)) OVER w <= 1800 THEN 0 ELSE 1 END AS new_session FROM hits_all WINDOW w AS (PARTITION BY site_id ORDER BY instant, rid))
 SELECT site_id, rid, new_session, CAST(sum(new_session) OVER (PARTITION BY site_id ORDER BY instant, rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seq FROM one""",
         ),
+        "snk_runs": _with("fields", f""", l AS (SELECT count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM ({LINE} WHERE instant < TIMESTAMP '{FROM}'))
+SELECT 'all' AS kind, 'done' AS status, n, bytes, NULL AS told FROM l UNION ALL SELECT 'batch', 'done', n, bytes, NULL FROM l
+UNION ALL SELECT 'none', 'empty', 0, 0, NULL UNION ALL SELECT 'broken', 'failed', NULL, NULL, true"""),
+        "jn_ua_sql": _with("hits_all", """, listed(n, browser, version, release) AS (VALUES (0, 'TestEdge', '109', '8.1'), (0, 'TestChrome', 'v109', '8.1'),
+  (1, 'TestFox', '112.0', ''), (3, 'TestChrome', 'v108', ''), (4, 'TestChrome', 'v99', ''))
+SELECT DISTINCT ua, listed.browser, version, release FROM hits_all JOIN listed ON v % 6 = n"""),
+        "src_report_sql": _with("cube", "SELECT datum, 'browser' AS dim, dimkey, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v FROM cube WHERE dim = 'browser' GROUP BY datum, dimkey"),
         "st_import": _with("hits", IMPORTED),
         "st_two_streams": _with("hits", IMPORTED),
         "st_growing_lines": _with("fields", PLACED.format(order="late, rid")),

@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitloom.functions import referrers, requests
+from hitloom.functions import referrers, requests, sql
 from hitloom.operators import agents, cube, geo, hits, panels, sessions, windows
-from hitloom.plans import checks, dashboards, rollups, tables
+from hitloom.plans import checks, dashboards, metrics, rollups, tables
 from hitloom.plans.importing import Analysis, ImportConfig, import_sites, parsed_hits
 from hitloom.sources import derived, growing, lists, reports
 from hitloom.sources.geo import read_geo, read_geo6
@@ -191,6 +191,16 @@ def src_report_daily(spark, sf_dir):
     return reports.read_report_daily(spark, f"{folder}/daily.json")
 
 
+def src_report_sql(spark, sf_dir):
+    """The table function over report files: each file is a row, each entry of a day in it another."""
+    folder, rows = _scratch(spark, "reports"), _cube(spark, sf_dir)
+    sums = rows.where("dim = 'browser'").groupBy("datum", "dimkey").agg(F.sum("pv").alias("nb_actions"), F.sum("v").cast("string").alias("nb_visits"))
+    _by_month(sums.groupBy("datum").agg(F.collect_list(F.struct(F.col("dimkey").alias("label"), "nb_actions", "nb_visits")).alias("body")), folder)
+    sql.register(spark)
+    spark.read.text(folder, wholetext=True).createOrReplaceTempView("report_files")
+    return spark.sql("SELECT r.* FROM report_files f, LATERAL report_rows(f.value, 'browser', 'nb_actions', 'nb_visits', 'label') r")
+
+
 def snk_report_import(spark, sf_dir):
     """What all sites have together goes out as reports, with the labels of these, and comes in as a site."""
     folder, rows = _scratch(spark, "reports"), _cube(spark, sf_dir)
@@ -308,6 +318,15 @@ def jn_ua_lookup(spark, sf_dir):
     return agents.ua_lookup(_hits(spark, sf_dir), *_lists(spark))
 
 
+def jn_ua_sql(spark, sf_dir):
+    """Each agent with every listed browser pattern that it matches, in SQL with the library's functions."""
+    sql.register(spark)
+    seen = _hits(spark, sf_dir).select("ua").distinct()
+    agents.pattern_candidates(seen, _lists(spark)[0]).createOrReplaceTempView("browser_candidates")
+    return spark.sql("""SELECT ua, name AS browser, filled_version(ua, bounded_pattern(regex), version) AS version, windows_version(regexp_extract(ua, 'Windows NT ([0-9.]+)', 1)) AS release
+        FROM browser_candidates WHERE ua RLIKE bounded_pattern(regex)""")
+
+
 def jn_ua_applied(spark, sf_dir):
     rows = _hits(spark, sf_dir)
     found = agents.apply_ua_lookup(rows, agents.ua_lookup(rows, *_lists(spark)))
@@ -582,7 +601,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> tables.Tables:
 
 def _rolled(spark: SparkSession, sf_dir: str) -> tables.Tables:
     """Stored tables with nodes and page trees.  The days from ``FROM`` to ``TO`` were first stored ten times too
-    large, and others beside them that no import has; the right ones then replace them."""
+    large, and old ones beside them; the right ones then replace them, and the old ones are purged."""
     store, rows = tables.Tables(spark, _scratch(spark, "tables")), _analysis(spark, sf_dir)
     inside = F.col("datum").between(F.lit(FROM).cast("date"), F.lit(TO).cast("date"))
     right, daily = rows.cube().persist(), rows.daily()
@@ -591,8 +610,7 @@ def _rolled(spark: SparkSession, sf_dir: str) -> tables.Tables:
     tables.replace_days(store, wrong.unionByName(early), daily)
     rollups.build(store)
     tables.replace_days(store, right.where(inside), daily.where(inside))
-    for site in (0, 1):
-        tables.replace_days(store, *tables.empty_batch(spark), site, "2022-01-01", "2023-06-30")
+    tables.purge(store, 6, TO)
     right.unpersist()
     tables.rebuild_meta(store, _sites(spark), TZ)
     return store
@@ -648,6 +666,23 @@ def snk_run_metrics(spark, sf_dir):
     return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "n bigint, bytes bigint")
 
 
+def snk_runs(spark, sf_dir):
+    """Runs over all lines, over none and with an error, and the batches of a stream, as the table has them."""
+    store = tables.Tables(spark, _scratch(spark, "tables"))
+    sites, _ = _arriving(spark, sf_dir)
+    rows = growing.read_log_files(spark, sites).withColumn("nbytes", F.octet_length("line") + 1)
+    broken = F.when(F.col("byte") < 0, F.raise_error(F.lit("no such byte"))).otherwise(F.raise_error(F.lit("unreadable")))
+    for kind, found in (("all", rows), ("none", rows.where("byte < 0")), ("broken", rows.withColumn("nbytes", broken.cast("bigint")))):
+        try:
+            with metrics.recorded(store, kind) as run:
+                run.watch(found, "nbytes").write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001 - the third run is to fail
+            if kind != "broken":
+                raise
+    start_import(stream_lines(spark, sites), store, _scratch(spark, "checkpoint"), lambda: TO, ImportConfig(tz=TZ, salt=SALT)).awaitTermination()
+    return store.read("runs").select("kind", "status", F.col("rows").alias("n"), "bytes", F.col("message").contains("unreadable").alias("told"))
+
+
 def chk_schema(spark, sf_dir):
     meta = _meta(spark, sf_dir)
     return spark.createDataFrame([(checks.schema_version(meta),)], "schema_version int")

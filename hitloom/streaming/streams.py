@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hitloom.plans import rollups
+from hitloom.plans import metrics, rollups
 from hitloom.plans.importing import ImportConfig, import_sites, parsed_hits
 from hitloom.plans.tables import Tables, rebuild_meta, rebuild_topn
 from hitloom.sources.growing import stream_log_files
@@ -96,15 +96,19 @@ def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Call
     complete day (before ``cutoff()``, on the site's clock) that the batch touched, or that still waits, is
     rebuilt whole from the lines of that day: late lines change it, and replays change nothing.  Which
     days there are is read from folder names.  A day that was built leaves a mark, as one of failed
-    requests alone has no row in any table.  Visitor keys change with the day.
+    requests alone has no row in any table.  Visitor keys change with the day.  Each batch has a row in ``runs``.
     """
     base = config or ImportConfig()
     config = ImportConfig(**{**base.__dict__, "salt_by": "day", "cutoff": None, "day_from": None, "day_to": None})
     store, marks = f"{tables.folder}/lines", f"{tables.folder}/built"
 
     def land(batch: DataFrame, number: int) -> None:
+        stream = stream_id(batch.sparkSession, checkpoint)
+        with metrics.recorded(tables, "batch", f"{stream}/{number}") as run:
+            take(run.watch(batch.withColumn("nbytes", F.octet_length("line") + 1), "nbytes"), f"{store}/stream={stream}/batch={number}")
+
+    def take(batch: DataFrame, landed: str) -> None:
         spark = batch.sparkSession
-        landed = f"{store}/stream={stream_id(spark, checkpoint)}/batch={number}"
         kept = parsed_hits(batch.withColumn("raw", F.col("line")), config)
         kept = kept.select("rid", "file", "byte", F.col("raw").alias("line"), "site_id", "datum").where("site_id IS NOT NULL AND datum IS NOT NULL")
         kept.write.mode("overwrite").partitionBy("site_id", "datum").parquet(landed)

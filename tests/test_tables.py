@@ -2,14 +2,16 @@
 
 import datetime
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitloom.operators import panels
-from hitloom.plans import checks, tables
+from hitloom.plans import checks, metrics, tables
 from hitloom.plans.tables import Tables
 from hitloom.sources import reports
+from hitloom.sources.growing import stream_log_files
 
 D = datetime.date
 CUBE = "site_id int, datum date, dim string, parent string, dimkey string, pv long, v long"
@@ -123,6 +125,40 @@ def test_migration(spark):
     assert {r.dimkey for r in again.where("dim <> 'browser_version'").collect()} == {"search", "x", "/a\x1fb"}
 
 
+def test_runs_of_streams(spark, store, tmp_path):
+    """A stream that finds lines, one that finds nothing new, and one that fails."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("one\ntwo\n")
+    listener = metrics.record_streams(store)
+    try:
+        for name in ("first", "again", "broken"):
+            rows = stream_log_files(spark, str(tmp_path / "in"))
+            rows = rows.withColumn("line", F.raise_error(F.lit("unreadable"))) if name == "broken" else rows
+            checkpoint = str(tmp_path / ("broken" if name == "broken" else "checkpoint"))
+            query = rows.writeStream.format("noop").option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination(60)
+            except Exception:  # noqa: BLE001 - of the broken one
+                assert name == "broken"
+        for _ in range(60):
+            found = {r.kind: (r.status, r.rows) for r in store.read("runs").collect()}
+            if len(found) == 3:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    assert found == {"first": ("done", 2), "again": ("empty", 0), "broken": ("failed", 0)}
+    assert "unreadable" in store.read("runs").where("kind = 'broken'").first().message
+
+
+def test_a_run_without_action_counts_nothing(spark, store, monkeypatch):
+    monkeypatch.setattr(metrics, "PATIENCE", 0.2)
+    with metrics.recorded(store, "idle") as run:
+        run.watch(spark.range(3))
+    row = store.read("runs").first()
+    assert (row.kind, row.status, row.rows) == ("idle", "done", None) and row.started <= row.ended
+
+
 def test_run_metrics(spark):
     rows, seen = tables.run_metrics(spark.range(5).withColumn("size", F.lit(3)), "import", "size")
     rows.count()
