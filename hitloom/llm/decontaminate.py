@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from hitloom.llm.common import bounded_batches, materialize, utf8
 
 WINDOW = 10
-#: Bytes of benchmark text that the driver and each worker hold at a time.
-BENCHMARK_BYTES = 64 << 20
+#: Bytes of benchmark text that the driver and each worker hold at a time.  Its windows take some 220 bytes of the
+#: driver's memory and 40 of a task's closure for each byte, so a larger benchmark goes in more parts.
+BENCHMARK_BYTES = 2 << 20
 #: Keys of contaminated texts that are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Every ASCII byte that is no letter or digit parts words; A-Z are lower-cased.
@@ -176,8 +177,8 @@ def term_frequency(index: DataFrame, found: Phrases) -> np.ndarray:
 
     counted = index.select("terms", "lengths").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(found.vocabulary), dtype=np.int64)
-    for term, n in counted.collect():
-        out[term] = n
+    table = counted.toArrow()
+    out[table.column("term").to_numpy()] = table.column("n").to_numpy()
     return out
 
 

@@ -91,10 +91,10 @@ def _order(counts: DataFrame, context: str) -> DataFrame:
 
 
 class Model:
-    """Bits of every byte trigram, from the rows of the count joins."""
+    """Bits of every byte trigram, from the columns context, last, own and back of the count joins."""
 
-    def __init__(self, orders: list[list[tuple]]):
-        self.orders = [tuple(np.array([r[i] for r in rows]) for i in range(4)) for rows in orders]
+    def __init__(self, orders: list[tuple[np.ndarray, ...]]):
+        self.orders = orders
 
     def table(self) -> np.ndarray:
         """Dense bits of all 2^24 trigrams, 64 MB: built by each task from the sparse rows."""
@@ -120,7 +120,10 @@ def train(trusted: DataFrame, text: str = "text") -> Model:
     pairs = materialize(pairs, "pairs")
     middle = pairs.select(F.shiftright("pair", 8).alias("context"), F.col("pair").bitwiseAND(255).alias("last"), "n")
     low = pairs.groupBy(F.col("pair").bitwiseAND(255).alias("last")).agg(F.count("*").alias("n")).select(F.lit(0).alias("context"), "last", "n")
-    return Model([[tuple(r) for r in _order(x, "context").collect()] for x in (low, middle, high)])
+    # As arrays of 16 bytes a trigram: 256 MB at most, when all 2^24 occur.
+    kinds = {"context": "int", "last": "int", "own": "float", "back": "float"}
+    found = [_order(x, "context").select(*[F.col(c).cast(k) for c, k in kinds.items()]).toArrow() for x in (low, middle, high)]
+    return Model([tuple(table.column(c).to_numpy() for c in kinds) for table in found])
 
 
 def perplexity(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...]) -> DataFrame:
