@@ -94,17 +94,26 @@ def topn_table(cube: DataFrame, meta: DataFrame, k: int = KEPT) -> DataFrame:
     return best_by_window(cube_by_window(cube, preset_windows(meta)), k)
 
 
-def best_by_window(rows: DataFrame, k: int = KEPT) -> DataFrame:
-    """``topn_table`` from (site_id, win, dim, parent, dimkey, pv, v), of which rows of one cell add up."""
+def own_lists(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, dim, parent, dimkey, pv, v, measure): for each of ``keys`` the values of every ranked dimension, at top
+    level (parent is null, all parents summed) and for each parent, with the dimension's own measure beside both.
+
+    ``rows``: (keys, dim, parent, dimkey, pv, v), of which rows of one cell add up.
+    """
     rows = _keyed(rows)
     none = F.lit(None).cast("string")
-    sums = lambda x: x.groupBy("site_id", "win", "dim", "parent", "dimkey").agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"))
-    root = sums(rows.where(F.col("dim").isin(*ROOT_METRIC)).withColumn("parent", none)).withColumn("level", F.lit(0))
-    child = sums(rows.where(F.col("dim").isin(*CHILD_METRIC) & F.col("parent").isNotNull())).withColumn("level", F.lit(1))
+    sums = lambda x: x.groupBy(*keys, "dim", "parent", "dimkey").agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"))
+    root = sums(rows.where(F.col("dim").isin(*ROOT_METRIC)).withColumn("parent", none))
+    child = sums(rows.where(F.col("dim").isin(*CHILD_METRIC) & F.col("parent").isNotNull()))
     by_pv = [d for d, m in ROOT_METRIC.items() if m == "pv"]
-    measure = F.when((F.col("level") == 0) & F.col("dim").isin(*by_pv), F.col("pv")).otherwise(F.col("v"))
-    best = Window.partitionBy("site_id", "win", "level", "dim", "parent").orderBy(F.desc("measure"), "dimkey")
-    ranked = root.unionByName(child).withColumn("measure", measure).withColumn("rnk", F.row_number().over(best))
+    measure = F.when(F.col("parent").isNull() & F.col("dim").isin(*by_pv), F.col("pv")).otherwise(F.col("v"))
+    return root.unionByName(child).withColumn("measure", measure)
+
+
+def best_by_window(rows: DataFrame, k: int = KEPT) -> DataFrame:
+    """``topn_table`` from (site_id, win, dim, parent, dimkey, pv, v), of which rows of one cell add up."""
+    best = Window.partitionBy("site_id", "win", "dim", "parent").orderBy(F.desc("measure"), "dimkey")
+    ranked = own_lists(rows, "site_id", "win").withColumn("rnk", F.row_number().over(best))
     return ranked.where(F.col("rnk") <= k).select("site_id", "win", "dim", "parent", "dimkey", "pv", "v", F.col("rnk").cast("smallint").alias("rnk"))
 
 

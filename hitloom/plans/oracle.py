@@ -342,6 +342,20 @@ lines AS (
 SELECT part, CAST(nth AS INTEGER) AS nth, CASE WHEN line LIKE '%"%' THEN '"' || replace(line, '"', '""') || '"' ELSE line END AS line FROM lines""",
         ),
         "snk_migration": _with("cube", "SELECT * FROM cube"),
+        "snk_undone": _with("cube", f"SELECT * FROM cube WHERE NOT (site_id = {SITE} AND datum BETWEEN DATE '{FROM}' AND DATE '{TO}')"),
+        "ag_stored_summary": _with("mine", "SELECT dim, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(v) AS BIGINT) AS v, count(DISTINCT dimkey) AS n FROM mine WHERE dimkey <> '' GROUP BY dim"),
+        "src_bot_list": "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https://[a-z]+[.]', 'i') OR regexp_matches(url, '/[0-9]+[?]')",
+        "tw_dashboard_presets": _with(
+            "meta",
+            f""", e AS (SELECT CAST(von AS DATE) AS von, CAST(bis AS DATE) AS bis, today, least(CAST(bis AS DATE), CAST(today AS DATE)) AS a
+    FROM meta, (SELECT unnest(['{TO}', '2030-06-15']) AS today) WHERE site_id = {SITE}),
+p AS (SELECT *, unnest([
+    ('today', a, a), ('yesterday', a - 1, a - 1), ('last7', a - 6, a), ('last30', a - 29, a), ('thismonth', date_trunc('month', a)::DATE, last_day(a)),
+    ('lastmonth', (date_trunc('month', a) - INTERVAL 1 MONTH)::DATE, (date_trunc('month', a) - INTERVAL 1 DAY)::DATE),
+    ('thisyear', make_date(year(a), 1, 1), make_date(year(a), 12, 31)), ('lastyear', make_date(year(a) - 1, 1, 1), make_date(year(a) - 1, 12, 31)), ('all', von, bis),
+    ('year:2024', DATE '2024-01-01', DATE '2024-12-31'), ('year:2023', DATE '2023-01-01', DATE '2023-12-31')]) AS x FROM e)
+SELECT x[1] AS preset, today, CAST(greatest(x[2], von) AS VARCHAR) AS day_from, CAST(least(x[3], bis) AS VARCHAR) AS day_to FROM p""",
+        ),
         "snk_purged": _with("daily", "SELECT * FROM daily WHERE datum >= DATE '2024-01-15'"),
         "snk_replaced": _with(
             "daily",
@@ -374,6 +388,6 @@ SELECT site_id, site, CASE WHEN age_hours >= 50 THEN 'CRIT' WHEN age_hours >= 26
         ),
     }
     # The same answers from other ways of storing.
-    for stored, live in (("tk_rolled_topn", "tk_topn_table"), ("tk_rolled_range", "tk_top_n"), ("hr_stored_tree", "hr_url_tree"), ("hr_stored_children", "hr_tree_children")):
+    for stored, live in (("tk_rolled_topn", "tk_topn_table"), ("tk_rolled_range", "tk_top_n"), ("tk_exchange", "tk_top_n"), ("tk_exchange_children", "tk_children"), ("hr_stored_tree", "hr_url_tree"), ("hr_stored_children", "hr_tree_children")):
         out[stored] = out[live]
     return out

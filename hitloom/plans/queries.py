@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hitloom.functions import referrers, requests, sql
 from hitloom.operators import agents, cube, geo, hits, panels, sessions, windows
-from hitloom.plans import checks, dashboards, metrics, rollups, tables
+from hitloom.plans import checks, dashboards, distinct, metrics, ranking, rollups, tables
 from hitloom.plans.importing import Analysis, ImportConfig, import_sites, parsed_hits
 from hitloom.sources import derived, growing, lists, reports
 from hitloom.sources.geo import read_geo, read_geo6
@@ -117,6 +117,14 @@ def src_site_list(spark, sf_dir):
     return read_sites(spark, _written(rows, "sites", F.col("line")))
 
 
+def src_bot_list(spark, sf_dir):
+    """The urls of pages whose host or path a list read from a file matches; it has notes and blank lines."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder = _scratch(spark, "bots")
+    spark.createDataFrame([("# notes",), ("",), (r"^HTTPS://[a-z]+[.]",), (r"/[0-9]+[?]",)], "line string").coalesce(1).write.text(folder)
+    return pages.where(F.col("url").rlike(lists.read_bot_list(spark, folder))).select("page_id", "url")
+
+
 def src_ua_list(spark, sf_dir):
     mark = F.when(F.col("page_id") % 5 == 0, "#").otherwise("")
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat_ws("\t", "page_id", F.concat(mark, "url"), F.lit('a "name"'), F.lit("$1")).alias("line"))
@@ -548,6 +556,15 @@ def tw_country_intensity(spark, sf_dir):
     return panels.country_intensity(_cube(spark, sf_dir), SITE, FROM, TO)
 
 
+def tw_dashboard_presets(spark, sf_dir):
+    """Days of each preset of the dashboard, for a day within the data and one after it."""
+    names = ("today", "yesterday", "last7", "last30", "thismonth", "lastmonth", "thisyear", "lastyear", "all", "year:2024", "year:2023")
+    ends = _meta(spark, sf_dir).where(F.col("site_id") == SITE).select("von", "bis").first()
+    asked = [(name, today) for name in names for today in (TO, "2030-06-15")] if ends else []
+    rows = [(name, today, *windows.preset_range(name, ends.von, ends.bis, today)) for name, today in asked]
+    return spark.createDataFrame(rows, "preset string, today string, day_from string, day_to string")
+
+
 def tw_month_chunks(spark, sf_dir):
     ends = _daily(spark, sf_dir).agg(F.min("datum").alias("a"), F.max("datum").alias("b")).first()
     return windows.month_chunks(spark, str(ends.a), str(ends.b))
@@ -627,6 +644,20 @@ def tk_rolled_range(spark, sf_dir):
     return panels.top_n_live(rollups.read_range(_rolled(spark, sf_dir), SITE, FROM, TO), SITE, FROM, TO, "entry", "v", 5)
 
 
+def tk_exchange(spark, sf_dir):
+    """Best values of a range from sorted lists of nodes and days, after days have changed."""
+    return ranking.top_n_exchange(_rolled(spark, sf_dir), SITE, FROM, TO, "entry", 5).rows
+
+
+def tk_exchange_children(spark, sf_dir):
+    return ranking.top_n_exchange(_rolled(spark, sf_dir), SITE, FROM, TO, "referrer_url", 10, 0, "DuckDuckGo").rows
+
+
+def ag_stored_summary(spark, sf_dir):
+    """Sums and number of values of each dimension of the range, from bitmaps of its days."""
+    return distinct.stored_summaries(_rolled(spark, sf_dir), SITE, FROM, TO)
+
+
 def hr_stored_tree(spark, sf_dir):
     return panels.stored_tree(_rolled(spark, sf_dir).read("pages"), SITE, FROM, TO, limit=3, offset=1)
 
@@ -644,6 +675,13 @@ def snk_replaced(spark, sf_dir):
     return store.read("daily")
 
 
+def snk_undone(spark, sf_dir):
+    """An import of the range taken back: the cube without these days of the site."""
+    store = _stored(spark, sf_dir)
+    tables.replace_days(store, *tables.empty_batch(spark), site=SITE, day_from=FROM, day_to=TO)
+    return store.read("cube")
+
+
 def snk_purged(spark, sf_dir):
     store = _stored(spark, sf_dir)
     tables.purge(store, 1, "2024-02-15")

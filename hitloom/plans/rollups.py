@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.operators.panels import page_rows
+from hitloom.plans import distinct, ranking
 
 if TYPE_CHECKING:
     from hitloom.plans.tables import Tables
@@ -50,13 +51,24 @@ def kept(tables: Tables) -> bool:
     return tables.exists(tables.path("nodes"))
 
 
+def node_path(tables: Tables, table: str, site: int, level: int, node: int) -> str:
+    return f"{tables.path(table)}/site_id={site}/level={level}/node={node}"
+
+
 def _part(tables: Tables, site: int, level: int, node: int) -> str:
     if level == 1:
         return f"{tables.path('cube')}/site_id={site}/datum={(EPOCH + datetime.timedelta(days=node)).isoformat()}"
-    return f"{tables.path('nodes')}/site_id={site}/level={level}/node={node}"
+    return node_path(tables, "nodes", site, level, node)
+
+
+def stored_cover(tables: Tables, site: int, day_from: str, day_to: str) -> list[tuple[int, int, int]]:
+    """(site, level, node) of the range's cover, of what is stored of it."""
+    first, last = (number(datetime.date.fromisoformat(d)) for d in (day_from, day_to))
+    parts = [(site, level, node) for level, node in cover(first, last)]
+    return [p for p in parts if tables.exists(_part(tables, *p))]
 
 
-def _rows(tables: Tables, parts: list[tuple[int, int, int]]) -> DataFrame:
+def node_rows(tables: Tables, parts: list[tuple[int, int, int]]) -> DataFrame:
     """(site_id, level, node, dim, parent, dimkey, pv, v) of nodes (site, level, node) that are stored."""
     days, nodes = ([_part(tables, *p) for p in parts if (p[1] == 1) == one] for one in (True, False))
     found = tables.read_parts("nodes", nodes)
@@ -74,7 +86,7 @@ def refresh(tables: Tables, days: Iterable[Day] = ()) -> list[tuple[int, int, in
     """Sums the nodes over these days, and over all days noted before; gives the nodes (site, level, node) written.
 
     One job a level; it reads four nodes of the level below for each node that it writes.  Nodes of days that are
-    all gone go too.  The page trees of these days are written anew as well.
+    all gone go too.  The page trees and bitmaps of these days, and the lists of days and nodes, are written anew as well.
     """
     stale = f"{tables.folder}/_stale"
     noted = tables.partitions("cube", stale)
@@ -87,7 +99,8 @@ def refresh(tables: Tables, days: Iterable[Day] = ()) -> list[tuple[int, int, in
         there = {b: [c for c in x if tables.exists(_part(tables, *c))] for b, x in children.items()}
         for site, node in (b for b, x in there.items() if not x):
             tables.delete(_part(tables, site, size, node))
-        rows = _rows(tables, [c for x in there.values() for c in x])
+            tables.delete(node_path(tables, "ranked", site, size, node))
+        rows = node_rows(tables, [c for x in there.values() for c in x])
         if any(there.values()):
             sums = rows.groupBy("site_id", F.floor(F.col("node") / ratio).alias("node"), *CELL[1:]).agg(F.sum("pv").alias("pv"), F.sum("v").alias("v"))
             tables.write("nodes", sums.withColumn("level", F.lit(size)))
@@ -95,9 +108,16 @@ def refresh(tables: Tables, days: Iterable[Day] = ()) -> list[tuple[int, int, in
         below, touched = size, set(blocks)
     changed = {*days, *noted}
     there = [p for p in ((s, 1, number(d)) for s, d in sorted(changed)) if tables.exists(_part(tables, *p))]
-    tables.drop_days("pages", sorted(changed))
+    for name in ("pages", "bitmaps"):
+        tables.drop_days(name, sorted(changed))
+    for site, day in changed:
+        tables.delete(node_path(tables, "ranked", site, 1, number(day)))
     if there:
-        tables.write("pages", page_rows(tables.read_parts("cube", [_part(tables, *p) for p in there])))
+        fresh = tables.read_parts("cube", [_part(tables, *p) for p in there])
+        tables.write("pages", page_rows(fresh))
+        distinct.write_days(tables, fresh, [(s, EPOCH + datetime.timedelta(days=n)) for s, _, n in there])
+    if there or written:
+        ranking.write_lists(tables, [*there, *written])
     for site, day in noted:
         tables.delete(f"{stale}/site_id={site}/datum={day.isoformat()}")
     return written
@@ -111,9 +131,7 @@ def build(tables: Tables) -> None:
 def read_range(tables: Tables, site: int, day_from: str, day_to: str) -> DataFrame:
     """The cube's rows of a site and range as sums over its cover: every panel that sums a range gives the same
     on them.  ``datum`` is the first day of the range in all rows."""
-    first, last = (number(datetime.date.fromisoformat(d)) for d in (day_from, day_to))
-    parts = [(site, level, node) for level, node in cover(first, last)]
-    rows = _rows(tables, [p for p in parts if tables.exists(_part(tables, *p))])
+    rows = node_rows(tables, stored_cover(tables, site, day_from, day_to))
     return rows.select("site_id", F.lit(day_from).cast("date").alias("datum"), *CELL[1:], "pv", "v")
 
 

@@ -27,9 +27,19 @@ PARTITIONS = {"cube": ["site_id", "datum"], "daily": ["site_id", "datum"], "meta
 OWN_SCHEMAS = {
     "nodes": "site_id int, level int, node int, dim string, parent string, dimkey string, pv bigint, v bigint",
     "pages": "site_id int, datum date, parent string, segment string, pv bigint, v bigint, below bigint",
+    "ranked": "site_id int, level int, node int, head boolean, dim string, parent string, dimkey string, measure bigint",
+    "codes": "site_id int, dim string, dimkey string, code bigint",
+    "bitmaps": "site_id int, datum date, dim string, parent string, bucket bigint, bits binary, pv bigint, v bigint",
     "runs": "day date, run string, started timestamp, ended timestamp, kind string, status string, rows bigint, bytes bigint, message string",
 }
-OWN_PARTITIONS = {"nodes": ["site_id", "level", "node"], "pages": ["site_id", "datum"], "runs": ["day"]}
+OWN_PARTITIONS = {
+    "nodes": ["site_id", "level", "node"],
+    "pages": ["site_id", "datum"],
+    "ranked": ["site_id", "level", "node"],
+    "codes": ["site_id"],
+    "bitmaps": ["site_id", "datum"],
+    "runs": ["day"],
+}
 
 
 @dataclass(frozen=True)
@@ -44,6 +54,9 @@ class Tables:
     topn: str = "topn"
     nodes: str = "nodes"
     pages: str = "pages"
+    ranked: str = "ranked"
+    codes: str = "codes"
+    bitmaps: str = "bitmaps"
     runs: str = "runs"
 
     def path(self, table: str) -> str:
@@ -73,17 +86,21 @@ class Tables:
         fs, where = self._fs(path)
         fs.delete(where, True)
 
-    def partitions(self, table: str, folder: str | None = None) -> list[tuple[int, datetime.date]]:
+    def partitions(self, table: str, folder: str | None = None, site: int | None = None) -> list[tuple[int, datetime.date]]:
         """(site, day) of the stored partitions, or of those staged in ``folder``, from folder names alone."""
-        fs, where = self._fs((folder or self.path(table)) + "/site_id=*/datum=*")
+        fs, where = self._fs(f"{folder or self.path(table)}/site_id={'*' if site is None else site}/datum=*")
         found = [str(s.getPath().toString()).split("/")[-2:] for s in fs.globStatus(where) or []]
         return [(int(a.split("=")[1]), datetime.date.fromisoformat(b.split("=")[1])) for a, b in found]
 
     def mark_days(self, folder: str, days: list[tuple[int, datetime.date]]) -> None:
         """Notes days as folders, which ``partitions`` reads."""
         for site, day in days:
-            fs, where = self._fs(f"{folder}/site_id={site}/datum={day.isoformat()}")
-            fs.mkdirs(where)
+            self.mark(f"{folder}/site_id={site}/datum={day.isoformat()}")
+
+    def mark(self, path: str) -> None:
+        """Makes the folder if it is not there."""
+        fs, where = self._fs(path)
+        fs.mkdirs(where)
 
     def drop_days(self, table: str, days: list[tuple[int, datetime.date]]) -> None:
         for site, day in days:
@@ -111,11 +128,18 @@ class Tables:
         gathered and sorted, so readers skip row groups of other dimensions; adaptive execution
         splits a partition that is too large for one task."""
         keys = (PARTITIONS | OWN_PARTITIONS)[table]
-        rest = [c for c in ("win", "dim", "parent", "segment", "dimkey") if c in rows.columns]
+        rest = [c for c in ("win", "head", "dim", "parent", "segment") if c in rows.columns]
+        rest += [F.desc("measure")] if "measure" in rows.columns else []
+        rest += ["dimkey"] if "dimkey" in rows.columns else []
         columns = [F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in (SCHEMAS | OWN_SCHEMAS)[table].split(", ")]
         rows = rows.select(*columns).hint("rebalance", *keys).sortWithinPartitions(*keys, *rest)
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path or self.path(table))
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Adds the rows to the table's partitions."""
+        keys = (PARTITIONS | OWN_PARTITIONS)[table]
+        rows.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(self.path(table))
+
 
 def replace_days(tables: Tables, cube_rows: DataFrame, daily_rows: DataFrame, site: int | None = None, day_from: str | None = None, day_to: str | None = None) -> None:
     """Stores a batch in place of the days it covers.
@@ -176,7 +200,8 @@ def purge(tables: Tables, months: int, today: str, dry_run: bool = False) -> Dat
         rollups.note(tables, old["cube"])
         for name, days in old.items():
             tables.drop_days(name, days)
-        tables.drop_days("pages", old["cube"])
+        for name in ("pages", "bitmaps"):
+            tables.drop_days(name, old["cube"])
         if rollups.kept(tables):
             rollups.refresh(tables)
     return spark.createDataFrame(counts, "table string, n bigint")
