@@ -34,12 +34,14 @@ def quality(text: Column) -> Column:
 
 
 def draw(doc_id: Column, weight: Column) -> Column:
-    """Sort key in [0, 1): 1 - u^(1/weight), which orders as exponential keys of that rate do.
+    """Sort key in (0, 1): the exponential key x = -ln(u) / weight as x / (1 + x), which keeps its order.
 
-    u comes from the MD5 of the id, so reruns agree.
+    Keys stay apart for small weights too, where u^(1/weight) would run out of digits.  u comes from the MD5 of
+    the id, so reruns agree.
     """
     u = (F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return F.least(F.lit(1.0) - F.pow(u, F.lit(1.0) / weight), F.lit(1.0 - 2.0**-53))
+    x = -F.ln(u) / weight
+    return F.least(x / (F.lit(1.0) + x), F.lit(1.0 - 2.0**-53))
 
 
 def targets(sources: DataFrame, most: int = 3) -> DataFrame:

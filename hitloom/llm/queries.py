@@ -145,8 +145,8 @@ WITH d AS (
   FROM documents
 ), k AS (
   SELECT doc_id, source, size,
-    1.0 - pow(u, 1.0 / (CASE WHEN size > 0 THEN CAST(size AS DOUBLE) / (size + symbols) ELSE 1.0 END)) AS key
-  FROM d
+    x / (1.0 + x) AS key
+  FROM (SELECT *, -ln(u) / (CASE WHEN size > 0 THEN CAST(size AS DOUBLE) / (size + symbols) ELSE 1.0 END) AS x FROM d)
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS total,
     CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from hitloom.llm import mixing
 
 
@@ -75,3 +77,24 @@ def test_copies_follow_the_plan(spark, documents, hard):
 def test_repeated_empty_texts(spark, documents):
     rows = mixing.mix_words(documents(None, "", " ", (3, None, None, None))).collect()
     assert [(r["size"], r.taken) for r in rows] == [(0, 0)] * 4 and {r.target for r in rows} == {0.0}
+
+
+def test_small_weights_keep_their_order(spark):
+    for weight in (1.0, 0.03, 0.01, 1e-5):
+        drawn = spark.range(4000).select("id", mixing.draw(F.col("id"), F.lit(weight)).alias("key"))
+        keys = {r.id: r.key for r in drawn.collect()}
+        u = {i: (int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in keys}
+        assert len(set(keys.values())) == 4000 and all(0 < k < 1 for k in keys.values())
+        assert sorted(keys, key=keys.get) == sorted(u, key=u.get, reverse=True)
+
+
+def test_symbols_rule_the_weights(spark, documents):
+    """Texts that are nearly all symbols: the mix still meets its targets and takes words first."""
+    noise = [(i, "x" + "!" * 300, "en", "s") for i in range(600)]
+    words = [(1000 + i, "x", "en", "s") for i in range(600)]
+    rows = noise + words + [(5000, "y " * 3000, "en", "t")]
+    got = {r.doc_id: r.taken for r in mixing.mix_words(documents(*rows)).collect()}
+    target = shares({"s": 1200, "t": 3000})["s"]
+    assert abs(sum(got[i] for i, *_ in noise + words) - target) <= 1
+    more = lambda part: sum(got[i] - int(target // 1200) for i, *_ in part)
+    assert more(words) > 20 * more(noise)
