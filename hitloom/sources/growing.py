@@ -29,6 +29,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "site_id int, file string, path string, byte bigint, line string"
 SPLIT_BYTES = 64 << 20
+#: Splits that a batch is cut into at most, while they are below ``SPLIT_BYTES``: small splits of large files would
+#: each cost a task.
+MOST_SPLITS = 512
 BLOCK = 1 << 20
 #: Bytes of the first line that name a file.
 HEAD = 4096
@@ -92,6 +95,11 @@ def stretches(site: int, file: str, path: str, start: int, end: int, split: int,
     return [Stretch(site, file, path, a, b, a == start, search) for a, b in zip(cuts, cuts[1:])]
 
 
+def split_bytes(asked: int, total: int) -> int:
+    """Bytes of a split, those asked for or more: so many that ``total`` is ``MOST_SPLITS`` splits, or ``SPLIT_BYTES``."""
+    return max(asked, min(SPLIT_BYTES, -(-total // MOST_SPLITS)))
+
+
 def positions(file, start: int, end: int, first: bool) -> Iterator[tuple[list[bytes], list[int]]]:
     """Blocks of lines and the positions of their first bytes."""
     at = start if first else start - 1
@@ -157,13 +165,16 @@ class WholeFiles(_Options, DataSourceReader):
     """All lines of the files there are, the last one too if it has no end.  Packed files are not split."""
 
     def partitions(self) -> list[Stretch]:
-        out = []
+        out, sizes = [], {}
         for site, pattern in self.sites:
             for path in listed(pattern):
                 if path.endswith(".gz"):
                     out += [Stretch(site, identity(path) or path, path, 0, 1 << 62, True)]
                 elif size := os.path.getsize(path):
-                    out += stretches(site, identity(path) or path, path, 0, size, self.split)
+                    sizes[site, path] = size
+        split = split_bytes(self.split, sum(sizes.values()))
+        for (site, path), size in sizes.items():
+            out += stretches(site, identity(path) or path, path, 0, size, split)
         return out or [Stretch(0, "", os.devnull, 0, 0, True)]
 
 
@@ -187,14 +198,15 @@ class GrowingFiles(_Options, DataSourceStreamReader):
         return {"files": files}
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        out = []
+        fresh = []
         for key, (path, stop) in end["files"].items():
             site, name = key.split(" ", 1)
             begun = start["files"].get(key, ["", 0])[1]
             begun = 0 if begun > stop else begun  # emptied in place and begun with the same line
             if begun < stop:
-                out += stretches(int(site), name, path, begun, stop, self.split, tuple(p for s, p in self.sites if s == int(site)))
-        return out
+                fresh.append((int(site), name, path, begun, stop))
+        split = split_bytes(self.split, sum(f[4] - f[3] for f in fresh))
+        return [part for f in fresh for part in stretches(*f, split, tuple(p for s, p in self.sites if s == f[0]))]
 
     def commit(self, end: dict) -> None:
         pass
@@ -239,3 +251,61 @@ def stream_log_files(spark: SparkSession, sites: dict[int, str] | str, split: in
     """The same of growing files, as a stream."""
     spark.dataSource.register(LogFiles)
     return _options(spark.readStream, sites, split).load().withColumn("rid", ordinal("file", F.col("byte")))
+
+
+#: A stretch of a file and its place in the file it is copied to.
+COPIED = "target string, source string, begin bigint, size bigint, place bigint"
+
+
+def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for target, source, begin, size, place in zip(*(c.to_pylist() for c in batch.columns)):
+            out = os.open(target, os.O_WRONLY | os.O_CREAT, 0o644)
+            try:
+                with open(source, "rb") as file:
+                    file.seek(begin)
+                    while size > 0:
+                        block = file.read(min(BLOCK, size))
+                        if not block:
+                            raise EOFError(f"{source} is shorter than it was")
+                        at = 0
+                        while at < len(block):
+                            at += os.pwrite(out, block[at:], place + at)
+                        place, size = place + len(block), size - len(block)
+            finally:
+                os.close(out)
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+
+def join_files(spark: SparkSession, joined: dict[str, list[str]]) -> None:
+    """Appends files, in the order given, to each target, which is made if it is not there.
+
+    Every stretch has its place in the target from the sizes alone, so many tasks write one file at once, each by
+    a block at a time, and one that is repeated writes the same.
+    """
+    rows = []
+    for target, sources in joined.items():
+        place = os.path.getsize(target) if os.path.exists(target) else 0
+        for source in sources:
+            size = os.path.getsize(source)
+            cuts = [*range(0, size, SPLIT_BYTES), size]
+            rows += [(target, source, a, b - a, place + a) for a, b in zip(cuts, cuts[1:])]
+            place += size
+    if rows:
+        tasks = min(len(rows), spark.sparkContext.defaultParallelism)
+        spark.createDataFrame(rows, COPIED).repartition(tasks).mapInArrow(_copied, "n bigint").agg(F.sum("n")).collect()
+
+
+def write_log_files(rows: DataFrame, folder: str, keys: tuple[str, ...] = ("site_id",), order: str = "rid") -> dict[tuple[str, ...], list[str]]:
+    """The ``line`` of each row in text files below ``folder``: for each value of the keys, the files in their order.
+
+    Lines are dealt by ranges of keys and order, so a site of many lines is sorted in many tasks; its
+    files, read one after another, have its lines by ``order``.
+    """
+    sorted_rows = rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    sorted_rows.select(*keys, "line").write.partitionBy(*keys).text(folder)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path in listed(f"{folder}/" + "/".join(f"{k}=*" for k in keys) + "/*.txt"):
+        values = path.split("/")[-len(keys) - 1 : -1]
+        found.setdefault(tuple(v.split("=", 1)[1] for v in values), []).append(path)
+    return {values: sorted(paths, key=os.path.basename) for values, paths in found.items()}

@@ -213,3 +213,27 @@ def test_identical_lines_all_count(spark):
 def test_session_window_gap(spark, gap, visits):
     rows = spark.createDataFrame([("v", 0), ("v", 1800), ("v", 3601)], "vkey string, s long").withColumn("ts", F.timestamp_seconds("s"))
     assert rows.groupBy(F.session_window("ts", gap), "vkey").count().count() == visits
+
+
+def test_small_splits_of_large_files_are_few_tasks(tmp_path):
+    (tmp_path / "log").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    source = growing.WholeFiles({"sites": json.dumps([[1, f"{tmp_path}/log"]]), "split": "50"})
+    assert len(source.partitions()) <= growing.MOST_SPLITS
+    grown = growing.GrowingFiles({"sites": json.dumps([[1, f"{tmp_path}/log"]]), "split": "50"})
+    assert len(grown.partitions(grown.initialOffset(), grown.latestOffset())) <= growing.MOST_SPLITS
+    assert [x for p in source.partitions() for b in growing.read_stretch(p) for x in b.column(4).to_pylist()] == [f"line {i}" for i in range(20_000)]
+
+
+def test_a_site_is_written_by_many_tasks_in_order(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("1 AS site_id", "id AS rid", "concat('line ', id) AS line").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = growing.write_log_files(rows, f"{tmp_path}/parts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert list(parts) == [("1",)] and len(parts["1",]) == 4
+    target = f"{tmp_path}/log"
+    for times in (1, 2):  # the second time it is appended
+        growing.join_files(spark, {target: parts["1",]})
+        with open(target) as file:
+            assert file.read() == "".join(f"line {i}\n" for i in range(3000)) * times
