@@ -100,17 +100,29 @@ def device_model(ua: Column) -> Column:
     )
 
 
+def told(ua: Column) -> dict[str, Column]:
+    """All that an agent tells; no value is ever null."""
+    return {
+        "browser": browser(ua),
+        "browser_ver": browser_version(ua),
+        "os": os_family(ua),
+        "os_ver": os_version(ua),
+        "device": device(ua),
+        "device_model": device_model(ua),
+    }
+
+
 def windows_version(version: Column) -> Column:
     """Marketing name of a Windows NT number; other versions stay."""
     return first_rule([(version.startswith(number), name) for number, name in WINDOWS_RELEASES], version)
 
 
-def is_bot(ua: Column, pattern: str | None = None, enabled: bool = True) -> Column:
+def is_bot(ua: Column, pattern: str | None = None, enabled: bool = True, low: Column | None = None) -> Column:
     """Whether the agent matches the pattern, or without one has a mark of ``BOTS`` in any case.
 
-    Null for a null user agent, unless the filter is off.
+    Null for a null user agent, unless the filter is off.  ``low``: the agent in lower case, where it is at hand.
     """
     if pattern is not None:
         return F.lit(enabled) & ua.rlike(pattern)
-    low = F.lower(ua)
+    low = F.lower(ua) if low is None else low
     return F.lit(enabled) & reduce(or_, [low.contains(mark) for mark in BOTS])

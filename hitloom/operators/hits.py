@@ -9,10 +9,21 @@ from hitloom.functions import agents, referrers, requests
 from hitloom.sources.lines import LOG_TIME
 
 
+def worked_out(rows: DataFrame, **values: Column) -> DataFrame:
+    """Adds the columns, each worked out once for a row: a generator of one row, above which filters on them stay.
+    Pushed below it, each would be worked out for the filter and again for the rows that it leaves."""
+    one = F.explode(F.array(F.struct(*[v.alias(name) for name, v in values.items()])))
+    rest = [c for c in rows.columns if c not in values]
+    return rows.withColumn("__once", one).select(*rest, *[F.col(f"__once.{name}") for name in values])
+
+
 def with_times(rows: DataFrame, ts_format: str = LOG_TIME, tz: str | Column = "UTC") -> DataFrame:
     """Adds ``ts`` (instant, null if unreadable), ``datum`` and ``stunde`` (day and hour on the
     site's own clock).  Visits run on the instant, days on the clock."""
-    rows = rows.withColumn("ts", requests.parse_time(F.col("tsraw"), ts_format))
+    return with_local_times(rows.withColumn("ts", requests.parse_time(F.col("tsraw"), ts_format)), tz)
+
+
+def with_local_times(rows: DataFrame, tz: str | Column = "UTC") -> DataFrame:
     return rows.withColumn("datum", requests.local_day(F.col("ts"), tz)).withColumn("stunde", requests.local_hour(F.col("ts"), tz))
 
 
@@ -24,18 +35,17 @@ def with_status_bytes(rows: DataFrame) -> DataFrame:
 
 def classify(rows: DataFrame, salt: str | Column, bot_pattern: str | None = None, bot_filter: bool = True, download_pattern: str | None = None) -> DataFrame:
     """Adds what the text fields tell: numbers and keys, agent and referrer."""
+    return tell(rows.withColumn("is_bot", agents.is_bot(F.col("ua"), bot_pattern, bot_filter)), salt, download_pattern)
+
+
+def tell(rows: DataFrame, salt: str | Column, download_pattern: str | None = None) -> DataFrame:
+    """``classify`` of rows that are known to be of bots or not."""
     ip, ua, url, ref = F.col("ip"), F.col("ua"), F.col("url"), F.col("referrer")
     return rows.withColumns({
         "ipint": requests.ip_to_int(ip),
         "vkey": requests.visitor_key(ip, ua, salt),
-        "is_bot": agents.is_bot(ua, bot_pattern, bot_filter),
         "is_download": requests.is_download(url, download_pattern or requests.DOWNLOADS),
-        "browser": agents.browser(ua),
-        "browser_ver": agents.browser_version(ua),
-        "os": agents.os_family(ua),
-        "os_ver": agents.os_version(ua),
-        "device": agents.device(ua),
-        "device_model": agents.device_model(ua),
+        **agents.told(ua),
         "ref_host": referrers.referrer_host(ref),
         "keyword": referrers.search_keyword(ref),
     })

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.functions import requests
+from hitloom.functions.agents import is_bot
 from hitloom.operators import agents, cube, geo, hits, sessions
 from hitloom.sources.lines import log_format, parse_lines
 
@@ -83,22 +84,32 @@ def parsed_hits(lines: DataFrame, config: ImportConfig) -> DataFrame:
         rows = rows.withColumns({c: requests.mask_query_params(F.col(c), list(config.mask)) for c in ("url", "referrer")})
     if config.truncate:
         rows = rows.withColumn("ip", requests.truncate_ip(F.col("ip")))
-    rows = hits.with_times(rows, config.ts_format or chosen.ts_format, config.tz)
+    rows = hits.drop_assets(rows).withColumn("low", F.lower("ua"))
+    rows = hits.worked_out(
+        rows,
+        ts=requests.parse_time(F.col("tsraw"), config.ts_format or chosen.ts_format),
+        status=F.col("status").try_cast("int"),
+        is_bot=is_bot(F.col("ua"), config.bot_pattern, config.bot_filter, F.col("low")),
+    ).drop("low")
+    rows = hits.with_local_times(hits.clean_hits(rows), config.tz)
     rows = hits.within_days(rows, config.day_from, config.day_to, config.tz)
     if config.cutoff:
         rows = hits.before_day(rows, config.cutoff, config.tz)
     salt = F.concat(F.lit(config.salt), F.col("datum").cast("string")) if config.salt_by == "day" else config.salt
-    rows = hits.classify(hits.with_status_bytes(rows), salt, config.bot_pattern, config.bot_filter, config.download_pattern)
-    return hits.drop_assets(hits.clean_hits(rows))
+    return hits.tell(hits.with_status_bytes(rows), salt, config.download_pattern)
+
+
+#: What visits and cube need of a hit; what an agent tells is told of visits, which are fewer.
+KEPT = ("site_id", "rid", "ts", "datum", "stunde", "vkey", "ip", "ipint", "ua", "method", "url", "is_download", "status", "bytes", "referrer", "keyword")
 
 
 def analyse_hits(hits_all: DataFrame, config: ImportConfig) -> Analysis:
     """Visits of clean hits."""
+    hits_all = hits_all.select(*KEPT)
     good = hits.successful(hits_all)
-    if config.browsers is not None and config.oses is not None:
-        good = agents.apply_ua_lookup(good, agents.ua_lookup(good, config.browsers, config.oses))
+    listed = agents.ua_lookup(good, config.browsers, config.oses) if config.browsers is not None and config.oses is not None else None
     sess = sessions.sessionize(good)
-    found = sessions.visits(sess)
+    found = sessions.visits(sess, listed=listed)
     v4 = geo.ip_country(good, config.geo) if config.geo is not None else None
     v6 = geo.ip6_country(good, config.geo6) if config.geo6 is not None else None
     return Analysis(hits_all, sess, geo.with_country(found, v4, v6))
