@@ -23,10 +23,12 @@ AGENTS = (
     "Mozilla/5.0 (iPhone; CPU iPhone OS 15_6_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/15.6.1 Mobile/19G82 Safari/604.1",
 )
 STYLE_SHEET = "/theme/site.css"
+#: Twenty neighbouring users are one visitor.
+VISITOR = "user_id div 20"
 
 
-def derived_log(events: DataFrame) -> DataFrame:
-    """(site_id, rid, line): one line in the combined format for each event.
+def derived_log(events: DataFrame, *more: str) -> DataFrame:
+    """(site_id, rid, line): one line in the combined format for each event; ``more`` columns of the events stay.
 
     Twenty neighbouring users are one visitor, so visits have several hits; two sites share them.
     """
@@ -53,8 +55,15 @@ def derived_log(events: DataFrame) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     request = quoted(F.concat_ws(" ", method, url, F.lit("HTTP/1.1")))
     line = F.concat_ws(" ", ip, F.lit("- -"), F.concat(F.lit("["), time, F.lit(" +0000]")), request, text(status), size, quoted(referrer), quoted(agent))
-    rows = events.withColumn("v", F.expr("user_id div 20"))
-    return rows.select((v % 2).cast("int").alias("site_id"), e.alias("rid"), line.alias("line"))
+    rows = events.withColumn("v", F.expr(VISITOR))
+    return rows.select((v % 2).cast("int").alias("site_id"), e.alias("rid"), line.alias("line"), *more)
+
+
+def dealt_events(events: DataFrame) -> DataFrame:
+    """Events dealt by ranges of the site and place that their lines will have.  Ranges are found by a pass over a sample of
+    what is dealt: of narrow events, where lines would all be made for it and then made again."""
+    site = F.pmod(F.expr(VISITOR), F.lit(2))
+    return events.repartitionByRange(site, "event_id")
 
 
 def geo_rows() -> list[tuple[int, int, str]]:

@@ -296,13 +296,14 @@ def join_files(spark: SparkSession, joined: dict[str, list[str]]) -> None:
         spark.createDataFrame(rows, COPIED).repartition(tasks).mapInArrow(_copied, "n bigint").agg(F.sum("n")).collect()
 
 
-def write_log_files(rows: DataFrame, folder: str, keys: tuple[str, ...] = ("site_id",), order: str = "rid") -> dict[tuple[str, ...], list[str]]:
+def write_log_files(rows: DataFrame, folder: str, keys: tuple[str, ...] = ("site_id",), order: str = "rid", dealt: bool = False) -> dict[tuple[str, ...], list[str]]:
     """The ``line`` of each row in text files below ``folder``: for each value of the keys, the files in their order.
 
     Lines are dealt by ranges of keys and order, so a site of many lines is sorted in many tasks; its
-    files, read one after another, have its lines by ``order``.
+    files, read one after another, have its lines by ``order``.  With ``dealt`` the rows come dealt so.
     """
-    sorted_rows = rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    rows = rows if dealt else rows.repartitionByRange(*keys, order)
+    sorted_rows = rows.sortWithinPartitions(*keys, order)
     sorted_rows.select(*keys, "line").write.partitionBy(*keys).text(folder)
     found: dict[tuple[str, ...], list[str]] = {}
     for path in listed(f"{folder}/" + "/".join(f"{k}=*" for k in keys) + "/*.txt"):

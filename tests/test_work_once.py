@@ -61,3 +61,16 @@ def test_cube_days_and_meta_are_of_one_analysis(spark, monkeypatch, name):
         assert len(calls) == 1
     finally:
         spark.catalog.clearCache()
+
+
+def test_lines_are_made_after_their_events_are_dealt(spark):
+    plan = _plan(queries._dealt_log(spark, "/root/testdata/sf0.001", late=F.lit(0)))
+    assert "concat_ws(" in plan and "concat_ws(" not in plan[plan.index("rangepartitioning") :]
+
+
+def test_dealt_lines_are_those_of_the_log(spark):
+    rows = queries._dealt_log(spark, "/root/testdata/sf0.001", late=(F.to_date("ts") >= "2024-01-11").cast("int"))
+    want = queries._log(spark, "/root/testdata/sf0.001")
+    day = F.to_date(F.regexp_extract("line", r"\[(\d+/\w+/\d+)", 1), "dd/MMM/yyyy")
+    assert rows.where(F.col("late") != (day >= F.lit("2024-01-11").cast("date")).cast("int")).count() == 0
+    assert sorted(rows.drop("late").collect()) == sorted(want.collect())
