@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from hitloom.operators.panels import page_rows
 from hitloom.plans import distinct, ranking
+from hitloom.plans.beside import at_once
 
 if TYPE_CHECKING:
     from hitloom.plans.tables import Tables
@@ -82,16 +83,9 @@ def note(tables: Tables, days: Iterable[Day]) -> None:
         tables.mark_days(f"{tables.folder}/_stale", list(days))
 
 
-def refresh(tables: Tables, days: Iterable[Day] = ()) -> list[tuple[int, int, int]]:
-    """Sums the nodes over these days, and over all days noted before; gives the nodes (site, level, node) written.
-
-    One job a level; it reads four nodes of the level below for each node that it writes.  Nodes of days that are
-    all gone go too.  The page trees and bitmaps of these days, and the lists of days and nodes, are written anew as well.
-    """
-    stale = f"{tables.folder}/_stale"
-    noted = tables.partitions("cube", stale)
-    days = list(days)
-    below, touched, written = 1, {(s, number(d)) for s, d in {*days, *noted}}, []
+def _write_nodes(tables: Tables, changed: set[Day]) -> list[tuple[int, int, int]]:
+    """The nodes over these days, one job a level; it reads four nodes of the level below for each node that it writes."""
+    below, touched, written = 1, {(s, number(d)) for s, d in changed}, []
     for size in LEVELS:
         ratio = size // below
         blocks = sorted({(s, n // ratio) for s, n in touched})
@@ -106,18 +100,31 @@ def refresh(tables: Tables, days: Iterable[Day] = ()) -> list[tuple[int, int, in
             tables.write("nodes", sums.withColumn("level", F.lit(size)))
             written += [(s, size, n) for (s, n), x in there.items() if x]
         below, touched = size, set(blocks)
+    return written
+
+
+def refresh(tables: Tables, days: Iterable[Day] = ()) -> list[tuple[int, int, int]]:
+    """Sums the nodes over these days, and over all days noted before; gives the nodes (site, level, node) written.
+
+    Nodes of days that are all gone go too.  The page trees and bitmaps of these days, which need no node, are written
+    beside, and then the lists of days and nodes.
+    """
+    stale = f"{tables.folder}/_stale"
+    noted = tables.partitions("cube", stale)
     changed = {*days, *noted}
     there = [p for p in ((s, 1, number(d)) for s, d in sorted(changed)) if tables.exists(_part(tables, *p))]
     for name in ("pages", "bitmaps"):
         tables.drop_days(name, sorted(changed))
     for site, day in changed:
         tables.delete(node_path(tables, "ranked", site, 1, number(day)))
-    if there:
-        fresh = tables.read_parts("cube", [_part(tables, *p) for p in there])
-        tables.write("pages", page_rows(fresh))
-        distinct.write_days(tables, fresh, [(s, EPOCH + datetime.timedelta(days=n)) for s, _, n in there])
-    if there or written:
-        ranking.write_lists(tables, [*there, *written])
+    with at_once(tables.spark) as beside:
+        if there:
+            fresh = tables.read_parts("cube", [_part(tables, *p) for p in there])
+            beside(lambda: tables.write("pages", page_rows(fresh)))
+            beside(lambda: distinct.write_days(tables, fresh, [(s, EPOCH + datetime.timedelta(days=n)) for s, _, n in there]))
+        written = _write_nodes(tables, changed)
+        if there or written:
+            ranking.write_lists(tables, [*there, *written])
     for site, day in noted:
         tables.delete(f"{stale}/site_id={site}/datum={day.isoformat()}")
     return written

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hitloom.plans import metrics, rollups
+from hitloom.plans.beside import at_once
 from hitloom.plans.importing import ImportConfig, import_sites, parsed_hits
 from hitloom.plans.tables import Tables, rebuild_meta, rebuild_topn
 from hitloom.sources.growing import stream_log_files
@@ -121,15 +122,20 @@ def start_import(lines: DataFrame, tables: Tables, checkpoint: str, cutoff: Call
         found = import_sites(landed_lines(tables, due), config).persist()
         cube, daily = found.cube(), found.daily()
         rollups.note(tables, due)
+        sites = spark.createDataFrame([(s, str(s)) for s in sorted({s for s, _ in due})], "site_id int, site string")
+
+        def days_and_meta() -> None:
+            tables.write("daily", daily)
+            rebuild_meta(tables, sites, config.tz)
+
         tables.write("cube", cube)
-        tables.write("daily", daily)
+        with at_once(tables.spark) as beside:
+            beside(days_and_meta)
+            if rollups.kept(tables):
+                rollups.refresh(tables, due)
+            else:
+                rollups.build(tables)
         found.unpersist()
-        if rollups.kept(tables):
-            rollups.refresh(tables, due)
-        else:
-            rollups.build(tables)
-        sites = spark.createDataFrame([(s, str(s)) for s in sorted({s for s, _ in due})], "site_id int, site string")
-        rebuild_meta(tables, sites, config.tz)
         rebuild_topn(tables, sites)
         tables.mark_days(marks, due)
 

@@ -2,12 +2,14 @@
 
 import datetime
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitloom.operators import panels, windows
 from hitloom.plans import rollups, tables
+from hitloom.plans.beside import at_once
 from hitloom.plans.tables import Tables
 
 CUBE = "site_id int, datum date, dim string, parent string, dimkey string, pv long, v long"
@@ -116,3 +118,26 @@ def test_page_trees(spark, store, path):
         for depth in (1, 2):
             got, want = (sorted(map(str, f(x, *ask, metric, limit, offset, depth).collect())) for f, x in ((panels.stored_tree, pages), (panels.url_tree, cube)))
             assert got == want
+
+
+def test_pages_are_written_while_nodes_are(spark, store, monkeypatch):
+    store.write("cube", spark.createDataFrame([(1, D(2024, 1, 5), "url", None, "/a/b", 2, 1)], CUBE))
+    begun, met = {"nodes": threading.Event(), "pages": threading.Event()}, []
+
+    def meeting(name, other, work):
+        def inner(*given):
+            begun[name].set()
+            met.append(begun[other].wait(30))
+            return work(*given)
+
+        return inner
+
+    monkeypatch.setattr(rollups, "node_rows", meeting("nodes", "pages", rollups.node_rows))
+    monkeypatch.setattr(rollups, "page_rows", meeting("pages", "nodes", rollups.page_rows))
+    rollups.build(store)
+    assert all(met) and store.read("pages").count() and store.read("nodes").count() == len(rollups.LEVELS)
+
+
+def test_an_error_beside_goes_on(spark):
+    with pytest.raises(ZeroDivisionError), at_once(spark) as beside:
+        beside(lambda: 1 // 0)
