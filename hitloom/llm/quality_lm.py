@@ -13,13 +13,15 @@ model, and one for the byte model alone, which knows bad spelling best.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.common import bounded_batches, materialize, utf8
+from hitloom.llm.common import bounded_batches, materialize, shuffles_removed, utf8
 
 #: Share of the trusted documents of a language that stays below its threshold.
 QUANTILE = 0.995
@@ -29,8 +31,15 @@ CHUNK = 1 << 22
 #: Bytes of text whose n-grams are looked up together, and rows of n-grams in an Arrow batch.
 BUCKET = 4_000_000
 GRAM_ROWS = 50_000
-#: Requests for n-grams that a task holds to leave out repeated ones.
+#: N-grams that a task holds to leave out repeated ones.
 ASKED_ROWS = 1_000_000
+#: Bytes of trusted text whose word pairs make a shard.
+SHARD = 2_000_000
+#: Rounds in which texts of more than so many bytes are scored; each reads the table of texts anew.
+ROUNDS = 7
+ROUND_BYTES = 32_000_000
+#: Buckets of a task, which has the byte model to unpack.
+TASK_BUCKETS = 3
 #: Byte that stands twice before each text.
 START = 0
 
@@ -157,32 +166,129 @@ def words(text: bytes) -> np.ndarray:
     return np.array([digest(w) for w in text.split()], dtype=np.uint64)
 
 
-def pair_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each word with the one before it; before the first stands nothing, as 0."""
-    before = np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+def _before(h: np.ndarray) -> np.ndarray:
+    """The word before each; before the first stands nothing, as 0."""
+    return np.concatenate((np.zeros(1, np.uint64), h[:-1])) if len(h) else h
+
+
+def _mixed(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     x = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (h + np.uint64(0x632BE59BD9B4E019))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def count_pairs(texts: DataFrame, text: str) -> DataFrame:
-    """(key, before, word, n) of the word pairs of all texts, sharded by pair."""
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each word with the one before it."""
+    return _mixed(_before(h), h)
+
+
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of eight-byte numbers as compressed bytes.  The first should rise: of it the steps are kept."""
+    steps = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T for c in (steps, *columns[1:])])
+    return len(steps).to_bytes(8, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+
+
+def spread(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """The columns that ``squeeze`` has packed."""
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], 8 * n * len(kinds), asbytes=True), np.uint8).reshape(len(kinds), 8, n)
+    found = [np.ascontiguousarray(p.T).reshape(-1).view(k) for p, k in zip(planes, kinds, strict=True)]
+    return [np.cumsum(found[0], dtype=kinds[0]), *found[1:]]
+
+
+def _joined(blobs: list[bytes], *kinds: type) -> list[np.ndarray]:
+    parts = [spread(b, *kinds) for b in blobs]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
+
+
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each key: shards are ranges of keys."""
+    return (((key >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    edges = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(x) else []
+
+
+def _shards(size: int) -> int:
+    return 1 + size // SHARD
+
+
+def _size(texts: DataFrame, text: str) -> int:
+    return texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def packed_pairs(texts: DataFrame, text: str, shards: int) -> DataFrame:
+    """(shard, data): before, word and n of the word pairs of all texts, one row for each shard of pairs."""
+    bounded_batches(texts.sparkSession)
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, before = np.concatenate(held), np.concatenate([_before(h) for h in held])
+        key, first, n = np.unique(_mixed(before, word), return_index=True, return_counts=True)
+        word, before, shard = word[first], before[first], _shard(key, shards)
+        order = np.lexsort((word, before, shard))
+        word, before, n, shard = (x[order] for x in (word, before, n.astype(np.int64), shard))
+        runs = _runs(shard)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([shard[a] for a, _ in runs], pa.int64()), pa.array([squeeze(before[a:b], word[a:b], n[a:b]) for a, b in runs], pa.binary())], names=["shard", "data"]
+        )
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            for t in utf8(batch.column(0)):
+                if t and len(h := words(t)):
+                    held.append(h)
+                    size += len(h)
+                    if size > ASKED_ROWS:
+                        yield dealt(held)
+                        held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    def summed(shard: int, blobs: list[bytes]) -> pa.RecordBatch:
+        before, word, n = _joined(blobs, np.uint64, np.uint64, np.int64)
+        order = np.lexsort((word, before))
+        before, word, n = before[order], word[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (word[1:] != word[:-1]))))
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([squeeze(before[first], word[first], np.add.reduceat(n, first))], pa.binary())], names=["shard", "data"])
+
+    def add(batches):
+        at, blobs = None, []
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != at and blobs:
+                    yield summed(at, blobs)
+                    blobs = []
+                at = shard
+                blobs.append(data)
+        if blobs:
+            yield summed(at, blobs)
+
+    parts = texts.select(text).mapInArrow(count, "shard long, data binary")
+    return parts.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(add, "shard long, data binary")
+
+
+def pair_rows(packed: DataFrame) -> DataFrame:
+    """(key, before, word, n) of packed pairs."""
 
     def run(batches):
         for batch in batches:
-            found = [h for t in utf8(batch.column(0)) if t and len(h := words(t))]
-            if not found:
-                continue
-            key = np.concatenate([pair_keys(h) for h in found])
-            word = np.concatenate(found)
-            before = np.concatenate([np.concatenate((np.zeros(1, np.uint64), h[:-1])) for h in found])
-            key, first, n = np.unique(key, return_index=True, return_counts=True)
-            longs = [pa.array(x.view(np.int64)) for x in (key, before[first], word[first])]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(n.astype(np.int64))], names=["key", "before", "word", "n"])
+            for data in batch.column(0).to_pylist():
+                before, word, n = spread(data, np.uint64, np.uint64, np.int64)
+                longs = [pa.array(x.view(np.int64)) for x in (_mixed(before, word), before, word, n)]
+                yield pa.RecordBatch.from_arrays(longs, names=["key", "before", "word", "n"])
+
+    return packed.select("data").mapInArrow(run, "key long, before long, word long, n long")
 
-    counted = texts.select(text).mapInArrow(run, "key long, before long, word long, n long")
-    return counted.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("n").alias("n"))
+
+def count_pairs(texts: DataFrame, text: str) -> DataFrame:
+    """(key, before, word, n) of the word pairs of all texts, sharded by pair."""
+    return pair_rows(packed_pairs(texts, text, _shards(_size(texts, text))))
 
 
 def _cut(n, d: list[float]):
@@ -200,8 +306,8 @@ class WordModel:
     ``total`` and ``cuts`` are those of the pairs that it begins."""
 
     def __init__(self, trusted: DataFrame, text: str):
-        bounded_batches(trusted.sparkSession)
-        pairs = materialize(count_pairs(trusted, text), "word_pairs")
+        self.shards = _shards(_size(trusted, text))
+        pairs = pair_rows(materialize(packed_pairs(trusted, text, self.shards), "word_pairs"))
         self.d2 = _discounts(pairs)
         contexts = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("n").alias("total"), F.sum(_cut(F.col("n"), self.d2)).alias("cuts"))
         lasts = pairs.groupBy(F.col("word").alias("key")).agg(F.count("*").alias("n"))
@@ -262,13 +368,88 @@ def word_bits(text: bytes, byte_bits: np.ndarray, table: tuple[np.ndarray, ...],
     return float(bits.sum() + byte_bits[space].sum(dtype=np.float64))
 
 
-def _different(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    """The different (bucket, key) of some documents."""
-    at, keys = np.repeat([a for a, _ in held], [len(k) for _, k in held]), np.concatenate([k for _, k in held])
-    order = np.lexsort((keys, at))
-    at, keys = at[order], keys[order]
+def packed_stats(stats: DataFrame, shards: int) -> DataFrame:
+    """(shard, data): key, n, total and cuts of the rows of ``stats``, some rows for each shard."""
+
+    def dealt(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cols = [np.concatenate([h[i] for h in held]) for i in range(4)]
+        order = np.argsort(cols[0])
+        cols = [c[order] for c in cols]
+        shard = _shard(cols[0], shards)
+        runs = _runs(shard)
+        return pa.RecordBatch.from_arrays([pa.array([shard[a] for a, _ in runs], pa.int64()), pa.array([squeeze(*[c[a:b] for c in cols]) for a, b in runs], pa.binary())], names=["shard", "data"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            cols = [c.fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns]
+            held.append([cols[0].view(np.uint64), *cols[1:]])
+            size += len(cols[0])
+            if size > ASKED_ROWS:
+                yield dealt(held)
+                held, size = [], 0
+        if held:
+            yield dealt(held)
+
+    return stats.select("key", "n", F.col("total").cast("long"), F.col("cuts").cast("double")).mapInArrow(run, "shard long, data binary")
+
+
+#: What a row of the stats has, packed.
+STATS = (np.uint64, np.int64, np.int64, np.float64)
+
+
+def _requests(held: list[tuple[int, np.ndarray]], shards: int) -> pa.RecordBatch:
+    """The different (bucket, key) of some documents, one row for each shard."""
+    at, keys = np.repeat(np.array([a for a, _ in held], np.int64), [len(k) for _, k in held]), np.concatenate([k for _, k in held])
+    shard = _shard(keys, shards)
+    order = np.lexsort((keys, at, shard))
+    at, keys, shard = at[order], keys[order], shard[order]
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])))
-    return pa.RecordBatch.from_arrays([pa.array(at[new], pa.int64()), pa.array(keys[new].view(np.int64))], names=["__bucket", "key"])
+    at, keys, shard = at[new], keys[new], shard[new]
+    runs = _runs(shard)
+    # Keys rise within a bucket only; the few steps down between buckets wrap.
+    return pa.RecordBatch.from_arrays([pa.array([shard[a] for a, _ in runs], pa.int64()), pa.array([squeeze(keys[a:b], at[a:b]) for a, b in runs], pa.binary())], names=["shard", "data"])
+
+
+def _found(asked: DataFrame, table: DataFrame, shards: int) -> DataFrame:
+    """(bucket, data): of the requested n-grams of each bucket those that the table has, with their counts."""
+
+    def answers(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        at, *cols = (np.concatenate([h[i] for h in held]) for i in range(5))
+        order = np.lexsort((cols[0], at))
+        order = order[np.concatenate(([True], (np.diff(at[order]) != 0) | (np.diff(cols[0][order]) != 0)))]
+        at, cols = at[order], [c[order] for c in cols]
+        runs = _runs(at)
+        return pa.RecordBatch.from_arrays([pa.array([at[a] for a, _ in runs], pa.int64()), pa.array([squeeze(*[c[a:b] for c in cols]) for a, b in runs], pa.binary())], names=["__bucket", "data"])
+
+    def run(batches):
+        at, blobs, stats, held, size = None, [], None, [], 0
+        for batch in batches:
+            for shard, kind, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard != at:
+                    at, blobs, stats = shard, [], None
+                if kind == 0:
+                    blobs.append(data)
+                    continue
+                if stats is None:
+                    cols = _joined(blobs, *STATS)
+                    order = np.argsort(cols[0])
+                    stats, blobs = [c[order] for c in cols], []
+                keys, bucket = spread(data, np.uint64, np.int64)
+                if not len(stats[0]):
+                    continue
+                place = np.minimum(np.searchsorted(stats[0], keys), len(stats[0]) - 1)
+                hit = stats[0][place] == keys
+                held.append([bucket[hit], *[c[place[hit]] for c in stats]])
+                size += int(hit.sum())
+                if size > ASKED_ROWS:
+                    yield answers(held)
+                    held, size = [], 0
+        if size:
+            yield answers(held)
+
+    both = table.select("shard", F.lit(0).alias("kind"), "data").unionByName(asked.select("shard", F.lit(1).alias("kind"), "data"))
+    return both.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "kind").mapInArrow(run, "__bucket long, data binary")
 
 
 def word_perplexity(docs: DataFrame, model: Model, bigrams: WordModel, text: str, keep: tuple[str, ...], own: str) -> DataFrame:
@@ -276,11 +457,18 @@ def word_perplexity(docs: DataFrame, model: Model, bigrams: WordModel, text: str
     every row; null and empty texts have null ones.  Rows that are true in column ``own`` are scored without their own counts.
 
     Rows are dealt into buckets by a hash.  The distinct n-grams of each document are joined to the
-    sharded counts, and what is found goes to the bucket's task ahead of its texts.
+    sharded counts, and what is found goes to the bucket's task ahead of its texts.  Buckets take
+    turns in ``ROUNDS`` rounds, as requests are larger than texts: each round's shuffles go when it ends.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    dealt = docs.select(F.pmod(F.xxhash64(*keep, text), F.lit(1 + size // BUCKET)).alias("__bucket"), *keep, F.col(own).alias("__own"), F.col(text).alias("__text"))
+    shards = bigrams.shards
+    size = _size(docs, text)
+    rounds = ROUNDS if size > ROUND_BYTES else 1
+    buckets = 1 + size // BUCKET
+    tasks = -(-buckets // (rounds * TASK_BUCKETS))
+    dealt = docs.select(F.pmod(F.xxhash64(*keep, text), F.lit(buckets)).alias("__bucket"), *keep, F.col(own).alias("__own"), F.col(text).alias("__text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", GRAM_ROWS)
+    table = materialize(packed_stats(bigrams.stats, shards), "word_table")
     bounded_batches(spark)
 
     def ask(batches):
@@ -293,25 +481,16 @@ def word_perplexity(docs: DataFrame, model: Model, bigrams: WordModel, text: str
                 held.append((at, keys))
                 size += len(keys)
                 if size > ASKED_ROWS:
-                    yield _different(held)
+                    yield _requests(held, shards)
                     held, size = [], 0
         if held:
-            yield _different(held)
-
-    # One shuffle, by key, serves both the removal of repeated requests and the join.
-    asked = dealt.where(F.octet_length("__text") > 0).select("__bucket", "__text").mapInArrow(ask, "__bucket long, key long")
-    asked = asked.repartition("key").distinct()
-    found = materialize(asked.join(bigrams.stats, "key"), "found")
-    nulls = lambda names, like: [F.lit(None).cast(like.schema[n].dataType).alias(n) for n in names]
-    stats, cols = ("key", "n", "total", "cuts"), (*keep, "__own", "__text")
-    both = found.select("__bucket", F.lit(0).alias("__kind"), *stats, *nulls(cols, dealt)).unionByName(
-        dealt.select("__bucket", F.lit(1).alias("__kind"), *nulls(stats, found), *cols)
-    )
+            yield _requests(held, shards)
+
     schema = docs.select(*keep, F.lit(0).cast("long").alias("n_bytes"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "spelling")]).schema
     d1, d2, total, cuts = bigrams.d1, bigrams.d2, bigrams.total, bigrams.cuts
 
     def run(batches):
-        dense, parts, table, bucket = None, [], None, None
+        dense, blobs, table, bucket = None, [], None, None
         for batch in batches:
             dense = model.table() if dense is None else dense
             at, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -319,28 +498,36 @@ def word_perplexity(docs: DataFrame, model: Model, bigrams: WordModel, text: str
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(at)], strict=True):
                 piece = batch.slice(a, b - a)
                 if at[a] != bucket:
-                    bucket, parts, table = at[a], [], None
+                    bucket, blobs, table = at[a], [], None
                 if kind[a] == 0:
-                    parts.append([piece.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(2, 6)])
+                    blobs += piece.column(2).to_pylist()
                     continue
                 if table is None:
-                    cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
-                    order = np.argsort(cols[0].view(np.uint64))
-                    table, parts = (cols[0].view(np.uint64)[order], *[c[order].astype(np.float64) for c in cols[1:]]), []
+                    cols = _joined(blobs, *STATS)
+                    # Two tasks may have asked for one n-gram of a bucket.
+                    key, first = np.unique(cols[0], return_index=True)
+                    table, blobs = (key, *[c[first].astype(np.float64) for c in cols[1:]]), []
                 own, texts = piece.column(piece.num_columns - 2).to_pylist(), utf8(piece.column(piece.num_columns - 1))
                 scores = []
                 for t, o in zip(texts, own, strict=True):
                     spelt = dense[trigrams(t)] if t else None
                     both = (word_bits(t, spelt, table, o, d1, d2, total, cuts), float(spelt.sum(dtype=np.float64))) if t else ()
                     scores.append([2 ** (x / len(t)) for x in both] or [None, None])
-                arrays = [*piece.columns[6:-2], pa.array([len(t or b"") for t in texts], pa.int64()), *[pa.array([x[i] for x in scores], pa.float64()) for i in (0, 1)]]
+                arrays = [*piece.columns[3:-2], pa.array([len(t or b"") for t in texts], pa.int64()), *[pa.array([x[i] for x in scores], pa.float64()) for i in (0, 1)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", GRAM_ROWS)
-    rows = both.repartition("__bucket").sortWithinPartitions("__bucket", "__kind").mapInArrow(run, schema)
-    scored = materialize(rows, "perplexities")
-    bounded_batches(spark)
-    return scored
+    def scored(turn: int) -> DataFrame:
+        mine = dealt.where(F.col("__bucket") % rounds == turn)
+        asked = mine.where(F.octet_length("__text") > 0).select("__bucket", "__text").mapInArrow(ask, "shard long, data binary")
+        nulls = [F.lit(None).cast(dealt.schema[n].dataType).alias(n) for n in (*keep, "__own", "__text")]
+        found = _found(asked, table, shards).select("__bucket", F.lit(0).alias("__kind"), "data", *nulls)
+        both = found.unionByName(mine.select("__bucket", F.lit(1).alias("__kind"), F.lit(None).cast("binary").alias("data"), *keep, "__own", "__text"))
+        place = F.pmod(F.floor(F.col("__bucket") / rounds), F.lit(tasks)).cast("int")
+        rows = both.repartitionById(tasks, place).sortWithinPartitions("__bucket", "__kind").mapInArrow(run, schema)
+        return materialize(rows, "perplexities")
+
+    with shuffles_removed(spark):
+        return reduce(DataFrame.unionByName, [scored(turn) for turn in range(rounds)])
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
@@ -358,7 +545,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id
     flagged = docs.select(F.col(doc_id), F.col(lang), F.col(text).alias("__body")).join(side, F.col(doc_id) == F.col("__id"), "left")
     flagged = flagged.withColumn("trusted", F.col("__id").isNotNull()).drop("__id")
     model = train(flagged.where("trusted"), "__body")
-    bigrams = WordModel(flagged.where("trusted"), "__body")
+    with shuffles_removed(docs.sparkSession):
+        bigrams = WordModel(flagged.where("trusted"), "__body")
     scored = word_perplexity(flagged, model, bigrams, "__body", (doc_id, lang, "trusted"), "trusted")
     sure = scored.where("trusted AND perplexity IS NOT NULL")
     at = [F.percentile_approx(c, F.lit(quantile), F.lit(10_000)) for c in ("perplexity", "spelling")]
